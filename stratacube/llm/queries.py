@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratacube.llm import bpe, decontam, langid, token_counts
+from stratacube.llm import bpe, decontam, langid, line_dedup, token_counts
 from stratacube.llm.common import table
 
 #: The tokenizer file of the token operators; another may be given by name.
@@ -24,6 +24,11 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.drop_lines(docs).select("doc_id", "_dedup.n_lines", "_dedup.n_dropped", "text")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -38,9 +43,12 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
+    "op5_line_dedup": op5_line_dedup,
     "op7_token_counts": op7_token_counts,
     "op9_bpe": op9_bpe,
     "op10_decontam": op10_decontam,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_line_dedup": line_dedup.ORACLE,
+}
