@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratacube.llm import bpe, decontam, langid, line_dedup, token_counts
+from stratacube.llm import bpe, decontam, langid, line_dedup, minhash, token_counts
 from stratacube.llm.common import table
 
 #: The tokenizer file of the token operators; another may be given by name.
@@ -33,6 +33,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -45,10 +49,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op5_line_dedup": op5_line_dedup,
     "op7_token_counts": op7_token_counts,
+    "op8_minhash": op8_minhash,
     "op9_bpe": op9_bpe,
     "op10_decontam": op10_decontam,
 }
 
 ORACLE: dict[str, str] = {
     "op5_line_dedup": line_dedup.ORACLE,
+    "op8_minhash": minhash.ORACLE,
 }
