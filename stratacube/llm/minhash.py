@@ -344,9 +344,9 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int,
 
 #: DuckDB: exact similarity of all pairs of different sets that share a shingle, and components by recursion.
 ORACLE = """
-WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS ws FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS ws FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
-      ELSE list_sort(list_distinct(list_transform(range(1, len(ws) - 2), i -> ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]))) END AS sh FROM w),
+      ELSE list_sort(list_distinct([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3] FOR i IN range(1, len(ws) - 2)])) END AS sh FROM w),
 h AS (SELECT doc_id, sh, len(sh) AS n, CASE WHEN len(sh) > 0 THEN md5(array_to_string(sh, chr(10))) END AS c FROM s),
 k AS (SELECT c, min(doc_id) AS node, any_value(sh) AS sh, any_value(n) AS n FROM h WHERE c IS NOT NULL GROUP BY c),
 e AS (SELECT node, n, unnest(sh) AS g FROM k),

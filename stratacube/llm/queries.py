@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratacube.llm import bpe, decontam, langid, line_dedup, minhash, token_counts
+from stratacube.llm import bpe, decontam, fingerprints, langid, line_dedup, minhash, secret_scan, token_counts
 from stratacube.llm.common import table
 
 #: The tokenizer file of the token operators; another may be given by name.
@@ -24,6 +24,14 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.drop_lines(docs).select("doc_id", "_dedup.n_lines", "_dedup.n_dropped", "text")
@@ -47,6 +55,8 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
+    "op2_fingerprints": op2_fingerprints,
+    "op3_secret_scan": op3_secret_scan,
     "op5_line_dedup": op5_line_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_minhash": op8_minhash,
