@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratacube.llm import bpe, decontam, fingerprints, langid, line_dedup, minhash, secret_scan, token_counts
+from stratacube.llm import bpe, decontam, fingerprints, langid, line_dedup, minhash, pii, secret_scan, token_counts
 from stratacube.llm.common import table
 
 #: The tokenizer file of the token operators; another may be given by name.
@@ -32,6 +32,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs).select("doc_id", "text", "_pii.*")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.drop_lines(docs).select("doc_id", "_dedup.n_lines", "_dedup.n_dropped", "text")
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_fingerprints": op2_fingerprints,
     "op3_secret_scan": op3_secret_scan,
+    "op4_pii": op4_pii,
     "op5_line_dedup": op5_line_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_minhash": op8_minhash,
