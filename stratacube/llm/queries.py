@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratacube.llm import bpe, decontam, fingerprints, langid, line_dedup, minhash, pii, secret_scan, token_counts
+from stratacube.llm import bpe, decontam, fingerprints, langid, line_dedup, minhash, pii, secret_scan, token_counts, warc
 from stratacube.llm.common import table
 
 #: The tokenizer file of the token operators; another may be given by name.
@@ -42,6 +42,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_lines(docs).select("doc_id", "_dedup.n_lines", "_dedup.n_dropped", "text")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_pii": op4_pii,
     "op5_line_dedup": op5_line_dedup,
+    "op6_warc": op6_warc,
     "op7_token_counts": op7_token_counts,
     "op8_minhash": op8_minhash,
     "op9_bpe": op9_bpe,
@@ -72,5 +77,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op5_line_dedup": line_dedup.ORACLE,
+    "op6_warc": warc.ORACLE,
     "op8_minhash": minhash.ORACLE,
 }
