@@ -13,6 +13,7 @@ import json
 import unicodedata
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -195,9 +196,11 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             ids, decoded = [], []
             for text in part.column(1).to_pylist():
                 parts = c.encode(text or "")
-                ids.append(unpacked(b"".join(parts)))
+                ids.append(b"".join(parts))
                 decoded.append(c.decode(parts))
-            return pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+            ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+            return pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
         return act
 
