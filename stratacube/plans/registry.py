@@ -1,11 +1,10 @@
-"""Queries by name with the SQL that gives the same rows."""
+"""All queries of the library by name, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from stratacube.plans import q_composite, q_geometry, q_products, q_pyramid, q_series, q_temporal, q_values  # noqa: F401
+from stratacube.plans.base import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 FLAGSHIP = "water_by_time"
+
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
