@@ -67,7 +67,7 @@ def chunk_key(level: Column, variable: str, t: Column, row: Column, col: Column)
 
 def split_names(text: Column) -> Column:
     """Names separated by ; without spaces around them; null if there are none."""
-    names = F.filter(F.transform(F.split(text, ";"), F.trim), lambda n: n != "")
+    names = F.filter(F.transform(F.split(text, ";"), lambda n: F.trim(n)), lambda n: n != "")
     return F.when(F.size(names) > 0, names)
 
 
