@@ -13,7 +13,10 @@ everywhere and similar sets agree with a chance equal to their similarity, howev
    Of a class's pairs only the one with the best estimate is confirmed at first.
 4. A pair that no leader has joined can still be a link. Where a bucket holds several components, classes of different
    components are compared by registers, in blocks of bounded size, a bucket of any size being dealt over many tasks.
-   Each class's best pairs are confirmed on their full sets, and this is repeated with more of them until none is left.
+   A task reports which components may belong together by a spanning forest, so at most one pair per component. What
+   these pairs connect is a family; in each family with several components all full sets are compared across
+   components, again in blocks and again reporting a spanning forest. So rows and data grow with the classes, not with
+   their pairs.
 
 So every pair that shares a key is either confirmed, refuted, or known to be in one component already. With 32 bands of
 4, a pair at the threshold of 0.8 shares no key with a chance below 1e-7.
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratacube.llm.bpe import Memo
-from stratacube.llm.common import dropped, id_text, map_rows, ship, slices, stored, utf8
+from stratacube.llm.common import id_text, map_rows, ship, slices, stored, utf8
 from stratacube.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -38,12 +41,13 @@ BANDS, ROWS, MANTISSA = 32, 4, 10
 REGISTERS = BANDS * ROWS
 #: Registers are equal by chance alone this often, at most (both minima within one cell).
 COLLISION = 2.0**-MANTISSA
-#: The estimate refutes a pair only this far below the threshold: more than six standard errors.
-MARGIN = 0.25
-#: Sets below this size repeat their few minima in many registers; the estimate is too coarse to refute them.
-ESTIMATE_FROM = 2 * REGISTERS
-#: Classes of one block in step 4; pairs that one copy of a document's text serves; bits of the bitmap of wanted ids.
-BLOCK, PER_SALT, MAX_BITS = 1024, 64, 1 << 27
+#: The estimate refutes a pair only this far below the threshold: its standard error is 0.03 to 0.042 at any size from
+#: ESTIMATE_FROM on, so a link is refuted with a chance below 1e-6. Smaller sets are never refuted by it.
+MARGIN, ESTIMATE_FROM = 0.21, 10
+#: Classes, and shingles of their sets, in one block of step 4.
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
+#: Pairs that one copy of a document's text serves; bits of the bitmap of wanted ids.
+PER_SALT, MAX_BITS = 64, 1 << 27
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], np.uint64)
@@ -139,12 +143,12 @@ def band_keys(classes: DataFrame, *columns: str) -> DataFrame:
     return classes.select("node", *columns, F.explode(keys).alias("key"))
 
 
-def leader_pairs(classes: DataFrame) -> DataFrame:
-    """a (leader), b: each class with the leader of each bucket that it is in."""
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """key, node, leader: a row per class and bucket that holds others as well; the leader is first in a fixed random order."""
     order = F.struct(F.xxhash64("node").alias("o"), F.col("node"))
     keyed = band_keys(classes)
     leaders = keyed.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    return keyed.join(leaders.select("key", F.col("first.node").alias("a")), "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    return keyed.join(leaders.select("key", F.col("first.node").alias("leader")), "key").select("key", "node", "leader")
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -168,32 +172,57 @@ def best_leader(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("b").agg(F.max(F.struct("estimate", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
 
 
-def residual_pairs(classes: DataFrame, comps: DataFrame, similarity: float, most: int) -> DataFrame:
-    """a, b, cut: pairs that share a key, are of different components and pass kept_by_estimate().
+class Forest:
+    """Which of some components have been joined."""
 
-    In each bucket the classes outside its largest component go to all of the bucket's blocks and are compared with the
-    classes that live there. Each gives its ``most`` best pairs; cut tells that it had more.
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether they weren't one before."""
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def dealt(rows: DataFrame, group: str, blocks: DataFrame) -> DataFrame:
+    """rows (group, node, component, ...) dealt into the blocks of their group: block, probe, is_major added.
+
+    blocks: group, major (its largest component), blocks. Each class lives in one block; those outside the largest
+    component go to all blocks as probes as well. Comparing each block's probes with those that live there covers all
+    pairs of different components.
     """
+    rows = rows.join(blocks, group).withColumn("is_major", F.col("component") == F.col("major"))
+    home = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks"))).withColumn("probe", F.lit(False))
+    away = rows.filter(~F.col("is_major")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).withColumn("probe", F.lit(True))
+    return home.unionByName(away).drop("major", "blocks")
+
+
+def weak_links(buckets: DataFrame, classes: DataFrame, comps: DataFrame, similarity: float) -> DataFrame:
+    """a, b: classes of different components that share a key and pass kept_by_estimate(); per block, a spanning forest of them."""
     known = classes.join(comps, "node", "left").select("node", "n_shingles", "regs", F.coalesce("component", "node").alias("component"))
-    keyed = band_keys(known, "component")
+    keyed = buckets.select("key", "node").join(known.select("node", "component"), "node")
     shares = keyed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    buckets = shares.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("k")).filter("k > 1")
-    buckets = buckets.select("key", F.col("top.component").alias("major"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = keyed.join(buckets, "key").withColumn("home", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
-    at_home = rows.select("key", F.col("home").alias("block"), "node", "component", (F.col("component") == F.col("major")).alias("is_major"), F.lit(False).alias("probe"))
-    probes = rows.filter("component <> major").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "component", F.lit(False).alias("is_major"), F.lit(True).alias("probe"))
-    rows = at_home.unionByName(probes).join(known.select("node", "n_shingles", "regs"), "node").select("key", F.col("block").cast("long").alias("block"), "node", "component", "is_major", "probe", "n_shingles", "regs")
+    mixed_up = shares.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("k")).filter("k > 1")
+    mixed_up = mixed_up.select("key", F.col("top.component").alias("major"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = dealt(keyed, "key", mixed_up).join(known.select("node", "n_shingles", "regs"), "node").select("key", "block", "node", "component", "is_major", "probe", "n_shingles", "regs")
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "key", "block").sortWithinPartitions("key", "block")
 
     def run(batches):
         for rows_of_block in groups(batches, 2):
-            found = crossing(rows_of_block, similarity, most)
+            found = crossing(rows_of_block, similarity)
             if found.num_rows:
                 yield found
 
     ship(classes.sparkSession)
-    return rows.mapInArrow(run, "a long, b long, cut boolean").groupBy("a", "b").agg(F.bool_or("cut").alias("cut"))
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Table]:
@@ -215,24 +244,23 @@ def groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def crossing(block: pa.Table, similarity: float, most: int) -> pa.RecordBatch:
-    """The best pairs of each probing class with the classes of one block that are of other components."""
+def pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def crossing(block: pa.Table, similarity: float) -> pa.RecordBatch:
+    """A spanning forest of the components of one block whose classes may be linked."""
     node, comp, size = (block.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
     probe, major = (block.column(c).to_numpy(zero_copy_only=False) for c in ("probe", "is_major"))
     regs = matrix(block.column("regs").combine_chunks())
-    home = np.flatnonzero(~probe)
-    a, b, cut = [], [], []
+    home, forest, found = np.flatnonzero(~probe), Forest(), []
     for x in np.flatnonzero(probe).tolist():
-        to = home[(comp[home] != comp[x]) & (major[home] | (node[home] > node[x]))]  # two outside the largest component meet once
-        if not len(to):
-            continue
-        ok = to[kept_by_estimate(regs[x][None, :], regs[to], np.full(len(to), size[x]), size[to], similarity)]
-        best = ok[np.argsort(-estimate(regs[x][None, :], regs[ok]), kind="stable")[:most]]
-        a.append(np.minimum(node[x], node[best]))
-        b.append(np.maximum(node[x], node[best]))
-        cut.append(np.full(len(best), len(ok) > most))
-    both = [np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b)]
-    return pa.RecordBatch.from_arrays([*(pa.array(z, pa.int64()) for z in both), pa.array(np.concatenate(cut) if cut else [], pa.bool_())], ["a", "b", "cut"])
+        to = home[(comp[home] != comp[x]) & (major[home] | (comp[home] > comp[x]))]
+        if len(to):
+            ok = to[kept_by_estimate(regs[x][None, :], regs[to], np.full(len(to), size[x]), size[to], similarity)]
+            others, first = np.unique(comp[ok], return_index=True)
+            found += [(int(node[x]), int(node[ok[k]])) for c, k in zip(others.tolist(), first.tolist(), strict=True) if forest.join(int(comp[x]), c)]
+    return pairs_batch(found)
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -294,26 +322,81 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: tuple
     return rows.mapInArrow(run, "a long, b long, inter long, whole long")
 
 
+class Postings:
+    """Sets by shingle, to intersect one set with all of them at once."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        everything = np.concatenate(sets)
+        order = np.argsort(everything, kind="stable")
+        self.owner = owner[order]
+        self.values, first = np.unique(everything[order], return_index=True)
+        self.first = np.append(first, len(order))
+
+    def intersections(self, s: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.values, s)
+        at[at == len(self.values)] = 0
+        at = at[self.values[at] == s]
+        many = self.first[at + 1] - self.first[at]
+        places = np.arange(int(many.sum())) + np.repeat(self.first[at] - (np.cumsum(many) - many), many)
+        return np.bincount(self.owner[places], minlength=len(self.sizes))
+
+
+def family_links(families: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+    """a, b: links between full sets of different components of a family (families: node, family); per block, a spanning forest."""
+    num, den = similarity
+    spark = families.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    member = families.join(classes.select("node", "n_shingles"), "node").join(comps, "node", "left").select("family", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
+    shares = member.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    several = shares.groupBy("family").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("k")).filter("k > 1")
+    several = several.select("family", F.col("top.component").alias("major"), F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    wanted = stored(dealt(member.drop("n_shingles"), "family", several), "families")
+    texts = texts_of(docs, wanted.select(F.col("node").alias("doc_id")).distinct())
+    rows = wanted.join(texts.withColumnRenamed("doc_id", "node"), "node").select("family", "block", "probe", "node", "component", "is_major", "text")
+    rows = rows.repartition(n, "family", "block").sortWithinPartitions("family", "block", "probe")
+
+    def run(batches):
+        of, home, sets, postings, forest = None, [], [], None, Forest()
+        for batch in batches:
+            for part in slices(batch):
+                links = []
+                for family, block, probe, node, comp, major, raw in zip(*(part.column(k).to_pylist() for k in range(6)), utf8(part.column(6)), strict=True):
+                    if (family, block) != of:
+                        of, home, sets, postings, forest = (family, block), [], [], None, Forest()
+                    s = shingle_set(raw, shingle)
+                    if not probe:
+                        home.append((node, comp, major))
+                        sets.append(s)
+                        continue
+                    if not sets:
+                        continue  # no class of the family lives in this block
+                    postings = postings or Postings(sets)
+                    same = postings.intersections(s)
+                    for k in np.flatnonzero(den * same >= num * (postings.sizes + len(s) - same)).tolist():
+                        if forest.join(comp, home[k][1]):
+                            links.append((node, home[k][0]))
+                if links:
+                    yield pairs_batch(links)
+
+    ship(spark)
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def near_links(classes: DataFrame, docs: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
     """node, component of all classes that are linked with another (steps 2 to 4)."""
     share = similarity[0] / similarity[1]
-    tested = stored(best_leader(estimated(leader_pairs(classes), classes, share)), "pairs")
-    links = stored(confirmed(tested, docs, shingle, similarity).select("a", "b"), "links")
+    buckets = stored(shared_buckets(classes), "buckets")
+    first = best_leader(estimated(buckets.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), classes, share))
+    links = stored(confirmed(stored(first, "pairs"), docs, shingle, similarity).select("a", "b"), "links")
     comps = components(links)
-    tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    most = 1
-    while True:
-        found = stored(residual_pairs(classes, comps, share, most), "pairs")
-        new = found.select("a", "b").join(tested, ["a", "b"], "left_anti")
-        if not new.isEmpty():
-            late = stored(confirmed(new, docs, shingle, similarity).select("a", "b"), "links")
-            if not late.isEmpty():
-                links, old = links.union(late), comps
-                comps = components(links)
-                dropped(old)
-        if found.filter("cut").isEmpty():
-            return comps  # all pairs across components have been tried
-        tested, most = tested.union(found.select("a", "b")), most * 8
+    weak = stored(weak_links(buckets, classes, comps, share), "weak")
+    if weak.isEmpty():
+        return comps
+    families = components(weak.union(comps.select("node", "component"))).withColumnRenamed("component", "family")
+    late = stored(family_links(families, classes, comps, docs, shingle, similarity), "links")
+    return comps if late.isEmpty() else components(links.union(late))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
