@@ -158,3 +158,22 @@ def convert(spark: SparkSession, read_step: Callable[[Sequence[int]], DataFrame]
     final = M.new_cube(cube.times, cube.bands, cube.crs, k.transform, k.height, k.width, cube.dtype, cube.cell, interval=interval if deltas else None, nodata=cube.nodata, mask=cube.mask, coverage=cube.coverage, shard_time=cube.shard_time, provenance=cube.provenance, selection=selection, n_levels=len(cube.levels))
     store.write(df, out, final, codec)
     return {"plan": plan(df, cube, sample=False), "read": read, "reused": reused, "encoding": final.encoding, "selection": selection}
+
+
+def reference_cost(df: DataFrame, cube: M.Cube, interval: int) -> dict[str, float]:
+    """What frozen references cost: bytes of differences to the preceding anchor in place of the nearest one.
+
+    Only steps whose nearest anchor comes later differ. Sizes are those of the chunks a store holds.
+    """
+    n = len(cube.times)
+    nearest = M.new_cube(cube.times, cube.bands, cube.crs, cube.levels[0].transform, cube.levels[0].height, cube.levels[0].width, cube.dtype, cube.cell, interval=interval, nodata=cube.nodata)
+    near = compressed_sizes(df, nearest, deltas=True)
+    affected = [t for t, a in temporal.anchor_schedule(n, interval)[1].items() if a > t]
+    # With the last steps cut off behind each anchor, the preceding anchor is the nearest one: measure block by block.
+    block = F.floor(F.col("t") / interval).cast("int")
+    parts = df.withColumn("block", block).withColumn("y", F.col("y") + F.col("block") * cube.cell * 4096).withColumn("t", F.col("t") % interval).drop("block")
+    short = M.new_cube(cube.times[:interval], cube.bands, cube.crs, cube.levels[0].transform, cube.levels[0].height, cube.levels[0].width, cube.dtype, cube.cell, interval=interval, nodata=cube.nodata)
+    prev = compressed_sizes(parts, short, deltas=True).withColumn("t", (F.floor(F.col("row") / 4096) * interval + F.col("t")).cast("int"))
+    total = near.agg(F.sum("plain"), F.sum("delta"), F.sum(F.when(F.col("t").isin(affected), F.col("delta")))).first()
+    other = prev.filter(F.col("t").isin(affected)).agg(F.sum("delta")).first()[0] or 0
+    return {"plain": total[0], "nearest": total[1], "affected_steps": len(affected), "affected_nearest": total[2] or 0, "affected_preceding": other, "store_increase": (other - (total[2] or 0)) / total[1] if total[1] else 0.0}

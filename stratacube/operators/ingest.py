@@ -219,3 +219,14 @@ def common_valid(df: DataFrame, n_times: int, ok: Column, keys: Sequence[str] =
 def time_order(df: DataFrame, ts: str = "ts", tie: str = "uri") -> DataFrame:
     """df with t = 0, 1, ... in time order. The list has as many rows as the time axis, so one window spans it."""
     return df.withColumn("t", F.row_number().over(W.Window.orderBy(ts, tie)) - 1)
+
+
+def input_checks(df: DataFrame, dtype: str, value: str = "v", by: Sequence[str] = ("t",)) -> DataFrame:
+    """by, whole, fits, nulls: whether values are of a type, before anything is written."""
+    v = F.col(value)
+    if dtype == "float32":
+        whole, fits = F.lit(True), F.bool_and(F.abs(v.cast("double")) <= 3.4028234663852886e38)
+    else:
+        lo, hi = INTEGER_RANGES[dtype]
+        whole, fits = F.bool_and(v == F.floor(v)), (F.min(v) >= lo) & (F.max(v) <= hi)
+    return df.groupBy(*by).agg(whole.alias("whole"), fits.alias("fits"), (F.count("*") - F.count(v)).alias("nulls"))

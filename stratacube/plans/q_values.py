@@ -140,3 +140,24 @@ def band_metadata_attached(spark, d):
 def adjacent_change(spark, d):
     ch = temporal.adjacent_change(A.cube(spark, d), ["b", "y", "x"])
     return ch.groupBy("b").agg(F.count("*").alias("n"), F.max("change").alias("most"), F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY change)").cast("int").alias("p90"))
+
+
+@query(
+    "change_stability",
+    W(
+        ", s AS (SELECT t, b, count(*) FILTER (WHERE v > 2500)::DOUBLE / count(*) AS share FROM cube GROUP BY t, b), c AS (SELECT b, share, abs(share - lag(share) OVER (PARTITION BY b ORDER BY t)) AS change FROM s) SELECT b, round(stddev_samp(share) / avg(share), 8) AS spread, round(quantile_cont(change, 0.9), 8) AS p90 FROM c GROUP BY b",
+        "cube",
+    ),
+)
+def change_stability(spark, d):
+    """How steady a share is over time: standard deviation over mean, and the 90th percentile of the change from step to step."""
+    s = A.cube(spark, d).groupBy("t", "b").agg((F.count_if(F.col("v") > 2500).cast("double") / F.count("*")).alias("share"))
+    spread = s.groupBy("b").agg((F.stddev_samp("share") / F.avg("share")).alias("s"))
+    change = temporal.adjacent_change(s, ["b"], "share").groupBy("b").agg(F.percentile("change", F.lit(0.9)).alias("p"))
+    return spread.join(change, "b").select("b", F.round("s", 8).alias("spread"), F.round("p", 8).alias("p90"))
+
+
+@query("unit_checks", W("SELECT t, bool_and(v = floor(v)) AS whole, min(v) >= 0 AND max(v) <= 65535 AS fits, count(*) - count(v) AS nulls FROM cube GROUP BY t", "cube"))
+def unit_checks(spark, d):
+    """Input checks before a cube is written: whole numbers within the type, no nulls."""
+    return ingest.input_checks(A.cube(spark, d), "uint16")
