@@ -2,47 +2,30 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
-import sys
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = Path(__file__).resolve().parents[2]
-#: Rows of one slice of an Arrow batch that are Python objects at the same time.
-SLICE_ROWS = 512
+from stratacube.shipping import ship
+
+#: Rows and (about) bytes of one slice of an Arrow batch, which are Python objects at the same time.
+SLICE_ROWS, SLICE_BYTES = 512, 2 << 20
+#: Bytes of an Arrow batch between Spark and Python, the setting for it and that setting's default.
+BATCH_BYTES, BATCH_CONF, DEFAULT_BATCH = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors.
-
-    Nothing is done where the repository is on their PYTHONPATH already; else a zip of the package goes out with
-    ``addPyFile``, once per context.
-    """
-    paths = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    sc = spark.sparkContext
-    if str(ROOT) in paths or getattr(sc, "_stratacube_shipped", False):
-        return
-    out = os.path.join(tempfile.mkdtemp(prefix="stratacube-ship-"), "stratacube_pkg.zip")
-    with zipfile.ZipFile(out, "w") as z:
-        for p in (ROOT / "stratacube").rglob("*.py"):
-            z.write(p, p.relative_to(ROOT))
-    kept = list(sys.path)
-    sc.addPyFile(out)
-    sys.path[:] = kept  # the driver goes on using the sources
-    sc._stratacube_shipped = True
-
-
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the folder that all executors share (``spark.checkpoint.dir``).
 
@@ -75,6 +58,8 @@ def dropped(df: DataFrame) -> None:
 
 
 def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    if batch.num_rows:
+        rows = max(1, min(rows, batch.num_rows * SLICE_BYTES // max(1, batch.get_total_buffer_size())))
     for i in range(0, batch.num_rows, rows):
         yield batch.slice(i, rows)
 
@@ -85,8 +70,32 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system: workers live on, and other tasks of the executor need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with batches of BATCH_BYTES (unless the session says otherwise) and memory released after each task."""
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(BATCH_CONF, DEFAULT_BATCH) == DEFAULT_BATCH:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(task, schema)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` by small slices. make() runs once per task and returns what turns a slice into rows."""
+    """map_batches() by small slices. make() runs once per task and returns what turns a slice into rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         act = make()
@@ -96,8 +105,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
                 if out is not None and out.num_rows:
                     yield out
 
-    ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratacube.llm.common import map_rows, ship, slices, stored, utf8
+from stratacube.llm.common import map_batches, map_rows, slices, stored, utf8
 
 WINDOW, SHINGLE = 10, 3
 #: Benchmark text of one broadcast table.
@@ -200,8 +200,7 @@ def rarity(docs: DataFrame, text_col: str, tables: Windows) -> dict[int, np.ndar
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), s), pa.int32()), pa.array(known[s][at], pa.int64()), pa.array(n[at], pa.int64())], ["size", "code", "n"])
 
-    ship(docs.sparkSession)
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "size int, code long, n long").groupBy("size", "code").agg(F.sum("n").alias("n")).toPandas()
+    rows = map_batches(docs.select(F.col(text_col).cast("string").alias("text")), count, "size int, code long, n long").groupBy("size", "code").agg(F.sum("n").alias("n")).toPandas()
     out = {s: np.zeros(len(v), np.int64) for s, v in codes.items()}
     for s, v in codes.items():
         mine = rows[rows["size"] == s]

@@ -2,8 +2,8 @@
 
 A word is the mean of the embeddings of its subwords (runs of 2 to 4 characters, word ends marked, hashed into
 BUCKETS); a text is the mean of its words, over the whole text. The softmax over languages is linear in that mean, so
-after training each bucket's embedding is folded into one score per language, and a worker keeps the scores of the
-words it has met. A temperature fitted on rows set aside makes the score a calibrated probability, and the same rows
+after training each bucket's embedding is folded into one score per language, and a task keeps the scores of the words it
+has met. A temperature fitted on rows set aside makes the score a calibrated probability, and the same rows
 set what is rejected.
 
 Training takes a bounded sample (TRAIN_ROWS labelled rows, TRAIN_WORDS words of each, spread over the whole text).
@@ -11,7 +11,6 @@ Training takes a bounded sample (TRAIN_ROWS labelled rows, TRAIN_WORDS words of
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratacube.llm.common import map_rows, ship, slices
+from stratacube.llm.common import map_batches, map_rows, slices
 
 BUCKETS, DIM, SIZES = 1 << 15, 16, (2, 3, 4)
 #: Bounds of the training sample: rows in all (dealt evenly over the languages), words of each row.
@@ -30,8 +29,8 @@ EPOCHS, RATE, BATCH = 6, 4.0, 64
 REJECT_SHARE, REJECT_BELOW = 0.001, 0.5
 #: ... or if less than this share of its subwords, or half of what the calibration rows' least has, was ever seen in training.
 FAMILIAR = 0.3
-#: Words of a worker's cache; a longer run of letters counts as several words of PIECE characters.
-CACHE_WORDS, PIECE = 400_000, 48
+#: Words of a task's cache; a longer run of letters counts as several words of PIECE characters.
+CACHE_WORDS, PIECE = 200_000, 48
 UND = "und"
 
 LETTERS = regex.compile(r"\p{L}+")
@@ -174,9 +173,8 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int
                     out.append(" ".join(ws[::step]))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), part.column(1)], ["text", "lang"])
 
-    ship(docs.sparkSession)
     left, out = dict.fromkeys(counts, each), []
-    for r in picked.mapInArrow(spread, "text string, lang string").filter("text <> ''").toLocalIterator(prefetchPartitions=True):
+    for r in map_batches(picked, spread, "text string, lang string").filter("text <> ''").toLocalIterator(prefetchPartitions=True):
         if left[r["lang"]] > 0:
             left[r["lang"]] -= 1
             out.append((r["lang"], r["text"]))
@@ -184,7 +182,7 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int
 
 
 class Scorer:
-    """Scores whole texts with a worker's cache of word scores."""
+    """Scores whole texts with a task's cache of word scores, which goes with the task."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -205,8 +203,8 @@ class Scorer:
             grown = np.zeros((2 * (at + len(new)), self.table.shape[1]), np.float32)
             grown[:at] = self.table[:at]
             self.table = grown
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
+        for lo in range(0, len(new), 8_000):
+            part = new[lo : lo + 8_000]
             self.table[at + lo : at + lo + len(part)] = self.model.word_scores(part)
         self.number.update(zip(new, range(at, at + len(new)), strict=True))
 
@@ -229,17 +227,6 @@ class Scorer:
         return out
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def scorer(key: str, shared) -> Scorer:
-    """A worker's scorer of a broadcast model, kept for its next tasks."""
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(shared.value)
-    return _scorers[key]
-
-
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model:
     """A model of the labelled rows of docs that may be learnt from; without any, one that rejects everything."""
     found = sample(docs, id_col, text_col, lang_col, rows)
@@ -252,11 +239,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     A null text, or one without a letter, is 'und' with score 0 and rejected, as is every text under a model without
     languages. Ties go to the language that sorts first. A null id counts as held out. Repeated rows give repeated results; other columns are ignored.
     """
-    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (~learnable(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
 
     def make():
-        s = scorer(key, shared)
+        s = Scorer(shared.value)
 
         def act(part: pa.RecordBatch) -> pa.RecordBatch:
             found = s.predict(part.column(2).to_pylist())
@@ -269,11 +256,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs that the model doesn't reject, all columns as they were."""
-    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def make():
-        s = scorer(key, shared)
+        s = Scorer(shared.value)
         return lambda part: part.filter(pa.array([not x[2] for x in s.predict(part.column(at).to_pylist())], pa.bool_()))
 
     return map_rows(docs, make, docs.schema)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratacube.llm.bpe import Memo
-from stratacube.llm.common import id_text, map_rows, ship, slices, stored, utf8
+from stratacube.llm.common import id_text, map_batches, map_rows, slices, stored, utf8
 from stratacube.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -45,7 +45,7 @@ COLLISION = 2.0**-MANTISSA
 #: ESTIMATE_FROM on, so a link is refuted with a chance below 1e-6. Smaller sets are never refuted by it.
 MARGIN, ESTIMATE_FROM = 0.21, 10
 #: Classes, and shingles of their sets, in one block of step 4.
-BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
+BLOCK, BLOCK_SHINGLES = 512, 500_000
 #: Pairs that one copy of a document's text serves; bits of the bitmap of wanted ids.
 PER_SALT, MAX_BITS = 64, 1 << 27
 
@@ -65,15 +65,21 @@ def mixed(h: np.ndarray) -> np.ndarray:
 BORROW = mixed(np.arange(1, REGISTERS * REGISTERS + 1, dtype=np.uint64)).reshape(REGISTERS, REGISTERS)
 STARTS = np.array([-(-(k << 64) // REGISTERS) for k in range(REGISTERS)], np.uint64)
 
-_word_hashes = Memo(xxhash.xxh3_64_intdigest)
+#: Words whose hashes a task keeps.
+CACHE_WORDS = 100_000
 
 
-def shingle_set(raw: bytes, size: int) -> np.ndarray:
+def word_hashes() -> Memo:
+    """A task's cache; it goes with the task."""
+    return Memo(xxhash.xxh3_64_intdigest, CACHE_WORDS)
+
+
+def shingle_set(raw: bytes, size: int, hashes: Memo) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles of ``size`` words; all its words as one if they are fewer."""
     words = raw.translate(LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
+    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     n = min(size, len(w))
     h = np.full(len(w) - n + 1, n, np.uint64)
     for k in range(n):
@@ -106,10 +112,12 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, n_shingles, class (16 bytes: a digest of the set; null if empty), regs (bytes)."""
 
     def make():
+        hashes = word_hashes()
+
         def act(part: pa.RecordBatch) -> pa.RecordBatch:
             n, classes, regs = [], [], []
             for raw in utf8(part.column(1)):
-                s = shingle_set(raw, shingle)
+                s = shingle_set(raw, shingle, hashes)
                 n.append(len(s))
                 classes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 regs.append(registers(s).tobytes() if len(s) else None)
@@ -221,8 +229,7 @@ def weak_links(buckets: DataFrame, classes: DataFrame, comps: DataFrame, similar
             if found.num_rows:
                 yield found
 
-    ship(classes.sparkSession)
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return map_batches(rows, run, "a long, b long").distinct()
 
 
 def groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Table]:
@@ -302,12 +309,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: tuple
     rows = wanted.join(texts, "doc_id").select("a", "salt", "b", "text").repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches):
-        head, of = None, None
+        head, of, hashes = None, None, word_hashes()
         for batch in batches:
             for part in slices(batch):
                 found = []
                 for a, b, raw in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), utf8(part.column(3)), strict=True):
-                    s = shingle_set(raw, shingle)
+                    s = shingle_set(raw, shingle, hashes)
                     if b is None:
                         head, of = s, a
                         continue
@@ -318,8 +325,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: tuple
                         found.append((a, b, same, whole))
                 yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in (zip(*found, strict=True) if found else ((),) * 4)], ["a", "b", "inter", "whole"])
 
-    ship(spark)
-    return rows.mapInArrow(run, "a long, b long, inter long, whole long")
+    return map_batches(rows, run, "a long, b long, inter long, whole long")
 
 
 class Postings:
@@ -359,13 +365,14 @@ def family_links(families: DataFrame, classes: DataFrame, comps: DataFrame, docs
 
     def run(batches):
         of, home, sets, postings, forest = None, [], [], None, Forest()
+        hashes = word_hashes()
         for batch in batches:
             for part in slices(batch):
                 links = []
                 for family, block, probe, node, comp, major, raw in zip(*(part.column(k).to_pylist() for k in range(6)), utf8(part.column(6)), strict=True):
                     if (family, block) != of:
                         of, home, sets, postings, forest = (family, block), [], [], None, Forest()
-                    s = shingle_set(raw, shingle)
+                    s = shingle_set(raw, shingle, hashes)
                     if not probe:
                         home.append((node, comp, major))
                         sets.append(s)
@@ -380,8 +387,7 @@ def family_links(families: DataFrame, classes: DataFrame, comps: DataFrame, docs
                 if links:
                     yield pairs_batch(links)
 
-    ship(spark)
-    return rows.mapInArrow(run, "a long, b long")
+    return map_batches(rows, run, "a long, b long")
 
 
 def near_links(classes: DataFrame, docs: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:

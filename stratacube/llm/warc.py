@@ -24,7 +24,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratacube.llm.common import scratch, ship, slices, stored
+from stratacube.llm.common import map_batches, scratch, slices, stored
 
 #: Bounds of a file: payload bytes and records.
 FILE_BYTES, FILE_RECORDS = 64 << 20, 20_000
@@ -176,8 +176,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page
         if out.done:
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in out.done]), pa.array([n for _, n in out.done], pa.int64())], ["file", "records"])
 
-    ship(pages.sparkSession)
-    return stored(joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to")).mapInArrow(run, "file string, records long"), "archives")
+    return stored(map_batches(joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to")), run, "file string, records long"), "archives")
 
 
 CAPTURE = "url_key string, captured string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, file string, offset long, length long"
@@ -281,13 +280,12 @@ def index(archives: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), _CAPTURE_KINDS, strict=True)], _NAMES)
 
-    ship(spark)
     files = archives.count()
     if not files:
         return spark.createDataFrame([], CAPTURE)
-    sorted_runs = stored(archives.select("file").repartition(min(files, 4 * n)).mapInArrow(runs, f"{CAPTURE}, place long"), "runs")
+    sorted_runs = stored(map_batches(archives.select("file").repartition(min(files, 4 * n)), runs, f"{CAPTURE}, place long"), "runs")
     ranges = sorted_runs.repartitionByRange(n, "url_key", "captured", "page_id").sortWithinPartitions("file", "place")
-    return ranges.mapInArrow(merge, CAPTURE)
+    return map_batches(ranges, merge, CAPTURE)
 
 
 def archive(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", folder: str | None = None) -> DataFrame:
