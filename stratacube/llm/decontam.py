@@ -293,3 +293,19 @@ def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW
 
         out = map_rows(out, make, docs.schema)
     return out
+
+
+#: DuckDB: all windows of items against all runs of as many words.
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM documents),
+b AS (SELECT item_id, [x FOR x IN regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT item_id, w, least(10, len(w)) AS l FROM b WHERE len(w) > 0),
+i AS (SELECT DISTINCT item_id, l, array_to_string(w[k:k + l - 1], ' ') AS g FROM (SELECT item_id, w, l, unnest(range(1, len(w) - l + 2)) AS k FROM s)),
+z AS (SELECT r, l, k, array_to_string(w[k:k + l - 1], ' ') AS g FROM (SELECT r, w, l, unnest(range(1, len(w) - l + 2)) AS k FROM d, (SELECT DISTINCT l FROM i) WHERE len(w) >= l)),
+m AS (SELECT z.r, z.l, z.k, i.item_id FROM z JOIN i USING (l, g)),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + l)) AS p FROM m) GROUP BY r),
+t AS (SELECT r, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM m GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+"""

@@ -79,4 +79,5 @@ ORACLE: dict[str, str] = {
     "op5_line_dedup": line_dedup.ORACLE,
     "op6_warc": warc.ORACLE,
     "op8_minhash": minhash.ORACLE,
+    "op10_decontam": decontam.ORACLE,
 }
