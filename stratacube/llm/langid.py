@@ -26,7 +26,7 @@ BUCKETS, DIM, SIZES = 1 << 15, 16, (2, 3, 4)
 TRAIN_ROWS, TRAIN_WORDS = 8_000, 256
 EPOCHS, RATE, BATCH = 6, 4.0, 64
 #: A text is rejected if its calibrated probability is below what this share of the calibration rows reaches, or this bound if that is lower.
-REJECT_SHARE, REJECT_BELOW = 0.001, 0.5
+REJECT_SHARE, REJECT_BELOW = 0.001, 0.35
 #: ... or if less than this share of its subwords, or half of what the calibration rows' least has, was ever seen in training.
 FAMILIAR = 0.3
 #: Words of a task's cache; a longer run of letters counts as several words of PIECE characters.
