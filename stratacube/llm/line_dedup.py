@@ -6,8 +6,8 @@ one page, so a host that serves a page many times doesn't make that page's own l
 
 Everything is DataFrame work: lines travel as hashes, counts are combined before they are shuffled and are keyed by
 (host, line, page), so neither a large host nor a frequent line meets in one task. A host's boilerplate is bounded by
-its mean lines per page over the ratio, and joins as one array per host; Spark chooses by measured size whether that
-is broadcast, and splits large hosts if it isn't.
+its mean lines per page over the ratio, and joins as one array per host. It is written first, so Spark knows its size
+and broadcasts it only if it is small; else texts are shuffled, and large hosts split.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratacube.llm.common import stored
+
 #: Share of a host's pages above which a line is boilerplate, and the pages it must be on at least.
 RATIO, MIN_PAGES = 0.1, 4
 
@@ -41,6 +43,7 @@ def drop_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text"
     """
     host, text = F.col(host_col).cast("string"), F.col(text_col)
     found = boilerplate(docs.select(host.alias("_host"), text.alias("_text")), ratio, min_pages).withColumnRenamed("_host", "_boiler_host")
+    found = stored(found, "boilerplate")  # its size is known before it is joined: texts needn't be shuffled if it is small
     joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).join(found, F.col(f"_row.`{host_col}`").cast("string") == F.col("_boiler_host"), "left")
     old = F.col(f"_row.`{text_col}`")
     kept = F.filter(lines(old), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_lines"), F.xxhash64(F.trim(x))))
