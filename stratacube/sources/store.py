@@ -17,6 +17,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -525,8 +526,15 @@ def _commit_append(w: StoreWriter, messages: Sequence[Written]) -> None:
     _publish(w, w.cube, changes, _shard_bytes(messages, old))
 
 
-def _rows(df: DataFrame, cube: M.Cube) -> DataFrame:
-    """All levels of df (t, b, y, x, v[, mask, coverage]) as rows for the writer, each cell in one task."""
+def _rows(df: DataFrame, cube: M.Cube) -> tuple[DataFrame, list[DataFrame]]:
+    """All levels of df (t, b, y, x, v[, mask, coverage]) as rows for the writer, each cell in one task; and what is kept
+    meanwhile: the levels above 0, so that none is computed again for the next one."""
+    kept: list[DataFrame] = []
+
+    def keep(one: DataFrame) -> DataFrame:
+        kept.append(one.persist(StorageLevel.MEMORY_AND_DISK))
+        return one
+
     floats = cube.dtype == "float32"
     n = len(cube.levels)
     has_mask = cube.mask is not None
@@ -545,13 +553,14 @@ def _rows(df: DataFrame, cube: M.Cube) -> DataFrame:
         ok = F.col("mask") == 1 if has_mask else F.lit(True) if cube.nodata is None else F.col("v") != F.lit(cube.nodata)
         at = pyramid.reduced(at, ok, value="v", floats=floats, empty=cube.fill)
         if has_mask:
-            ats[MASK] = pyramid.reduced_mask(ats[MASK])
+            ats[MASK] = keep(pyramid.reduced_mask(ats[MASK]))
             at = at.join(ats[MASK], ["t", "y", "x"])
+        at = keep(at)
         out.append(at.select(F.lit(k).alias("level"), F.lit(DATA).alias("kind"), "t", "b", "y", "x", F.col("v").cast("double").alias("v")))
         if has_mask:
             out.append(ats[MASK].select(F.lit(k).alias("level"), F.lit(MASK).alias("kind"), "t", F.lit(-1).alias("b"), "y", "x", F.col("mask").cast("double").alias("v")))
         if COVERAGE in ats:
-            ats[COVERAGE] = pyramid.reduced_coverage(ats[COVERAGE])
+            ats[COVERAGE] = keep(pyramid.reduced_coverage(ats[COVERAGE]))
             out.append(ats[COVERAGE].select(F.lit(k).alias("level"), F.lit(COVERAGE).alias("kind"), "t", F.lit(-1).alias("b"), "y", "x", F.col("coverage").cast("double").alias("v")))
     rows = out[0]
     for o in out[1:]:
@@ -570,7 +579,7 @@ def _rows(df: DataFrame, cube: M.Cube) -> DataFrame:
         rows = temporal.with_reference(rows, refs, out="star")
     rows = rows.withColumn("late", (F.col("t") != F.col("star")).cast("int"))
     keys = ["level", "row", "col"]
-    return rows.select(*keys, "kind", "star", "late", "t", "b", "y", "x", "v").repartition(*keys).sortWithinPartitions(*keys, "kind", "star", "late", "t")
+    return rows.select(*keys, "kind", "star", "late", "t", "b", "y", "x", "v").repartition(*keys).sortWithinPartitions(*keys, "kind", "star", "late", "t"), kept
 
 
 def write(df: DataFrame, path: str, cube: M.Cube, codec: str = "zstd", level: int | None = None, block: str = M.BLOCK) -> None:
@@ -581,7 +590,7 @@ def write(df: DataFrame, path: str, cube: M.Cube, codec: str = "zstd", level: in
     if not Files(path).empty():
         raise FileExistsError(f"{path} isn't empty")
     codecs.chain(codec, cube.dtype, level)
-    _write(_rows(df, cube), path, cube, 0, codec, level, block)
+    _write(df, path, cube, 0, codec, level, block)
 
 
 def append(df: DataFrame, path: str, times: Sequence[str], codec: str = "zstd", level: int | None = None) -> M.Cube:
@@ -596,7 +605,7 @@ def append(df: DataFrame, path: str, times: Sequence[str], codec: str = "zstd",
     if problems:
         raise ValueError("; ".join(problems))
     grown = M.extended(cube, times)
-    _write(_rows(df, grown), path, grown, n, codec, level, block)
+    _write(df, path, grown, n, codec, level, block)
     return grown
 
 
@@ -621,7 +630,12 @@ def append_problems(df: DataFrame, cube: M.Cube, times: Sequence[str]) -> list[s
     return out
 
 
-def _write(rows: DataFrame, path: str, cube: M.Cube, since: int, codec: str, level: int | None, block: str) -> None:
-    register(rows.sparkSession)
-    w = rows.write.format(FORMAT).mode("append").option("path", path).option("cube", _packed(cube, since)).option("codec", codec).option("block", block)
-    (w.option("level", str(level)) if level is not None else w).save()
+def _write(df: DataFrame, path: str, cube: M.Cube, since: int, codec: str, level: int | None, block: str) -> None:
+    register(df.sparkSession)
+    rows, kept = _rows(df, cube)
+    try:
+        w = rows.write.format(FORMAT).mode("append").option("path", path).option("cube", _packed(cube, since)).option("codec", codec).option("block", block)
+        (w.option("level", str(level)) if level is not None else w).save()
+    finally:
+        for one in kept:
+            one.unpersist()
