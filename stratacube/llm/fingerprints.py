@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratacube.llm.common import id_text, ship, slices, stored
+from stratacube.llm.common import id_text, map_batches, slices, stored
 from stratacube.llm.components import components
 from stratacube.llm.minhash import mixed, texts_of
 
@@ -30,8 +30,8 @@ SAMPLES, BANDS = 256, 32
 PERIOD, CLASSES = 8192, 256
 #: Two sampled symbols are equal by chance this often.
 CHANCE = 1 / 16
-#: Texts walked at once: characters, rows.
-BATCH_CHARS, BATCH_ROWS = 3_000_000, 2_048
+#: Texts walked at once: characters, rows. With fewer than TOGETHER left, each goes on by itself, which is faster then.
+BATCH_CHARS, BATCH_ROWS, TOGETHER = 2_500_000, 2_048, 64
 
 
 def _stays() -> np.ndarray:
@@ -88,6 +88,7 @@ class Levels:
 class Embedding:
     def __init__(self):
         self.stays = _stays()
+        self.stays_list: list[int] | None = None
         self.classes, self.symbols = _by_character(np.arange(1 << 16))
         self.levels = Levels()
 
@@ -110,7 +111,7 @@ class Embedding:
         a, b, c = (np.empty(len(n), np.int32) for _ in range(3))
         stays, mask = self.stays, np.int32(PERIOD - 1)
         i = 0
-        while active:
+        while active >= TOGETHER:
             upto = int(n[active - 1])
             p, s, x, y = at[:active], step[:active], a[:active], b[:active]
             for _ in range(upto - i):
@@ -123,10 +124,24 @@ class Embedding:
                 np.add(p, 1, out=p)
             i = upto
             active = int(np.searchsorted(-n, -i))
+        if active and self.stays_list is None:
+            self.stays_list = stays.tolist()
+        for k in range(active):  # few long texts are left: each by itself
+            a, z = int(at[k]), int(first[order[k]] + n[k])
+            reached[a:z], step[k] = self.walk_on(classes[a:z], int(step[k]))
         end = np.empty(len(n), np.int64)
         end[order] = step
         return reached, end
 
+    def walk_on(self, classes: np.ndarray, step: int) -> tuple[list[int], int]:
+        """walk() for the rest of one text."""
+        stays, mask, out = self.stays_list, PERIOD - 1, []
+        put = out.append
+        for c in classes.tolist():
+            put(step)
+            step += stays[c + (step & mask)]
+        return out, step
+
     def sample(self, reached: np.ndarray, symbols: np.ndarray, end: int) -> tuple[int, int, np.ndarray]:
         """level, end and the symbols shown at the level's steps, of a text's characters."""
         level = self.levels.level_of(end)
@@ -270,8 +285,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     follow = spark.createDataFrame(tails, "to int, head long")
     ends = rows.join(F.broadcast(follow), F.col("doc_id").eqNullSafe(F.col("head"))).select(F.col("to").alias("bucket"), F.lit(1).alias("tail"), "doc_id", "text")
     spread = placed.select("bucket", F.lit(0).alias("tail"), "doc_id", "text").unionByName(ends).repartition(n, "bucket")
-    ship(spark)
-    return spread.sortWithinPartitions("bucket", "tail", F.desc_nulls_last("doc_id"), F.asc_nulls_first("text")).mapInArrow(_stream, SCHEMA)
+    return map_batches(spread.sortWithinPartitions("bucket", "tail", F.desc_nulls_last("doc_id"), F.asc_nulls_first("text")), _stream, SCHEMA)
 
 
 def edit_distance(a: str, b: str, most: int) -> int:

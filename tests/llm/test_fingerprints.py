@@ -20,7 +20,9 @@ def slow_walk(e, text):
     return shown
 
 
-def test_walk_equals_step_by_step():
+@pytest.mark.parametrize("together", [1, 4, 64])
+def test_walk_equals_step_by_step(monkeypatch, together):
+    monkeypatch.setattr(fp, "TOGETHER", together)
     e = fp.Embedding()
     texts = ["", "a", "héllo wörld", "x" * 400, "日本語 😀 text", "ab" * 3000]
     classes, symbols, first, lens = e.characters(texts)
