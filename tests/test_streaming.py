@@ -38,3 +38,31 @@ def test_late_rows_stop_a_batch_append(spark):
     a = spark.createDataFrame([(0, 1), (1, 1)], "t int, v int")
     with pytest.raises(ValueError, match=r"\[1\]"):
         append.appended(a, spark.createDataFrame([(1, 2), (2, 2)], "t int, v int"))
+
+
+def test_stream_into_a_store(spark, tmp_path):
+    import numpy as np
+
+    from stratacube.sources import metadata as M
+    from stratacube.sources import store
+    from stratacube.streaming import stores
+
+    a = np.random.default_rng(1).integers(1, 60000, (5, 1, 6, 6))
+    iso = [f"2024-0{t + 1}-01T00:00:00Z" for t in range(5)]
+    path, schema = f"file://{tmp_path}/s", "iso string, b int, y int, x int, v int"
+    rows = lambda steps: [(iso[t], 0, y, x, int(a[t, 0, y, x])) for t in steps for y in range(6) for x in range(6)]
+    cube = M.new_cube(iso[:2], ["a"], "EPSG:32631", (10.0, 0.0, 0.0, 0.0, -10.0, 0.0), 6, 6, "uint16", 4, interval=3)
+    store.write(spark.createDataFrame([(t, 0, y, x, int(a[t, 0, y, x])) for t in range(2) for y in range(6) for x in range(6)], "t int, b int, y int, x int, v int"), path, cube)
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        stores.append_stream(stream, path, f"file://{tmp_path}/ck", str(tmp_path / "late")).start().awaitTermination()
+
+    spark.createDataFrame(rows([1, 2, 3]), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    spark.createDataFrame(rows([4]), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    got = {(r.t, r.y, r.x): r.v for r in store.read(spark, path).collect()}
+    assert got == {(t, y, x): int(a[t, 0, y, x]) for t in range(5) for y in range(6) for x in range(6)}
+    assert store.load(path)[0].times == tuple(iso)
+    assert {r.iso for r in spark.read.parquet(str(tmp_path / "late")).collect()} == {iso[1]}
