@@ -24,7 +24,8 @@ from stratacube.llm.common import map_batches, map_rows, slices
 BUCKETS, DIM, SIZES = 1 << 15, 16, (2, 3, 4)
 #: Bounds of the training sample: rows in all (dealt evenly over the languages), words of each row.
 TRAIN_ROWS, TRAIN_WORDS = 8_000, 256
-EPOCHS, RATE, BATCH = 6, 4.0, 64
+#: Passes over the sample, or more until there are LEAST_STEPS steps.
+EPOCHS, LEAST_STEPS, RATE, BATCH = 6, 600, 4.0, 64
 #: A text is rejected if its calibrated probability is below what this share of the calibration rows reaches, or this bound if that is lower.
 REJECT_SHARE, REJECT_BELOW = 0.001, 0.35
 #: ... or if less than this share of its subwords, or half of what the calibration rows' least has, was ever seen in training.
@@ -112,8 +113,10 @@ def train(rows: list[tuple[str, str]], seed: int = 1) -> Model:
     for i in fit:
         seen[bags[i][0]] = True
     share = np.bincount(y[fit], minlength=k) / max(len(fit), 1)
-    steps, done = max(1, EPOCHS * -(-len(fit) // BATCH)), 0
-    for _ in range(EPOCHS):
+    a_pass = max(1, -(-len(fit) // BATCH))
+    epochs = max(EPOCHS, -(-LEAST_STEPS // a_pass))
+    steps, done = epochs * a_pass, 0
+    for _ in range(epochs):
         rng.shuffle(fit)
         for lo in range(0, len(fit), BATCH):
             batch = fit[lo : lo + BATCH]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratacube.llm.bpe import Memo
-from stratacube.llm.common import id_text, map_batches, map_rows, slices, stored, utf8
+from stratacube.llm.common import dropped, id_text, map_batches, map_rows, slices, stored, utf8
 from stratacube.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -391,18 +391,29 @@ def family_links(families: DataFrame, classes: DataFrame, comps: DataFrame, docs
 
 
 def near_links(classes: DataFrame, docs: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
-    """node, component of all classes that are linked with another (steps 2 to 4)."""
+    """node, component of all classes that are linked with another (steps 2 to 4). Tables made on the way are deleted."""
     share = similarity[0] / similarity[1]
-    buckets = stored(shared_buckets(classes), "buckets")
+    used: list[DataFrame] = []
+
+    def keep(df: DataFrame, what: str) -> DataFrame:
+        used.append(stored(df, what))
+        return used[-1]
+
+    buckets = keep(shared_buckets(classes), "buckets")
     first = best_leader(estimated(buckets.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), classes, share))
-    links = stored(confirmed(stored(first, "pairs"), docs, shingle, similarity).select("a", "b"), "links")
+    links = keep(confirmed(keep(first, "pairs"), docs, shingle, similarity).select("a", "b"), "links")
     comps = components(links)
-    weak = stored(weak_links(buckets, classes, comps, share), "weak")
-    if weak.isEmpty():
-        return comps
-    families = components(weak.union(comps.select("node", "component"))).withColumnRenamed("component", "family")
-    late = stored(family_links(families, classes, comps, docs, shingle, similarity), "links")
-    return comps if late.isEmpty() else components(links.union(late))
+    weak = keep(weak_links(buckets, classes, comps, share), "weak")
+    if not weak.isEmpty():
+        families = components(weak.union(comps.select("node", "component"))).withColumnRenamed("component", "family")
+        late = keep(family_links(families, classes, comps, docs, shingle, similarity), "links")
+        used.append(families)
+        if not late.isEmpty():
+            used.append(comps)
+            comps = components(links.union(late))
+    for one in used:
+        dropped(one)
+    return comps
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -428,6 +439,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[i
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each group of near duplicates: the one with the smallest id, all columns as they were."""
     gone = near_duplicates(docs, shingle, similarity, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = stored(gone, "gone")  # its size is known before the join: texts needn't be shuffled if it is small
     return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
 
 
