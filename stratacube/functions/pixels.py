@@ -166,3 +166,27 @@ def linear(v: Column, lo: float, hi: float) -> Column:
 def rendered_8bit(v: Column, lo: float, hi: float) -> Column:
     """0 to 255, halves to even."""
     return F.rint(linear(v.cast("double"), lo, hi) * 255).cast("int")
+
+
+def shade(product: str, inputs: list[Column], low: float = 0.0, span: tuple[float, float] | None = None) -> tuple[Column, Column, Column]:
+    """Red, green and blue of a product from its inputs, in the order that the product needs them.
+
+    With a span, values are stretched linearly in place of the tone curve (data that aren't reflectance). Indices are 0
+    where the sum of their inputs isn't positive.
+    """
+    if span is not None:
+        parts = [linear(c, *span) for c in inputs]
+        return (parts[0],) * 3 if product == "band" else tuple((parts + parts[-1:] * 3)[:3])
+    if product == "true_color":
+        return true_color(*inputs, low)
+    if product == "false_color":
+        return tuple(tone(c, low) for c in inputs)
+    if product == "ndvi":
+        return ramp(normalized_difference(inputs[0], inputs[1], 0.0), NDVI_RAMP)
+    if product == "ndwi":
+        return ramp(normalized_difference(inputs[0], inputs[1], 0.0), NDWI_RAMP)
+    if product == "water":
+        return water_colour(inputs[0], inputs[1], low)
+    if product == "band":
+        return (tone(inputs[0], low),) * 3
+    raise ValueError(f"no product {product!r}")

@@ -157,3 +157,18 @@ SELECT s.t, j::INTEGER AS y, i::INTEGER AS x, round(sum(s.v::DOUBLE * (1 - abs(s
 def warp_bilinear(spark, d):
     s = A.ecube(spark, d).filter("t < 3")
     return resample.warped(s, (1.0, 0.0, 0.0, 0.0, -1.0, 0.0), (1.5, 0.0, 0.0, 0.0, -1.5, 0.0), 30, 40, "bilinear").select("t", "y", "x", F.round("v", 5).alias("v"))
+
+
+@query(
+    "warp_cubic",
+    W(
+        """, s AS (SELECT t, y, x, v FROM ecube WHERE t = 1), g AS (SELECT j, i, (j + 0.5::DOUBLE) * 1.25 - 0.5 AS fy, (i + 0.5::DOUBLE) * 1.25 - 0.5 AS fx FROM range(0, 40) a(j), range(0, 51) b(i)),
+d AS (SELECT s.t, j, i, s.v::DOUBLE AS v, abs(s.y - fy) AS dy, abs(s.x - fx) AS dx FROM g JOIN s ON abs(s.y - fy) < 2 AND abs(s.x - fx) < 2),
+w AS (SELECT t, j, i, v, (CASE WHEN dy <= 1 THEN 1.5 * dy * dy * dy - 2.5 * dy * dy + 1 ELSE -0.5 * dy * dy * dy + 2.5 * dy * dy - 4 * dy + 2 END) * (CASE WHEN dx <= 1 THEN 1.5 * dx * dx * dx - 2.5 * dx * dx + 1 ELSE -0.5 * dx * dx * dx + 2.5 * dx * dx - 4 * dx + 2 END) AS w FROM d)
+SELECT t, j::INTEGER AS y, i::INTEGER AS x, round(sum(v * w) / sum(w), 4) AS v FROM w GROUP BY t, j, i HAVING abs(sum(w)) > 1e-12""",
+        "ecube",
+    ),
+)
+def warp_cubic(spark, d):
+    s = A.ecube(spark, d).filter("t = 1")
+    return resample.warped(s, (1.0, 0.0, 0.0, 0.0, -1.0, 0.0), (1.25, 0.0, 0.0, 0.0, -1.25, 0.0), 40, 51, "cubic").select("t", "y", "x", F.round("v", 4).alias("v"))

@@ -137,3 +137,16 @@ def band_by_common_name(spark, d):
 def product_availability(spark, d):
     found = products.find_bands(_bands(spark), products.common_names(spark))
     return products.availability(found, {**products.PRODUCTS, "moisture": ["nir", "swir22"]}).select("product", "available", "missing")
+
+
+@query("false_color", W(PAIR + f" SELECT t, y, x, round({tone('nr')}, 8) AS r, round({tone('gr')}, 8) AS g, round({tone('gr')}, 8) AS b FROM q WHERE t < 6", "cube"))
+def false_color(spark, d):
+    p = pairs(spark, d).filter("t < 6")
+    rgb = pixels.shade("false_color", [F.col("nr"), F.col("gr"), F.col("gr")])
+    return p.select("t", "y", "x", *[F.round(c, 8).alias(n) for c, n in zip(rgb, "rgb", strict=True)])
+
+
+@query("band_linear", W("SELECT t, y, x, round(greatest(least((v::DOUBLE - 500) / 3500, 1), 0), 8) AS r FROM cube WHERE b = 0", "cube"))
+def band_linear(spark, d):
+    r, g, b = pixels.shade("band", [F.col("v").cast("double")], span=(500.0, 4000.0))
+    return A.cube(spark, d).filter("b = 0").select("t", "y", "x", F.round(r, 8).alias("r"))

@@ -111,7 +111,7 @@ def test_labels():
     assert labels.parse_time("2024-03-01T10:30:00+02:00").isoformat() == "2024-03-01T08:30:00+00:00"
     with pytest.raises(ValueError):
         labels.parse_time("March")
-    assert labels.default_id("https://x.org/data/ucayali/store-2/") == "ucayali-store-2" and labels.default_id("/") == "store"
+    assert labels.default_id("https://x.org/data/river/store-2/") == "river-store-2" and labels.default_id("/") == "store"
     assert labels.byte_range("bytes=0-3", 10) == (0, 3) and labels.byte_range("bytes=8-", 10) == (8, 9) and labels.byte_range("bytes=-4", 10) == (6, 9)
     assert labels.byte_range("bytes=20-", 10) is None and labels.byte_range("items=0-1", 10) is None and labels.byte_range("bytes=3-2", 10) is None
     view = {"t": 3, "product": "ndvi", "band": "B08", "zoom": 2.345678, "center": (12.34, 56.78)}
