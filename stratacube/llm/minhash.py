@@ -7,16 +7,15 @@ everywhere and similar sets agree with a chance equal to their similarity, howev
 
 1. Documents with equal sets are one class; from here on a class stands for them.
 2. Banding: BANDS runs of ROWS registers are keys. Classes that share a key are candidates.
-3. Within a bucket of a key, each class is tried against the bucket's leader (the one that is first in a fixed random
-   order): the share of equal registers, corrected for chance collisions of registers, estimates the similarity;
-   pairs far below the threshold go. The rest are confirmed on their full sets. Links make components.
-   Of a class's pairs only the one with the best estimate is confirmed at first.
+3. Each bucket of a key has a leader (the class that is first in a fixed random order). Each class is tried against the
+   leader that it shares most buckets with: the share of equal registers, corrected for chance collisions of registers,
+   estimates the similarity; pairs far below the threshold go. The rest are confirmed on their full sets. Links make
+   components.
 4. A pair that no leader has joined can still be a link. Where a bucket holds several components, classes of different
    components are compared by registers, in blocks of bounded size, a bucket of any size being dealt over many tasks.
-   A task reports which components may belong together by a spanning forest, so at most one pair per component. What
-   these pairs connect is a family; in each family with several components all full sets are compared across
-   components, again in blocks and again reporting a spanning forest. So rows and data grow with the classes, not with
-   their pairs.
+   A task reports at most one pair of components per component. What these pairs connect is a family; in each family
+   all full sets are compared across components, again in blocks, and a spanning forest of the links is reported. So
+   rows and data grow with the classes, not with their pairs.
 
 So every pair that shares a key is either confirmed, refuted, or known to be in one component already. With 32 bands of
 4, a pair at the threshold of 0.8 shares no key with a chance below 1e-7.
@@ -45,7 +44,7 @@ COLLISION = 2.0**-MANTISSA
 #: ESTIMATE_FROM on, so a link is refuted with a chance below 1e-6. Smaller sets are never refuted by it.
 MARGIN, ESTIMATE_FROM = 0.21, 10
 #: Classes, and shingles of their sets, in one block of step 4.
-BLOCK, BLOCK_SHINGLES = 512, 500_000
+BLOCK, BLOCK_SHINGLES = 1024, 500_000
 #: Pairs that one copy of a document's text serves; bits of the bitmap of wanted ids.
 PER_SALT, MAX_BITS = 64, 1 << 27
 
@@ -159,25 +158,28 @@ def shared_buckets(classes: DataFrame) -> DataFrame:
     return keyed.join(leaders.select("key", F.col("first.node").alias("leader")), "key").select("key", "node", "leader")
 
 
+def best_leader(buckets: DataFrame) -> DataFrame:
+    """a, b: for each class the leader that it shares most buckets with, one pair per class.
+
+    The number of shared buckets rises with the similarity; step 4 takes up the other leaders' components if this one fails.
+    """
+    shared = buckets.filter("node <> leader").groupBy("leader", "node").agg(F.count("*").alias("n"))
+    return shared.groupBy(F.col("node").alias("b")).agg(F.max(F.struct("n", "leader")).alias("best")).select(F.col("best.leader").alias("a"), "b")
+
+
 def estimated(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """a, b, estimate of the pairs that kept_by_estimate() leaves."""
+    """The pairs a, b that kept_by_estimate() leaves."""
     c = classes.select("node", "n_shingles", "regs")
     rows = pairs.join(c.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("regs").alias("ra")), "a").join(c.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("regs").alias("rb")), "b")
 
     def make():
         def act(part: pa.RecordBatch) -> pa.RecordBatch:
-            ra, rb = matrix(part.column(3)), matrix(part.column(5))
-            ok = pa.array(kept_by_estimate(ra, rb, part.column(2).to_numpy(), part.column(4).to_numpy(), similarity))
-            return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(estimate(ra, rb))], ["a", "b", "estimate"]).filter(ok)
+            ok = kept_by_estimate(matrix(part.column(3)), matrix(part.column(5)), part.column(2).to_numpy(), part.column(4).to_numpy(), similarity)
+            return part.select(["a", "b"]).filter(pa.array(ok))
 
         return act
 
-    return map_rows(rows.select("a", "b", "na", "ra", "nb", "rb"), make, "a long, b long, estimate double")
-
-
-def best_leader(pairs: DataFrame) -> DataFrame:
-    """Of each b's pairs that with the highest estimate; step 4 takes up the others if it fails."""
-    return pairs.groupBy("b").agg(F.max(F.struct("estimate", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    return map_rows(rows.select("a", "b", "na", "ra", "nb", "rb"), make, "a long, b long")
 
 
 class Forest:
@@ -213,7 +215,7 @@ def dealt(rows: DataFrame, group: str, blocks: DataFrame) -> DataFrame:
 
 
 def weak_links(buckets: DataFrame, classes: DataFrame, comps: DataFrame, similarity: float) -> DataFrame:
-    """a, b: classes of different components that share a key and pass kept_by_estimate(); per block, a spanning forest of them."""
+    """a, b: components with classes that share a key and pass kept_by_estimate(); per block, each with one it hangs together with."""
     known = classes.join(comps, "node", "left").select("node", "n_shingles", "regs", F.coalesce("component", "node").alias("component"))
     keyed = buckets.select("key", "node").join(known.select("node", "component"), "node")
     shares = keyed.groupBy("key", "component").agg(F.count("*").alias("n"))
@@ -256,18 +258,18 @@ def pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def crossing(block: pa.Table, similarity: float) -> pa.RecordBatch:
-    """A spanning forest of the components of one block whose classes may be linked."""
+    """Which components of one block may belong together: each with the smallest one it hangs together with."""
     node, comp, size = (block.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
     probe, major = (block.column(c).to_numpy(zero_copy_only=False) for c in ("probe", "is_major"))
     regs = matrix(block.column("regs").combine_chunks())
-    home, forest, found = np.flatnonzero(~probe), Forest(), []
+    home, forest = np.flatnonzero(~probe), Forest()
     for x in np.flatnonzero(probe).tolist():
         to = home[(comp[home] != comp[x]) & (major[home] | (comp[home] > comp[x]))]
         if len(to):
-            ok = to[kept_by_estimate(regs[x][None, :], regs[to], np.full(len(to), size[x]), size[to], similarity)]
-            others, first = np.unique(comp[ok], return_index=True)
-            found += [(int(node[x]), int(node[ok[k]])) for c, k in zip(others.tolist(), first.tolist(), strict=True) if forest.join(int(comp[x]), c)]
-    return pairs_batch(found)
+            ok = kept_by_estimate(regs[x][None, :], regs[to], np.full(len(to), size[x]), size[to], similarity)
+            for c in np.unique(comp[to[ok]]).tolist():
+                forest.join(int(comp[x]), c)
+    return pairs_batch([(r, c) for c in list(forest.up) if (r := forest.root(c)) != c])
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -350,11 +352,11 @@ class Postings:
 
 
 def family_links(families: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
-    """a, b: links between full sets of different components of a family (families: node, family); per block, a spanning forest."""
+    """a, b: links between full sets of different components of a family (families: component, family); per block, a spanning forest."""
     num, den = similarity
     spark = families.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    member = families.join(classes.select("node", "n_shingles"), "node").join(comps, "node", "left").select("family", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
+    member = classes.select("node", "n_shingles").join(comps, "node", "left").select("node", "n_shingles", F.coalesce("component", "node").alias("component")).join(families, "component")
     shares = member.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     several = shares.groupBy("family").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("k")).filter("k > 1")
     several = several.select("family", F.col("top.component").alias("major"), F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
@@ -400,12 +402,12 @@ def near_links(classes: DataFrame, docs: DataFrame, shingle: int, similarity: tu
         return used[-1]
 
     buckets = keep(shared_buckets(classes), "buckets")
-    first = best_leader(estimated(buckets.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), classes, share))
+    first = estimated(best_leader(buckets), classes, share)
     links = keep(confirmed(keep(first, "pairs"), docs, shingle, similarity).select("a", "b"), "links")
     comps = components(links)
     weak = keep(weak_links(buckets, classes, comps, share), "weak")
     if not weak.isEmpty():
-        families = components(weak.union(comps.select("node", "component"))).withColumnRenamed("component", "family")
+        families = components(weak).select(F.col("node").alias("component"), F.col("component").alias("family"))
         late = keep(family_links(families, classes, comps, docs, shingle, similarity), "links")
         used.append(families)
         if not late.isEmpty():
