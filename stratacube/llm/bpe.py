@@ -23,8 +23,8 @@ from stratacube.llm.common import id_text, map_rows
 #: Blocks whose letters, numbers, spaces and case have been the same in all Unicode versions of the last years. A text
 #: with anything else is normalised and split by the library, whose tables decide.
 SETTLED = regex.compile(r"[\x00-ԯ֐-ۿऄ-ह฀-ฺḀ-῿ -⁤₠-₿℀-⯿　-鿯가-힣︀-￯\U0001F300-\U0001F64F\U0001F680-\U0001F6C5]*+")
-#: Entries of a worker's cache of pre-tokens; it starts anew when full, so memory stays bounded.
-CACHE_ENTRIES = 300_000
+#: Entries of a worker's cache of pre-tokens, which bounds its memory.
+CACHE_ENTRIES = 240_000
 
 
 def byte_characters() -> list[str]:
@@ -41,16 +41,21 @@ def byte_characters() -> list[str]:
 
 
 class Memo(dict):
-    """A dict that computes what it lacks and empties itself when full."""
+    """A dict that computes what it lacks. It holds two generations of half its size: when the young one is full it becomes
+    the old one, and what is asked for again moves back, so frequent keys stay."""
 
     def __init__(self, make, entries: int = CACHE_ENTRIES):
         super().__init__()
-        self.make, self.entries = make, entries
+        self.make, self.half, self.old = make, max(1, entries // 2), {}
 
     def __missing__(self, key):
-        if len(self) >= self.entries:
+        out = self.old.pop(key, None)
+        if out is None:
+            out = self.make(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
             self.clear()
-        out = self[key] = self.make(key)
+        self[key] = out
         return out
 
 

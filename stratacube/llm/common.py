@@ -19,7 +19,7 @@ from stratacube.shipping import ship
 #: Rows and (about) bytes of one slice of an Arrow batch, which are Python objects at the same time.
 SLICE_ROWS, SLICE_BYTES = 512, 2 << 20
 #: Bytes of an Arrow batch between Spark and Python, the setting for it and that setting's default.
-BATCH_BYTES, BATCH_CONF, DEFAULT_BATCH = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+BATCH_BYTES, BATCH_CONF, DEFAULT_BATCH = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
