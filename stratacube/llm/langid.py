@@ -3,8 +3,12 @@
 A word is the mean of the embeddings of its subwords (runs of 2 to 4 characters, word ends marked, hashed into
 BUCKETS); a text is the mean of its words, over the whole text. The softmax over languages is linear in that mean, so
 after training each bucket's embedding is folded into one score per language, and a task keeps the scores of the words it
-has met. A temperature fitted on rows set aside makes the score a calibrated probability, and the same rows
-set what is rejected.
+has met. A temperature fitted on rows set aside makes the score a calibrated probability.
+
+A text is rejected if too few of its subwords are known, or if its probability is too low. Which subwords are known is
+kept apart from the buckets, by 64-bit hashes, so it doesn't fill up as the sample grows. Both bounds are chosen between
+the rows set aside (whole, their first few words, two languages mixed) and noise made from them (letters shuffled,
+letters exchanged for each other, a script that training hasn't seen).
 
 Training takes a bounded sample (TRAIN_ROWS labelled rows, TRAIN_WORDS words of each, spread over the whole text).
 """
@@ -26,10 +30,10 @@ BUCKETS, DIM, SIZES = 1 << 15, 16, (2, 3, 4)
 TRAIN_ROWS, TRAIN_WORDS = 8_000, 256
 #: Passes over the sample, or more until there are LEAST_STEPS steps.
 EPOCHS, LEAST_STEPS, RATE, BATCH = 6, 600, 4.0, 64
-#: A text is rejected if its calibrated probability is below what this share of the calibration rows reaches, or this bound if that is lower.
-REJECT_SHARE, REJECT_BELOW = 0.001, 0.35
-#: ... or if less than this share of its subwords, or half of what the calibration rows' least has, was ever seen in training.
-FAMILIAR = 0.3
+#: The bound of the probability where calibration leaves it open.
+REJECT_BELOW = 0.35
+#: A wrong rejection counts as much as so many kinds of noise kept; words of the short known texts; rows that noise is made from.
+REJECT_COST, PIECES, NOISE_ROWS = 20, (3, 8), 400
 #: Words of a task's cache; a longer run of letters counts as several words of PIECE characters.
 CACHE_WORDS, PIECE = 200_000, 48
 UND = "und"
@@ -45,8 +49,8 @@ def words(text: str) -> list[str]:
     return out
 
 
-def subwords(ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of all subwords of the words, one after the other, and how many each word has (one at least)."""
+def subword_hashes(ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of all subwords of the words, one after the other, and how many each word has (one at least)."""
     joined = "".join(f"<{w}>" for w in ws)
     chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.fromiter(map(len, ws), np.int64, len(ws)) + 2
@@ -60,29 +64,53 @@ def subwords(ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
         for k in range(n):
             h = (h ^ chars[at + k]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        hashes.append((h >> np.uint64(17)) % np.uint64(BUCKETS))
+        hashes.append(h)
         owners.append(word[at])
-    h, o = np.concatenate(hashes).astype(np.int64), np.concatenate(owners)
+    h, o = np.concatenate(hashes), np.concatenate(owners)
     order = np.argsort(o, kind="stable")
     return h[order], np.bincount(o, minlength=len(ws))
 
 
+def buckets(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes >> np.uint64(17)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def subwords(ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all subwords of the words, one after the other, and how many each word has (one at least)."""
+    h, n = subword_hashes(ws)
+    return buckets(h), n
+
+
+def member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which values are among those of a sorted array."""
+    if not len(of):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(of, values)
+    at[at == len(of)] = 0
+    return of[at] == values
+
+
 @dataclass
 class Model:
     langs: list[str]
     scores: np.ndarray  # [BUCKETS, languages]: embedding times softmax weights
     bias: np.ndarray
-    seen: np.ndarray  # [BUCKETS] bool
+    known: np.ndarray  # sorted hashes of the subwords seen in training
     temperature: float = 1.0
     reject_below: float = 0.0
     familiar: float = 0.0
 
     def word_scores(self, ws: list[str]) -> np.ndarray:
         """Per word the mean score of its subwords, and in the last column the share of them seen in training."""
-        h, n = subwords(ws)
-        full = np.concatenate([self.scores[h], self.seen[h][:, None].astype(np.float32)], axis=1)
+        h, n = subword_hashes(ws)
+        full = np.concatenate([self.scores[buckets(h)], member(h, self.known)[:, None].astype(np.float32)], axis=1)
         return np.add.reduceat(full, np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0) / n[:, None]
 
+    def text_scores(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts as lists of words: the probability of the best language, the share of subwords seen in training."""
+        mean = np.stack([self.word_scores(ws).mean(axis=0, dtype=np.float64) for ws in texts])
+        return self.probabilities(mean[:, :-1]).max(axis=1), mean[:, -1]
+
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = (logits + self.bias) / self.temperature
         z = np.exp(z - z.max(axis=-1, keepdims=True))
@@ -97,6 +125,53 @@ def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     return buckets, np.bincount(at, weight).astype(np.float32)
 
 
+def noise(texts: list[list[str]], rng: np.random.Generator) -> list[list[str]]:
+    """Three texts in no language from each: letters shuffled over the text, exchanged for each other, of an unseen script."""
+    letters = sorted(set("".join("".join(ws) for ws in texts)))
+    unseen = {ord(c): chr(0xF0000 + i) for i, c in enumerate(letters)}
+    out = []
+    for ws in texts:
+        ends = np.cumsum([len(w) for w in ws]).tolist()
+        all_ = "".join(ws)
+        shuffled = "".join(all_[i] for i in rng.permutation(len(all_)))
+        own = sorted(set(all_))
+        other = {ord(c): own[k] for c, k in zip(own, rng.permutation(len(own)), strict=True)}
+        out += [[shuffled[a:z] for a, z in zip([0, *ends], ends, strict=False)], [w.translate(other) for w in ws], [w.translate(unseen) for w in ws]]
+    return out
+
+
+def between(good: np.ndarray, bad: np.ndarray, of: int) -> tuple[float, float]:
+    """The range of bounds that cost least, if good ones below cost REJECT_COST and bad ones (of ``of``) not below cost 1."""
+    cuts = np.unique(np.concatenate([[0.0], good, bad, [1.0]]))
+    cost = REJECT_COST * np.searchsorted(np.sort(good), cuts) / len(good) + (len(bad) - np.searchsorted(np.sort(bad), cuts)) / of
+    best = int(cost.argmin())
+    least = cuts[best - 1] if best else 0.0  # any bound above the cut before costs the same
+    upto = cuts[np.flatnonzero(np.isclose(cost, cost[best]))].max()
+    return float(least), float(upto)
+
+
+def calibrate(model: Model, rows: list[tuple[str, list[str]]], rng: np.random.Generator, alone: np.ndarray | None = None) -> None:
+    """Set what the model rejects, by rows (language, words) that it wasn't fitted on.
+
+    Without such rows, alone has for each row the share of its subwords that other rows have, and probabilities reject nothing.
+    """
+    texts = [ws for _, ws in rows]
+    some = [texts[i] for i in rng.permutation(len(texts))[:NOISE_ROWS]]
+    bad_p, bad = model.text_scores(noise(some, rng))
+    if alone is not None:
+        model.familiar = float(np.mean(between(alone, bad, len(bad))))
+        return
+    first: dict[str, list[str]] = {}
+    mixed = []
+    for lang, ws in rows:
+        mixed += [ws[: len(x)] + x[: len(ws)] for other, x in first.items() if other != lang]
+        first[lang] = ws
+    p, good = model.text_scores(texts + [ws[:n] for ws in texts for n in PIECES] + mixed[: len(texts)])
+    model.familiar = float(np.mean(between(good, bad, len(bad))))
+    least, upto = between(p[good >= model.familiar], bad_p[bad >= model.familiar], len(bad))
+    model.reject_below = float(np.clip(REJECT_BELOW, least, upto))
+
+
 def train(rows: list[tuple[str, str]], seed: int = 1) -> Model:
     """Fit on (language, words joined by spaces). Every tenth row is set aside for calibration."""
     rng = np.random.default_rng(seed)
@@ -109,9 +184,9 @@ def train(rows: list[tuple[str, str]], seed: int = 1) -> Model:
     k = len(langs)
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     w, b = np.zeros((DIM, k), np.float32), np.zeros(k, np.float32)
-    seen = np.zeros(BUCKETS, bool)
-    for i in fit:
-        seen[bags[i][0]] = True
+    known = np.zeros(0, np.uint64)
+    for lo in range(0, len(fit), 256):
+        known = np.unique(np.concatenate([known, *(subword_hashes(rows[i][1].split(" "))[0] for i in fit[lo : lo + 256])]))
     share = np.bincount(y[fit], minlength=k) / max(len(fit), 1)
     a_pass = max(1, -(-len(fit) // BATCH))
     epochs = max(EPOCHS, -(-LEAST_STEPS // a_pass))
@@ -136,19 +211,22 @@ def train(rows: list[tuple[str, str]], seed: int = 1) -> Model:
             b -= rate * p.sum(axis=0)
             np.add.at(emb, idx, -rate * DIM * np.repeat(gh, n, axis=0) * val[:, None])
             done += 1
-    model = Model(langs, emb @ w, b, seen)
+    model = Model(langs, emb @ w, b, known)
     if len(aside):
         logits = np.stack([(model.scores[bags[i][0]] * bags[i][1][:, None]).sum(axis=0) for i in aside])
         best = np.inf
         for t in np.geomspace(0.05, 20, 60):
-            model_t = Model(langs, model.scores, b, seen, float(t))
+            model_t = Model(langs, model.scores, b, known, float(t))
             loss = -np.log(np.maximum(model_t.probabilities(logits)[np.arange(len(aside)), y[aside]], 1e-12)).mean()
             if loss < best:
                 best, model.temperature = loss, float(t)
-        top = model.probabilities(logits).max(axis=1)
-        known = [float((seen[bags[i][0]] * bags[i][1]).sum()) for i in aside]
-        model.reject_below = float(min(REJECT_BELOW, np.quantile(top, REJECT_SHARE)))
-        model.familiar = float(min(FAMILIAR, 0.5 * min(known)))
+        calibrate(model, [(rows[i][0], rows[i][1].split(" ")) for i in aside], rng)
+    elif len(rows):
+        texts = [text.split(" ") for _, text in rows]
+        own = [subword_hashes(ws) for ws in texts]
+        values, many = np.unique(np.concatenate([np.unique(h) for h, _ in own]), return_counts=True)
+        values = values[many > 1]
+        calibrate(model, [(lang, ws) for (lang, _), ws in zip(rows, texts, strict=True)], rng, np.array([np.average(member(h, values), weights=np.repeat(1 / n, n)) for h, n in own]))
     return model
 
 
@@ -233,7 +311,7 @@ class Scorer:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model:
     """A model of the labelled rows of docs that may be learnt from; without any, one that rejects everything."""
     found = sample(docs, id_col, text_col, lang_col, rows)
-    return train(found) if found else Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), np.zeros(BUCKETS, bool))
+    return train(found) if found else Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), np.zeros(0, np.uint64))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -63,3 +63,26 @@ def test_no_rows(spark, model):
     assert langid.identify(empty, model).count() == 0
     one = spark.createDataFrame([(1, "the", "en")], "doc_id long, text string, lang string")
     assert langid.identify(one, nothing).first().lang_pred == "und"
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_noise_is_rejected_at_every_size(spark, size):
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    model = langid.fit(docs)
+    rng = np.random.default_rng(3)
+    held = [w for t in docs.filter(~langid.learnable()).orderBy("doc_id").limit(300).toPandas()["text"] if len(w := langid.words(t or "")) >= 20]
+    scorer = langid.Scorer(model)
+    share = lambda texts: np.mean([x[2] for x in scorer.predict([" ".join(ws) for ws in texts])])
+    shuffled = ["".join(rng.permutation(list("".join(ws)))) for ws in held]
+    ends = [np.cumsum([len(w) for w in ws]).tolist() for ws in held]
+    assert share(held) < 0.01
+    assert share([[s[a:z] for a, z in zip([0, *e], e, strict=False)] for s, e in zip(shuffled, ends, strict=True)]) > 0.99
+    for first in (0x4E00, 0x430, 0xAC00):  # Han, Cyrillic, Hangul
+        assert share([["".join(chr(first + (ord(c) % 26)) for c in w) for w in ws] for ws in held]) > 0.99
+
+
+def test_few_rows_reject_noise():
+    base = "the quick brown fox jumps over the lazy dog and runs away from the old house near the river"
+    model = langid.train([("en", base), ("en", base + " again"), ("de", "der schnelle braune fuchs springt über den faulen hund")] * 3)
+    got = langid.Scorer(model).predict([base, "жил был у бабушки серенький козлик"])
+    assert [x[2] for x in got] == [False, True]
