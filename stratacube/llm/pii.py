@@ -104,7 +104,7 @@ def _classed(text: str, kind: str, key: str) -> str:
 
 def _email(m: str, key: str) -> str:
     at = f"instr({m}, '@')"
-    return f"concat({_classed(f'substring({m}, 1, {at} - 1)', 'email', key)}, substring({m}, {at}, 400))"
+    return f"concat({_classed(f'substring({m}, 1, {at} - 1)', 'email', key)}, substring({m}, {at}))"
 
 
 def _card(m: str, key: str) -> str:

@@ -77,3 +77,10 @@ def test_native_and_empty(spark):
     assert pii.pseudonymise(docs).count() == 0
     plan = pii.pseudonymise(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_long_domains_stay_whole(run):
+    domain = ".".join(f"part{i}" for i in range(150)) + ".example.com"
+    assert len(domain) > 1000
+    (r,) = run([f"from ab.c1@{domain} on"])
+    assert r._pii.n_email == 1 and r.text.endswith(f"@{domain} on") and len(r.text) == len(f"from ab.c1@{domain} on")
