@@ -3,8 +3,8 @@
 Base spans come from three patterns (assign, access, hex), leftmost and not overlapping within a kind.
 
 The battery looks at every run of MIN_LENGTH or more characters of the base64 alphabets, within limits of words. Its
-encoding is inferred as the smallest alphabet that holds the run (decimal, hex, base32, letters and digits, base64). A
-secret is random over its alphabet; written language is not. Three tests ask how random the run looks:
+encoding is inferred as the smallest alphabet that holds the run (decimal, hex, lower or upper case, base32, letters,
+letters and digits, base64). A secret is random over its alphabet; written language is not. Three tests ask how random the run looks:
 
 * chi-squared: are the alphabet's symbols equally frequent,
 * runs: is the number of runs above and below the alphabet's middle that of independent symbols,
@@ -13,14 +13,17 @@ secret is random over its alphabet; written language is not. Three tests ask how
 Fisher's method joins the three into one p-value for "random". Small values are what language gives. Over all
 documents, the rejections of "random" are controlled by Benjamini and Hochberg's rule within each class of length: as
 long runs are rejected more easily than short ones, each class has its own family. A run that survives is a secret if
-its class has the power to tell: a run so short that even one repeated letter could pass is never reported, nor is one
-with fewer than MIN_KINDS kinds of characters (digits, lower, upper), which a plain word may be.
+it is long enough to tell: a run so short that even one repeated letter could pass is never tested. One with fewer than
+MIN_KINDS kinds of characters (digits, lower, upper) may be a plain word or number; it is tested from the length on at
+which chi-squared alone rejects written language with a chance of POWER.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from functools import cache
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +44,13 @@ CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}=
 FDR, BINS, PER_DECADE = 0.05, 200, 10
 KINDS = ("assign", "access", "hex", "random")
 
-ALPHABETS = ("0123456789", "0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/-_")
-_SETS = [(frozenset(a), {c: i for i, c in enumerate(a)}) for a in ALPHABETS]
+ALPHABETS = ("0123456789", "0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/-_", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+#: From the smallest.
+_SETS = [(frozenset(a), {c: i for i, c in enumerate(a)}) for a in sorted(ALPHABETS, key=len)]
+#: Chance that two symbols are equal: letters of written English, digits by Benford's law.
+LETTERS_EQUAL, DIGITS_EQUAL = 0.0655, 0.1652
+#: With what chance language must be rejected, at half of FDR (that of a class that is half language).
+POWER = 0.95
 
 
 def normal_tail(z: float) -> float:
@@ -101,9 +109,26 @@ def p_bin(p: float) -> int:
     return min(BINS - 1, int(-math.log10(max(p, 1e-300)) * PER_DECADE))
 
 
-def can_tell(n: int, alphabet: int) -> bool:
-    """Whether a run of one letter of this length would be rejected at a thousandth of FDR by the chi-squared test alone."""
-    return chi2_tail(n * (alphabet - 1.0), alphabet - 1) < FDR / 1000
+@cache
+def can_tell(n: int, alphabet: int, kinds: int) -> bool:
+    """Whether the chi-squared test alone can tell a run of this length from what isn't a secret.
+
+    With MIN_KINDS kinds of characters, a run of one letter must be rejected at a thousandth of FDR. With fewer, written
+    language must be rejected with a chance of POWER at half of FDR, by Sankaran's approximation of the statistic.
+    """
+    if kinds >= MIN_KINDS:
+        return chi2_tail(n * (alphabet - 1.0), alphabet - 1) < FDR / 1000
+    k = alphabet - 1
+    z = NormalDist().inv_cdf(1 - FDR / 2)
+    critical = k * (1 - 2 / (9 * k) + z * math.sqrt(2 / (9 * k))) ** 3
+    off = n * (alphabet * (DIGITS_EQUAL if alphabet == 10 else LETTERS_EQUAL) - 1)
+    if off <= 0:
+        return False
+    h = 1 - 2 / 3 * (k + off) * (k + 3 * off) / (k + 2 * off) ** 2
+    p = (k + 2 * off) / (k + off) ** 2
+    m = (h - 1) * (1 - 3 * h)
+    at = ((critical / (k + off)) ** h - (1 + h * p * (h - 1 - 0.5 * (2 - h) * m * p))) / (h * math.sqrt(2 * p) * (1 + 0.5 * m * p))
+    return NormalDist().cdf(at) <= 1 - POWER
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -123,8 +148,9 @@ def candidates(text: str) -> list[tuple[int, int, int, int]]:
     for m in CANDIDATE.finditer(text):
         run = m[0]
         kinds = bool(re.search("[0-9]", run)) + bool(re.search("[a-z]", run)) + bool(re.search("[A-Z]", run))
-        size = next((len(a) for a, (s, _) in zip(ALPHABETS, _SETS, strict=True) if set(run.rstrip("=")) <= s), 0)
-        if kinds >= MIN_KINDS and size and can_tell(len(run), size):
+        symbols = set(run.rstrip("="))
+        size = next((len(s) for s, _ in _SETS if symbols <= s), 0)
+        if size and can_tell(len(run), size, kinds):
             out.append((m.start(), m.end(), length_class(len(run)), p_bin(battery(run)[3])))
     return out
 

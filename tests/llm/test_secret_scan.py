@@ -60,3 +60,20 @@ def test_step_up_rule():
 
 def test_empty(spark):
     assert ss.digests(ss.scan(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def test_keys_of_one_kind(spark):
+    r = random.Random(6)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"]
+    secret = [(i, f"value {''.join(r.choices(alphabets[i % 3], k=64 + i))} end") for i in range(60)]
+    words = "the of and that with from this have which there their would about other after first these where people water".split()
+    plain = [(1000 + i, "see " + "".join(r.choices(words, k=24)) + " " + "-" * 40 + " " + "1000" * 20 + " internationalization") for i in range(200)]
+    got = {x.doc_id: x.spans for x in ss.digests(ss.scan(spark.createDataFrame(secret + plain, "doc_id long, text string"))).collect()}
+    assert sum("random" in got[i] for i, _ in secret if i % 3 < 2) >= 36
+    assert all("hex" in got[i] for i, _ in secret if i % 3 == 2)  # 24 decimals or more are a base span already
+    assert sum("random" in got[i] for i, _ in plain) <= 20
+
+
+def test_power_against_language():
+    assert not ss.can_tell(16, 26, 1) and ss.can_tell(64, 26, 1) and not ss.can_tell(16, 10, 1) and ss.can_tell(64, 10, 1)
+    assert ss.can_tell(16, 62, 2)
