@@ -7,7 +7,8 @@ four bits of each. The samples are nested: level l has the steps whose hash ends
 level at which it shows at most SAMPLES, and fingerprints of different levels meet at the coarser one.
 
 Candidates for near copies come from banding: the sampled steps are dealt over BANDS bands by a hash, and two texts meet
-in a band if they show the same in all of it. They are then verified by the edit distance of their whole texts.
+in a band if they show the same in all of it. Every two texts that meet are verified by the edit distance of their whole
+texts, refuted by a bound on it (lengths, counts of hashed runs of three characters), or in one component already.
 """
 
 from __future__ import annotations
@@ -21,15 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratacube.llm.common import id_text, map_batches, slices, stored
+from stratacube.llm.common import id_text, map_batches, map_rows, slices, stored
 from stratacube.llm.components import components
-from stratacube.llm.minhash import mixed, texts_of
+from stratacube.llm.minhash import BLOCK, Forest, dealt, groups, mixed, pairs_batch, texts_of
 
 SAMPLES, BANDS = 256, 32
 #: Steps after which the walk's random bits repeat, and classes of characters that share them.
 PERIOD, CLASSES = 8192, 256
 #: Two sampled symbols are equal by chance this often.
 CHANCE = 1 / 16
+#: Counts of a text's profile, characters in a run; characters of the texts in one block of the last verification.
+PROFILE, RUN, BLOCK_CHARS = 512, 3, 4_000_000
 #: Texts walked at once: characters, rows. With fewer than TOGETHER left, each goes on by itself, which is faster then.
 BATCH_CHARS, BATCH_ROWS, TOGETHER = 2_500_000, 2_048, 64
 
@@ -310,29 +313,147 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return int(row[len(y) - len(x) + most])
 
 
+def profile(text: str) -> bytes:
+    """How often the text's runs of RUN characters have each of PROFILE hashes, 255 at most."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = max(0, len(codes) - RUN + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(RUN):
+        h = mixed(h + codes[k : k + n] + np.uint64(1))
+    return np.minimum(np.bincount((h % np.uint64(PROFILE)).astype(np.int64), minlength=PROFILE), 255).astype(np.uint8).tobytes()
+
+
+def profiles(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, PROFILE).astype(np.int16)
+
+
+def possible(na: np.ndarray, a: np.ndarray, nb: np.ndarray, b: np.ndarray, most: float) -> np.ndarray:
+    """Which pairs may be near copies: an edit changes a length by 1 and a profile by 2 * RUN at most, so none is lost."""
+    limit = (most * np.maximum(na, nb)).astype(np.int64)
+    return (np.abs(na - nb) <= limit) & (np.abs(a - b).sum(axis=-1, dtype=np.int64) <= 2 * RUN * limit)
+
+
+def are_copies(a: str, b: str, most: float) -> bool:
+    limit = int(most * max(len(a), len(b)))
+    return edit_distance(a, b, limit) <= limit
+
+
+def may_be_copies(pairs: DataFrame, nodes: DataFrame, most: float) -> DataFrame:
+    """The pairs a, b that possible() leaves; nodes: node, n_chars, profile."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n_chars").alias(f"n{c}"), F.col("profile").alias(f"p{c}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "pa", "nb", "pb")
+
+    def make():
+        def act(part: pa.RecordBatch) -> pa.RecordBatch:
+            ok = possible(part.column(2).to_numpy(), profiles(part.column(3)), part.column(4).to_numpy(), profiles(part.column(5)), most)
+            return part.select(["a", "b"]).filter(pa.array(ok))
+
+        return act
+
+    return map_rows(rows, make, "a long, b long")
+
+
+def weak_copies(keyed: DataFrame, nodes: DataFrame, comps: DataFrame, most: float) -> DataFrame:
+    """a, b: components with texts that share a key and may be copies; per block, each with one it hangs together with."""
+    known = nodes.join(comps, "node", "left").select("node", "n_chars", "profile", F.coalesce("component", "node").alias("component"))
+    keyed = keyed.join(known.select("node", "component"), "node")
+    shares = keyed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    several = shares.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("k")).filter("k > 1")
+    several = several.select("key", F.col("top.component").alias("major"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = dealt(keyed, "key", several).join(known.drop("component"), "node").select("key", "block", "node", "component", "is_major", "probe", "n_chars", "profile")
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
+        for block in groups(batches, 2):
+            comp, size = (block.column(c).to_numpy() for c in ("component", "n_chars"))
+            probe, major = (block.column(c).to_numpy(zero_copy_only=False) for c in ("probe", "is_major"))
+            counts = profiles(block.column("profile").combine_chunks())
+            home, forest = np.flatnonzero(~probe), Forest()
+            for x in np.flatnonzero(probe).tolist():
+                to = home[(comp[home] != comp[x]) & (major[home] | (comp[home] > comp[x]))]
+                for c in np.unique(comp[to[possible(size[x], counts[x][None, :], size[to], counts[to], most)]]).tolist():
+                    forest.join(int(comp[x]), c)
+            found = [(root, c) for c in list(forest.up) if (root := forest.root(c)) != c]
+            if found:
+                yield pairs_batch(found)
+
+    return map_batches(rows.repartition(n, "key", "block").sortWithinPartitions("key", "block"), run, "a long, b long").distinct()
+
+
+def late_copies(families: DataFrame, nodes: DataFrame, comps: DataFrame, rows: DataFrame, most: float) -> DataFrame:
+    """a, b: verified links between different components of a family (families: component, family); per block, a spanning forest."""
+    member = nodes.select("node", "n_chars").join(comps, "node", "left").select("node", "n_chars", F.coalesce("component", "node").alias("component")).join(families, "component")
+    shares = member.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("n_chars").alias("s"))
+    several = shares.groupBy("family").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("k")).filter("k > 1")
+    several = several.select("family", F.col("top.component").alias("major"), F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_CHARS)).cast("int").alias("blocks"))
+    wanted = stored(dealt(member.drop("n_chars"), "family", several), "families")
+    texts = texts_of(rows, wanted.select(F.col("node").alias("doc_id")).distinct()).distinct().withColumnRenamed("doc_id", "node")
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = wanted.join(texts, "node").select("family", "block", "probe", "node", "component", "is_major", "text").repartition(n, "family", "block").sortWithinPartitions("family", "block", "probe")
+
+    def run(batches):
+        of, home, forest = None, [], Forest()
+        for batch in batches:
+            for part in slices(batch):
+                links = []
+                for family, block, probe, node, comp, major, text in zip(*(part.column(k).to_pylist() for k in range(7)), strict=True):
+                    if (family, block) != of:
+                        of, home, forest = (family, block), [], Forest()
+                    size, counts = np.int64(len(text)), np.frombuffer(profile(text), np.uint8).astype(np.int16)
+                    if not probe:
+                        home.append((node, comp, major, text, size, counts))
+                        continue
+                    for other, c, _, t, m, p in home:
+                        if forest.root(comp) != forest.root(c) and possible(size, counts, m, p, most) and are_copies(text, t, most):
+                            forest.join(comp, c)
+                            links.append((node, other))
+                if links:
+                    yield pairs_batch(links)
+
+    return map_batches(spread, run, "a long, b long")
+
+
 def near_copies(docs: DataFrame, most: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id: near copies by banded fingerprints, verified by edit distance of at most ``most`` of the longer text.
 
     Equal texts are one class at once. In each band the class first in a fixed random order leads; the others are
-    verified against it, and the verified links' components are the classes. A document without copies is its own class.
-    Null and empty texts are copies of each other. Links that only two followers of one band's leader share are not
-    looked for; BANDS bands at two levels make that rare.
+    verified against it, and the verified links' components are the classes. Where a band still holds several
+    components, their texts are compared with each other, in blocks of bounded size: what may be copies makes families,
+    and in each family all texts of different components are verified. So every two texts that share a band are
+    verified, refuted or in one component. A document without copies is its own class. Null and empty texts are copies
+    of each other. Ids should be unique.
     """
     rows = id_text(docs, id_col, text_col).filter("doc_id is not null").withColumn("text", F.coalesce("text", F.lit("")))
     classes = rows.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("node"))
     node = classes.select(F.col("node").alias("doc_id"))
     prints = stored(fingerprint(rows).select("doc_id", "bands").join(node, "doc_id", "left_semi").distinct(), "prints")
-    keyed = prints.select(F.col("doc_id").alias("b"), F.explode("bands").alias("key"))
-    order = F.struct(F.xxhash64("b").alias("o"), "b")
-    leaders = keyed.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("first.b").alias("a"))
-    pairs = stored(keyed.join(leaders, "key").filter("a <> b").select("a", "b").distinct(), "pairs")
-    texts = stored(texts_of(rows.select("doc_id", "text"), pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()).distinct(), "texts")
+    keyed = prints.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
+
+    def make():
+        def act(part: pa.RecordBatch) -> pa.RecordBatch:
+            texts = part.column(1).to_pylist()
+            return pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([profile(t) for t in texts], pa.binary())], ["node", "n_chars", "profile"])
+
+        return act
+
+    nodes = stored(map_rows(rows, make, "node long, n_chars long, profile binary").join(node.withColumnRenamed("doc_id", "node"), "node", "left_semi"), "profiles")
+    order = F.struct(F.xxhash64("node").alias("o"), "node")
+    leaders = keyed.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("first.node").alias("a"))
+    shared = stored(keyed.join(leaders, "key"), "buckets")
+    pairs = stored(may_be_copies(shared.filter("a <> node").select("a", F.col("node").alias("b")).distinct(), nodes, most), "pairs")
+    texts = stored(texts_of(rows, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()).distinct(), "texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
     @F.pandas_udf("boolean")
     def close(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([edit_distance(x, y, int(most * max(len(x), len(y)))) <= most * max(len(x), len(y)) for x, y in zip(a, b, strict=True)])
-
-    comps = components(both.filter(close("ta", "tb")).select("a", "b"))
+        return pd.Series([are_copies(x, y, most) for x, y in zip(a, b, strict=True)])
+
+    links = stored(both.filter(close("ta", "tb")).select("a", "b"), "links")
+    comps = components(links)
+    weak = stored(weak_copies(shared.select("key", "node"), nodes, comps, most), "weak")
+    if not weak.isEmpty():
+        families = components(weak).select(F.col("node").alias("component"), F.col("component").alias("family"))
+        late = stored(late_copies(families, nodes, comps, rows, most), "links")
+        comps = components(links.union(late))
     named = classes.join(comps, "node", "left").select("sha", F.coalesce("component", "node").alias("class_id"))
     return rows.select("doc_id", F.sha2("text", 256).alias("sha")).join(named, "sha").select("doc_id", "class_id")

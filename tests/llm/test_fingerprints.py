@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratacube.llm import fingerprints as fp
 
@@ -116,3 +117,34 @@ def test_near_copies(spark):
     rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t[:1200] + "!" + t[1203:]) for i, t in enumerate(texts)] + [(200, texts[0]), (300, None), (301, "")]
     got = {x.doc_id: x.class_id for x in fp.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {**{i: i for i in range(20)}, **{100 + i: i for i in range(20)}, 200: 0, 300: 300, 301: 300}
+
+
+def test_near_copies_behind_an_unrelated_leader(spark, monkeypatch):
+    # Every two texts meet, in one bucket whose leader is a copy of none of the others or of one.
+    monkeypatch.setattr(fp, "fingerprint", lambda rows: rows.select("doc_id", F.array(F.lit(7).cast("long")).alias("bands")))
+    r = random.Random(8)
+    texts = ["".join(r.choices("abcdefghijklmnop ", k=600)) for _ in range(12)]
+
+    def edited(t):
+        t = list(t)
+        for k in r.sample(range(len(t)), 20):
+            t[k] = "#"
+        return "".join(t)
+
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, edited(t)) for i, t in enumerate(texts)]
+    brute = {i: min(j for j, u in rows if fp.are_copies(t, u, 0.05)) for i, t in rows}
+    got = {x.doc_id: x.class_id for x in fp.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute and len(set(brute.values())) == 12
+
+
+def test_bound_never_loses_a_copy():
+    r = random.Random(9)
+    for _ in range(100):
+        a = "".join(r.choices("abcde ", k=r.randrange(2, 400)))
+        b = list(a)
+        for _ in range(r.randrange(12)):
+            k = r.randrange(len(b) + 1)
+            b[k : k + r.randrange(2)] = r.choices("abcz", k=r.randrange(2))
+        b = "".join(b)
+        na, nb, x, y = np.int64(len(a)), np.int64(len(b)), *(np.frombuffer(fp.profile(t), np.uint8).astype(np.int16) for t in (a, b))
+        assert not fp.are_copies(a, b, 0.05) or fp.possible(na, x, nb, y, 0.05)
