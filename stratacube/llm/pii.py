@@ -9,20 +9,40 @@ halves, a day's two coordinates. A keyed Feistel network permutes such rows: one
 hash of key, kind, round and the other half. So a pseudonym has its value's format and validates too (check digits are
 made anew), different values of one format have different pseudonyms, and equal values get equal ones in all documents
 and in any notation, without any table of values.
+
+The key has no default. It travels as a row of a table, so neither SQL text nor plans nor event logs hold it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = "pseudonym-key-1"
+from stratacube.llm.common import free
+
 ROUNDS = 10
 
 _A, _B = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"
-IBAN = _A + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _B
-DATE = _A + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})" + _B
+#: The lengths of IBANs and the countries that have them (registry of ISO 13616).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _grouped(n: int) -> str:
+    """Pattern of n characters in groups of four, with or without spaces."""
+    return f"(?: ?[A-Z0-9]{{4}}){{{n // 4}}}" + (f"(?: ?[A-Z0-9]{{{n % 4}}})" if n % 4 else "")
+
+
+#: By the length of the country; of others, any length.
+IBAN = _A + "(?:" + "|".join(f"(?:{'|'.join(c.split())})[0-9]{{2}}{_grouped(n - 4)}{_B}" for n, c in IBAN_LENGTHS.items()) + rf"|(?!{'|'.join(' '.join(IBAN_LENGTHS.values()).split())})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_B})"
+#: With a time behind it or not.
+DATE = _A + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?:(?![0-9A-Za-z])|(?=[Tt][0-9]{2}:?[0-9]{2}))"
 CARD = _A + r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + _B
 SSN = _A + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _B
 PHONE = r"(?<![0-9A-Za-z+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}" + _B
@@ -45,10 +65,10 @@ def _quoted(s: str) -> str:
 
 
 def permuted(symbols: str, moduli: str, kind: str, key: str) -> str:
-    """SQL: the array of symbols, each below its modulus, under the keyed permutation of such rows."""
+    """SQL: the array of symbols, each below its modulus, under the keyed permutation of such rows. key names a column."""
 
     def shifted(half: str, offset: str, other: str) -> str:
-        hashed = f"conv(substring(sha2(concat_ws('|', {_quoted(key)}, '{kind}', cast(r AS STRING), array_join({other}, ','), cast(i AS STRING)), 256), 1, 12), 16, 10)"
+        hashed = f"conv(substring(sha2(concat_ws('|', {key}, '{kind}', cast(r AS STRING), array_join({other}, ','), cast(i AS STRING)), 256), 1, 12), 16, 10)"
         return f"transform({half}, (x, i) -> pmod(x + cast({hashed} AS BIGINT), element_at(s.m, i + 1 + {offset})))"
 
     start = f"named_struct('m', transform({moduli}, x -> cast(x AS BIGINT)), 'l', slice(v.a, 1, v.h), 'r', slice(v.a, v.h + 1, size(v.a)))"
@@ -176,29 +196,43 @@ def kind(m: str) -> str:
       WHEN {m} RLIKE {whole['ipv4']} THEN if({octets}, 'ipv4', NULL) END"""
 
 
-def pseudonym(m: str, key: str = KEY) -> str:
-    """SQL: struct(kind, value) of a match; kind is null and value the match itself if it doesn't validate."""
+def pseudonym(m: str, key: str) -> str:
+    """SQL: struct(kind, value) of a match; kind is null and value the match itself if it doesn't validate. key names a column."""
     by = {"email": _email, "iban": _iban, "date": _date, "card": _card, "ssn": _ssn, "phone": _phone, "abroad": _abroad, "ipv4": _ipv4}
     cases = " ".join(f"WHEN '{k}' THEN {f(m, key)}" for k, f in by.items())
     return let("kind", kind(m), f"named_struct('kind', if(kind = 'abroad', 'phone', kind), 'value', CASE kind {cases} ELSE {m} END)")
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
-    """docs with pseudonyms in the text, and ``_pii``: a struct of how many values of each of KINDS were replaced.
+def keys(spark: SparkSession, key: str) -> DataFrame:
+    """The key as a table of one row, whose plan doesn't show it."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    return spark.createDataFrame(pa.table({"key": [key]}))
+
+
+def counts_name(docs: DataFrame) -> str:
+    """The name of the column that pseudonymise() adds: _pii, with underscores behind it if docs has that already."""
+    return free("_pii", docs.columns)
+
+
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """docs with pseudonyms in the text, and a struct (counts_name()) of how many values of each of KINDS were replaced.
 
-    A null text stays null and counts nothing. Texts without values come out as they were. Repeated rows give repeated
-    results, an empty table an empty one; all columns are kept, whatever their names. Values are found at the leftmost
-    place, in the order of PATTERNS, and don't overlap.
+    A null text stays null and counts nothing; an empty one stays empty. Texts without values come out as they were; texts
+    of any length are read as a whole. Repeated rows give repeated results, an empty table an empty one; all columns are
+    kept, whatever their names. Values are found at the leftmost place, in the order of PATTERNS (so where two kinds could
+    begin, the first one has it), and don't overlap.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     text = F.col(f"_row.`{text_col}`")
     rows = docs.select(row).withColumn("_found", F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
     some = F.coalesce(F.size("_found") > 0, F.lit(False))
-    rows = rows.withColumn("_new", F.when(some, F.expr(f"transform(_found, m -> {pseudonym('m', key)})")))
+    rows = rows.withColumn("_key", keys(docs.sparkSession, key).scalar())
+    rows = rows.withColumn("_new", F.when(some, F.expr(f"transform(_found, m -> {pseudonym('m', '_key')})")))
     between = F.split(text, ANY, -1)
     whole = F.array_join(F.zip_with(between, F.concat(F.transform("_new", lambda x: x["value"]), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     new = F.when(F.col("_new").isNotNull(), whole).otherwise(text)
     columns = [new.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
     n = {k: F.expr(f"size(filter(_new, x -> x.kind = '{k}'))") for k in KINDS}
     counts = F.struct(*[F.when(F.col("_new").isNull(), F.lit(0)).otherwise(c).cast("long").alias(f"n_{k}") for k, c in n.items()])
-    return rows.select(*columns, counts.alias("_pii"))
+    return rows.select(*columns, counts.alias(counts_name(docs)))

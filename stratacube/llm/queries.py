@@ -11,6 +11,8 @@ from stratacube.llm.common import table
 
 #: The tokenizer file of the token operators; another may be given by name.
 TOKENIZER = "word_bpe_49k.json"
+#: The setting that holds the pseudonyms' key, and the key for the test tables where it is unset.
+KEY_CONF, TEST_KEY = "spark.stratacube.pseudonyms.key", "only for the synthetic test tables"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -34,7 +36,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs).select("doc_id", "text", "_pii.*")
+    return pii.pseudonymise(docs, spark.conf.get(KEY_CONF, None) or TEST_KEY).select("doc_id", "text", "_pii.*")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

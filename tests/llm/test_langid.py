@@ -8,11 +8,20 @@ from stratacube.llm import langid
 DOCS = "/root/testdata/sf0.01/documents.parquet"
 
 
-def test_subwords_stay_inside_words():
-    both, n = langid.subwords(["ab", "x"])
-    first, _ = langid.subwords(["ab"])
-    second, _ = langid.subwords(["x"])
-    assert n.tolist() == [6, 3] and both.tolist() == [*first, *second]
+def hashes(ws):
+    """Subwords' hashes by word, in any order."""
+    out = [[] for _ in ws]
+    for h, word in langid.blocks(ws):
+        for x, w in zip(h.tolist(), word.tolist(), strict=True):
+            out[w].append(x)
+    return [sorted(x) for x in out]
+
+
+def test_subwords_stay_inside_words(monkeypatch):
+    both = hashes(["ab", "x", "a" * 500])
+    assert list(map(len, both)) == [6, 3, 3 * 502 - 6] and both == [hashes([w])[0] for w in ["ab", "x", "a" * 500]]
+    monkeypatch.setattr(langid, "BLOCK", 7)  # blocks cut words, not subwords
+    assert hashes(["ab", "x", "a" * 500]) == both
 
 
 @pytest.fixture(scope="module")
@@ -51,7 +60,8 @@ def test_odd_rows(spark, model):
 def test_scores_do_not_depend_on_the_cache(model, monkeypatch):
     texts = ["der die das und", "the of and", "le la les et", None] * 5
     want = langid.Scorer(model).predict(texts)
-    monkeypatch.setattr(langid, "CACHE_WORDS", 1)
+    monkeypatch.setattr(langid, "CACHE_CELLS", 1)
+    monkeypatch.setattr(langid, "TOGETHER", 2)
     small = langid.Scorer(model)
     assert [small.predict([t])[0][0] for t in texts] == [x[0] for x in want]
     assert np.allclose([small.predict([t])[0][1] for t in texts], [x[1] for x in want])
@@ -83,6 +93,35 @@ def test_noise_is_rejected_at_every_size(spark, size):
 
 def test_few_rows_reject_noise():
     base = "the quick brown fox jumps over the lazy dog and runs away from the old house near the river"
-    model = langid.train([("en", base), ("en", base + " again"), ("de", "der schnelle braune fuchs springt über den faulen hund")] * 3)
+    model = langid.train([(lang, t.split()) for lang, t in [("en", base), ("en", base + " again"), ("de", "der schnelle braune fuchs springt über den faulen hund")] * 3])
     got = langid.Scorer(model).predict([base, "жил был у бабушки серенький козлик"])
     assert [x[2] for x in got] == [False, True]
+
+
+def test_forty_rows_are_calibrated_and_one_row_is_learnt():
+    rng = np.random.default_rng(5)
+    vocab = {"aa": ["lo", "mira", "tolen", "sabe", "quor"], "bb": ["zyx", "wunth", "krag", "vost", "hjem"]}
+    rows = [(lang, rng.choice(ws, 12).tolist()) for lang, ws in vocab.items() for _ in range(20)]
+    model = langid.train(rows)
+    assert model.familiar > 0 and model.reject_below > 0
+    scorer = langid.Scorer(model)
+    assert [x[0] for x in scorer.predict([" ".join(ws) for _, ws in rows])] == [lang for lang, _ in rows]
+    assert [x[2] for x in scorer.predict(["lo mira tolen", "жил был у", "pfff gggg iiii"])] == [False, True, True]
+    alone = langid.Scorer(langid.train(rows[:1]))
+    assert alone.predict(["lo mira"])[0][0] == "aa"
+
+
+def test_every_language_is_learnt(spark):
+    """More languages than the sample has rows for: each has some."""
+    rng = np.random.default_rng(6)
+    words = {f"l{k:03}": ["".join(chr(0x4E00 + 40 * k + int(c)) for c in rng.integers(0, 40, 3)) for _ in range(6)] for k in range(120)}
+    rows = [(i, " ".join(rng.choice(ws, 8)), lang) for i, (lang, ws) in enumerate((lang, ws) for lang, ws in words.items() for _ in range(4))]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=100)
+    learnt = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5}
+    assert model.langs == sorted(learnt)
+
+
+def test_a_long_run_of_letters_is_one_word(model):
+    assert langid.words("é" * 100_000) == ["é" * 100_000]
+    lang, score, _ = langid.Scorer(model).predict(["the of and " * 2000 + "x" * 300_000])[0]
+    assert lang == "en" and 0 < score <= 1
