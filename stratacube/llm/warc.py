@@ -5,8 +5,11 @@ smallest id is a response, the others are revisit records that refer to it and c
 of bounded size into a shared folder, a gzip member per record, under names of its own; a table of the files that
 finished tasks wrote is what counts, so files of failed or repeated tasks are never read.
 
-Index. Each file's captures, sorted by URL key and time, are a run. Runs are cut by range of URL key; within a range a
-loser tree merges the sorted pieces of all runs, so the ranges one after the other give all captures in order.
+Index. Each archive's captures, sorted by URL key, time and id, are written as a run: a file of small batches. The first
+keys of batches, one of BATCH_ROWS captures, say which batches a range of keys may need; a bounded sample of them cuts the
+ranges. For each range a loser tree merges all runs, reading a batch of each at a time. More than FAN_IN runs are first
+merged into longer ones, FAN_IN at a time. So neither a range nor a run is ever in memory as a whole, and the ranges one
+after the other give all captures in order.
 """
 
 from __future__ import annotations
@@ -16,11 +19,14 @@ import hashlib
 import re
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 import pyarrow.fs
+import pyarrow.ipc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +34,10 @@ from stratacube.llm.common import map_batches, scratch, slices, stored
 
 #: Bounds of a file: payload bytes and records.
 FILE_BYTES, FILE_RECORDS = 64 << 20, 20_000
+#: Captures of a batch of a run, runs merged at once, and first keys that cut ranges.
+BATCH_ROWS, FAN_IN, CUTS = 512, 256, 20_000
 #: The time of captures that have none.
-UNDATED = "1970-01-01T00:00:00Z"
+UNDATED = "1970-01-01T00:00:00.000000Z"
 GZIP_LEVEL = 3
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -41,9 +49,11 @@ def base32(hexadecimal: Column) -> Column:
     return F.translate(F.concat(*[part(i) for i in range(8)]), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def with_digests(pages: DataFrame, id_col: str, url_col: str, body_col: str) -> DataFrame:
+def with_digests(pages: DataFrame, id_col: str, url_col: str, body_col: str, date_col: str | None) -> DataFrame:
     payload = F.coalesce(F.encode(F.col(body_col).cast("string"), "utf-8"), F.lit(b""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    at = F.to_utc_timestamp(F.col(date_col).cast("timestamp"), F.current_timezone()) if date_col else F.lit(None).cast("timestamp")
+    date = F.coalesce(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), F.lit(UNDATED))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), date.alias("date"))
     return rows.withColumn("digest", base32(F.sha1("payload"))).withColumn("size", F.octet_length("payload").cast("long"))
 
 
@@ -152,13 +162,15 @@ class Writer:
             self.out, self.records, self.bytes = None, 0, 0
 
 
-def write(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
+def write(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", date_col: str | None = None) -> DataFrame:
     """file, records: the archives written into a shared folder, one record for each row of pages.
 
-    A null body is an empty payload; a null URL has no target. Rows that share the smallest id of a payload are
-    responses all; a row without an id is a revisit wherever a row with an id has its payload. Other columns are ignored.
+    date_col is the time of capture; without it, and where it is null, a record is UNDATED. A null or empty body is an
+    empty payload; a body of any length is one record; a null URL has no target. Rows that share the smallest id of a
+    payload are responses all (so a repeated row is repeated); a row without an id is a revisit wherever a row with an id
+    has its payload. Other columns are ignored, whatever their names; an empty table gives no archive.
     """
-    rows = with_digests(pages, id_col, url_col, body_col)
+    rows = with_digests(pages, id_col, url_col, body_col, date_col)
     again = rows.filter(F.col("size") >= min_bytes).groupBy(F.col("digest").alias("_digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     again = stored(again.select("_digest", "first"), "payloads")  # its size is known before the pages are joined with it
     joined = rows.join(again, F.col("digest") == F.col("_digest"), "left")
@@ -170,13 +182,13 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page
         out = Writer(folder)
         for batch in batches:
             for part in slices(batch, 64):
-                for page, url, payload, digest, first in zip(*(part.column(k).to_pylist() for k in range(5)), strict=True):
-                    out.add(record(page, url, payload, digest, first))
+                for page, url, payload, digest, first, date in zip(*(part.column(k).to_pylist() for k in range(6)), strict=True):
+                    out.add(record(page, url, payload, digest, first, date))
         out.close()
         if out.done:
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in out.done]), pa.array([n for _, n in out.done], pa.int64())], ["file", "records"])
 
-    return stored(map_batches(joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to")), run, "file string, records long"), "archives")
+    return stored(map_batches(joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"), "date"), run, "file string, records long"), "archives")
 
 
 CAPTURE = "url_key string, captured string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, file string, offset long, length long"
@@ -245,52 +257,130 @@ class LoserTree:
             self._replay(i)
 
 
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _CAPTURE_KINDS, strict=True)], _NAMES)
+
+
+#: A capture's place in the order: its key, and a number that ranges share.
+FENCE = "run string, batch int, url_key string, captured string, page_id long, file string, offset long"
+
+
+def put_run(folder: str, rows: Iterable[tuple]) -> pa.RecordBatch | None:
+    """Write sorted captures as a run; the first capture of each of its batches, as FENCE."""
+    fs, path = pa.fs.FileSystem.from_uri(folder)
+    name, fences, held = uuid.uuid4().hex, [], []
+    with fs.open_output_stream(f"{path}/{name}.arrow") as out, pa.ipc.new_file(out, pa.schema(list(zip(_NAMES, _CAPTURE_KINDS, strict=True)))) as sink:
+
+        def put():
+            fences.append((f"{folder}/{name}.arrow", len(fences), held[0][0], held[0][1], held[0][2], held[0][7], held[0][8]))
+            sink.write_batch(batch_of(held))
+            held.clear()
+
+        for row in rows:
+            held.append(row)
+            if len(held) == BATCH_ROWS:
+                put()
+        if held:
+            put()
+    if not fences:
+        return None
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*fences, strict=True), kinds, strict=True)], [x.split()[0] for x in FENCE.split(", ")])
+
+
+def get_run(uri: str, batches: Iterable[int]) -> Iterator[tuple]:
+    """The captures in some batches of a run, one batch in memory at a time."""
+    fs, path = pa.fs.FileSystem.from_uri(uri)
+    with fs.open_input_file(path) as f:
+        source = pa.ipc.open_file(f)
+        for i in batches:
+            yield from zip(*(c.to_pylist() for c in source.get_batch(i).columns), strict=True)
+
+
+def fence_key(row: tuple) -> tuple:
+    """order() of the first capture of a batch, from its FENCE."""
+    _, _, key, captured, page, file, offset = row
+    return order((key, captured, page, None, None, None, None, file, offset))
+
+
+def merged_runs(files: DataFrame, folder: str, group: int) -> DataFrame:
+    """FENCE of the runs that come of merging FAN_IN runs (a column run) each."""
+    spark = files.sparkSession
+    runs = files.groupBy("run").agg(F.count("*").alias("batches"))
+    dealt = runs.withColumn("group", F.pmod(F.xxhash64("run"), F.lit(group))).repartition(min(group, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), "group").sortWithinPartitions("group")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in (0, 1, 2)), strict=True))
+        for _, members in groupby(rows, lambda r: r[2]):
+            out = put_run(folder, LoserTree([get_run(uri, range(n)) for uri, n, _ in members], order))
+            if out is not None:
+                yield out
+
+    return stored(map_batches(dealt.select("run", "batches", "group"), run, FENCE), "runs")
+
+
 def index(archives: DataFrame) -> DataFrame:
-    """CAPTURE rows of all archives (a column file), ordered by URL key, time and id over partitions and within each."""
+    """CAPTURE rows of all archives (a column file), ordered by URL key, time and id over partitions and within each.
+
+    Ties go by file and offset. No archives give no rows; an archive listed twice gives its captures twice.
+    """
     spark = archives.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = scratch(spark, "runs")
+    fs, path = pa.fs.FileSystem.from_uri(folder)
+    fs.create_dir(path)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file in batch.column(0).to_pylist():
-                rows = captures(file)
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _CAPTURE_KINDS, strict=True)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(range(len(rows)), pa.int64())], [*_NAMES, "place"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: dict[str, list[pa.RecordBatch]] = {}
-        for batch in batches:
-            files = batch.column(7).to_pylist()
-            cuts = [0, *(i for i in range(1, len(files)) if files[i] != files[i - 1]), len(files)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if hi > lo:
-                    pieces.setdefault(files[lo], []).append(batch.slice(lo, hi - lo))
-
-        def rows(parts: list[pa.RecordBatch]) -> Iterator[tuple]:
-            for part in parts:
-                for piece in slices(part, 256):
-                    yield from zip(*(piece.column(k).to_pylist() for k in range(len(_NAMES))), strict=True)
-
-        held = []
-        for row in LoserTree([rows(p) for p in pieces.values()], order):
-            held.append(row)
-            if len(held) == 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), _CAPTURE_KINDS, strict=True)], _NAMES)
-                held = []
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), _CAPTURE_KINDS, strict=True)], _NAMES)
+                if (out := put_run(folder, captures(file))) is not None:
+                    yield out
 
     files = archives.count()
     if not files:
         return spark.createDataFrame([], CAPTURE)
-    sorted_runs = stored(map_batches(archives.select("file").repartition(min(files, 4 * n)), runs, f"{CAPTURE}, place long"), "runs")
-    ranges = sorted_runs.repartitionByRange(n, "url_key", "captured", "page_id").sortWithinPartitions("file", "place")
-    return map_batches(ranges, merge, CAPTURE)
-
+    fences = stored(map_batches(archives.select("file").repartition(min(files, 4 * n)), runs, FENCE), "fences")
+    while (many := fences.select("run").distinct().count()) > FAN_IN:
+        fences = merged_runs(fences, folder, -(-2 * many // FAN_IN))  # hashed groups vary in size: half of FAN_IN on average
+    total = fences.count()
+    picked = fences.sample(min(1.0, CUTS / total), seed=5).limit(2 * CUTS).collect() if total > CUTS else fences.collect()
+    firsts = sorted(fence_key(tuple(r)) for r in picked)
+    cuts = sorted({firsts[k * len(firsts) // n] for k in range(1, n)})  # range r has the captures from cuts[r - 1] on and before cuts[r]
+    shared = spark.sparkContext.broadcast(cuts)
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each range that a batch's captures may be in: from its own first key to the next batch's."""
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for uri, group in groupby(rows, lambda r: r[0]):
+            at = [(r[1], bisect_right(shared.value, fence_key(r))) for r in group]
+            ends = [*(r for _, r in at[1:]), len(shared.value)]
+            out = [(r, uri, k) for (k, lo), hi in zip(at, ends, strict=True) for r in range(lo, hi + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out]), pa.array([x[2] for x in out], pa.int32())], ["range", "run", "batch"])
 
-def archive(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", folder: str | None = None) -> DataFrame:
-    """Write pages as archives and read them back: one CAPTURE row per page, in the index's order."""
-    return index(write(pages, folder or scratch(pages.sparkSession, "warc"), min_bytes, id_col, url_col, body_col))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for at, part in groupby(rows, lambda r: r[0]):
+            lists = [(uri, [k for *_, k in x]) for uri, x in groupby(part, lambda r: r[1])]  # numbers of batches, not batches
+            lo = shared.value[at - 1] if at else None
+            hi = shared.value[at] if at < len(shared.value) else None
+            held = []
+            for row in LoserTree([get_run(uri, x) for uri, x in lists], order):
+                if (lo is None or order(row) >= lo) and (hi is None or order(row) < hi):
+                    held.append(row)
+                    if len(held) == 4096:
+                        yield batch_of(held)
+                        held = []
+            if held:
+                yield batch_of(held)
+
+    sorted_fences = fences.repartition(n, "run").sortWithinPartitions("run", "batch")
+    pieces = map_batches(sorted_fences, ranges, "range int, run string, batch int")
+    return map_batches(pieces.repartitionByRange(n, "range").sortWithinPartitions("range", "run", "batch"), merge, CAPTURE)
+
+
+def archive(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", folder: str | None = None, date_col: str | None = None) -> DataFrame:
+    """Write pages as archives (see write()) and read them back: one CAPTURE row per page, in the index's order."""
+    return index(write(pages, folder or scratch(pages.sparkSession, "warc"), min_bytes, id_col, url_col, body_col, date_col))
 
 
 #: DuckDB: digests and first pages by payload.

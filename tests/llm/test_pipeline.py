@@ -35,7 +35,7 @@ def test_language_id(spark, stages):
 
 
 def test_lines(stages):
-    want = {i: t for i, _, _, t in lines_left([(r.doc_id, r.source, r.text) for r in stages[1]], ld.RATIO, ld.MIN_PAGES)}
+    want = {i: t for i, _, _, t in lines_left([(r.doc_id, r.source, r.text) for r in stages[1]], ld.RATIO)}
     assert {r.doc_id: r.text for r in stages[2]} == want
 
 

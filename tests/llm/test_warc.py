@@ -1,4 +1,5 @@
 import base64
+import datetime
 import gzip
 import hashlib
 import random
@@ -28,9 +29,10 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize("least,records", [(0, warc.FILE_RECORDS), (9, 5)])
-def test_round_trip(spark, tmp_path, monkeypatch, least, records):
+@pytest.mark.parametrize("least,records,fan", [(0, warc.FILE_RECORDS, 256), (9, 5, 256), (0, 3, 4)])
+def test_round_trip(spark, tmp_path, monkeypatch, least, records, fan):
     monkeypatch.setattr(warc, "FILE_RECORDS", records)
+    monkeypatch.setattr(warc, "FAN_IN", fan)  # with 4, the runs are merged in several passes
     pages = spark.createDataFrame([(*r, "c") for r in ROWS], "page_id long, url string, html string, digest string").repartition(4)
     got = warc.archive(pages, least, folder=f"file://{tmp_path}/w").collect()
     assert sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got], key=str) == brute(ROWS, least)
@@ -42,6 +44,18 @@ def test_round_trip(spark, tmp_path, monkeypatch, least, records):
         assert warc.page_of(headers["warc-record-id"]) == r.page_id and (r.record_type == "revisit" or len(payload) == r.payload_bytes)
 
 
+def test_histories_are_in_the_order_of_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_RECORDS", 7)
+    monkeypatch.setattr(warc, "BATCH_ROWS", 4)
+    r = random.Random(4)
+    start = datetime.datetime(2020, 1, 1, tzinfo=datetime.UTC)
+    rows = [(i, f"http://h{i % 3}.org/", f"v{r.randrange(9)}", start + datetime.timedelta(microseconds=r.randrange(10**13)) if i % 10 else None, "x") for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, at timestamp, date string").repartition(6)
+    got = warc.archive(pages, folder=f"file://{tmp_path}/w", date_col="at").collect()
+    when = lambda at: warc.UNDATED if at is None else at.strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+    assert [(x.url_key, x.captured, x.page_id) for x in got] == sorted((warc.url_key(u), when(at), i) for i, u, _, at, _ in rows)
+
+
 def test_damage_is_noticed(tmp_path):
     whole = gzip.compress(warc.record(1, "http://a/", b"abc", "X" * 32, None))
     (tmp_path / "x.warc.gz").write_bytes(whole)
