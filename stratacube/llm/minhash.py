@@ -13,9 +13,12 @@ everywhere and similar sets agree with a chance equal to their similarity, howev
    components.
 4. A pair that no leader has joined can still be a link. Where a bucket holds several components, classes of different
    components are compared by registers, in blocks of bounded size, a bucket of any size being dealt over many tasks.
-   A task reports at most one pair of components per component. What these pairs connect is a family; in each family
-   all full sets are compared across components, again in blocks, and a spanning forest of the links is reported. So
-   rows and data grow with the classes, not with their pairs.
+   A task reports at most one pair of components per component. What these pairs connect is a family.
+5. A family may be many documents of one template that aren't links, so it is cut by prefixes: with shingles ordered by
+   rarity, two sets that reach the similarity, and so have so many in common for their sizes, share one of their first.
+   How many first ones that are follows from the own size and the least size in a class of partners' sizes. Components
+   that share such a shingle stay together; the others part. In what is left all full sets (hashes, not texts) are
+   compared across components, in blocks, and a spanning forest of the links is reported.
 
 So every pair that shares a key is either confirmed, refuted, or known to be in one component already. With 32 bands of
 4, a pair at the threshold of 0.8 shares no key with a chance below 1e-7.
@@ -32,14 +35,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratacube.llm.bpe import Memo
-from stratacube.llm.common import dropped, id_text, map_batches, map_rows, slices, stored, utf8
+from stratacube.llm.common import dropped, free, id_text, map_batches, map_rows, slices, stored, utf8
 from stratacube.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, MANTISSA = 32, 4, 10
 REGISTERS = BANDS * ROWS
-#: Registers are equal by chance alone this often, at most (both minima within one cell).
-COLLISION = 2.0**-MANTISSA
+#: Mean share of a cell's width in the place of its values, over one halving: 1 / (2 ln 2).
+CELL = 0.7213
+#: Counters of shingles that order them by rarity within families.
+COUNTERS = 1 << 18
+#: Sizes of one class differ by this factor at most.
+SIZE_CLASS = 1.08
 #: The estimate refutes a pair only this far below the threshold: its standard error is 0.03 to 0.042 at any size from
 #: ESTIMATE_FROM on, so a link is refuted with a chance below 1e-6. Smaller sets are never refuted by it.
 MARGIN, ESTIMATE_FROM = 0.21, 10
@@ -127,16 +134,26 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     return map_rows(docs, make, "doc_id long, n_shingles long, class binary, regs binary")
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def collision(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """How often registers of sets without a common element are equal, by the sets' sizes.
+
+    A bucket's least value of n shingles spread over the buckets has density n exp(-n x), a cell at x the width CELL * x *
+    2^-MANTISSA on average; the integral of both densities over the cell's width is this.
+    """
+    na, nb = na.astype(np.float64), nb.astype(np.float64)
+    return CELL * 2.0**-MANTISSA * na * nb / np.maximum(na + nb, 1) ** 2
+
+
+def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Similarity from registers (along the last axis), corrected for those that are equal by chance."""
-    share = (a == b).mean(axis=-1)
-    return np.maximum(0.0, (share - COLLISION) / (1 - COLLISION))
+    by_chance = collision(na, nb)
+    return np.maximum(0.0, ((a == b).mean(axis=-1) - by_chance) / (1 - by_chance))
 
 
 def kept_by_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, similarity: float) -> np.ndarray:
     """Which pairs may reach the similarity, by their sizes (exactly) and their registers (with a wide margin)."""
     small, large = np.minimum(na, nb), np.maximum(na, nb)
-    return (small >= similarity * large - 1e-9) & ((small < ESTIMATE_FROM) | (estimate(a, b) >= similarity - MARGIN))
+    return (small >= similarity * large - 1e-9) & ((small < ESTIMATE_FROM) | (estimate(a, b, na, nb) >= similarity - MARGIN))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -223,13 +240,21 @@ def weak_links(buckets: DataFrame, classes: DataFrame, comps: DataFrame, similar
     mixed_up = mixed_up.select("key", F.col("top.component").alias("major"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = dealt(keyed, "key", mixed_up).join(known.select("node", "n_shingles", "regs"), "node").select("key", "block", "node", "component", "is_major", "probe", "n_shingles", "regs")
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "key", "block").sortWithinPartitions("key", "block")
+    rows = rows.repartition(n, "key", "block").sortWithinPartitions("key", "block", "probe")
 
     def run(batches):
-        for rows_of_block in groups(batches, 2):
-            found = crossing(rows_of_block, similarity)
-            if found.num_rows:
-                yield found
+        at, block = None, Block(similarity)
+        for batch in batches:
+            for part in slices(batch):
+                for rows_of_block in groups(iter([part]), 2):  # those that live in the block come first, then its probes
+                    here = rows_of_block.column(0)[0].as_py(), rows_of_block.column(1)[0].as_py()
+                    if here != at:
+                        if (found := block.pairs()).num_rows:
+                            yield found
+                        at, block = here, Block(similarity)
+                    block.take(rows_of_block)
+        if (found := block.pairs()).num_rows:
+            yield found
 
     return map_batches(rows, run, "a long, b long").distinct()
 
@@ -257,19 +282,33 @@ def pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def crossing(block: pa.Table, similarity: float) -> pa.RecordBatch:
-    """Which components of one block may belong together: each with the smallest one it hangs together with."""
-    node, comp, size = (block.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
-    probe, major = (block.column(c).to_numpy(zero_copy_only=False) for c in ("probe", "is_major"))
-    regs = matrix(block.column("regs").combine_chunks())
-    home, forest = np.flatnonzero(~probe), Forest()
-    for x in np.flatnonzero(probe).tolist():
-        to = home[(comp[home] != comp[x]) & (major[home] | (comp[home] > comp[x]))]
-        if len(to):
-            ok = kept_by_estimate(regs[x][None, :], regs[to], np.full(len(to), size[x]), size[to], similarity)
-            for c in np.unique(comp[to[ok]]).tolist():
-                forest.join(int(comp[x]), c)
-    return pairs_batch([(r, c) for c in list(forest.up) if (r := forest.root(c)) != c])
+class Block:
+    """Which components of one block may belong together. It holds those that live there; probes pass by."""
+
+    def __init__(self, similarity: float):
+        self.similarity, self.forest, self.parts, self.home = similarity, Forest(), [], None
+
+    def take(self, rows: pa.Table) -> None:
+        comp, size = (rows.column(c).to_numpy() for c in ("component", "n_shingles"))
+        probe, major = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("probe", "is_major"))
+        regs = matrix(rows.column("regs").combine_chunks())
+        if not probe.all():
+            self.parts.append(tuple(x[~probe] for x in (comp, size, major, regs)))
+        for x in np.flatnonzero(probe).tolist():
+            if not self.parts:
+                return  # only probes: no class lives in this block
+            if self.home is None:
+                self.home = tuple(map(np.concatenate, zip(*self.parts, strict=True)))
+            comps, sizes, majors, all_ = self.home
+            to = np.flatnonzero((comps != comp[x]) & (majors | (comps > comp[x])))
+            if len(to):
+                ok = kept_by_estimate(regs[x][None, :], all_[to], np.full(len(to), size[x]), sizes[to], self.similarity)
+                for c in np.unique(comps[to[ok]]).tolist():
+                    self.forest.join(int(comp[x]), c)
+
+    def pairs(self) -> pa.RecordBatch:
+        """Each component with the smallest one that it hangs together with."""
+        return pairs_batch([(r, c) for c in list(self.forest.up) if (r := self.forest.root(c)) != c])
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -351,32 +390,125 @@ class Postings:
         return np.bincount(self.owner[places], minlength=len(self.sizes))
 
 
+def lists(column: pa.Array) -> list[np.ndarray]:
+    """The sets in a column of arrays."""
+    values, ends = column.flatten().to_numpy().astype(np.uint64), np.cumsum([0, *(n or 0 for n in column.value_lengths().to_pylist())])
+    return [values[lo:hi] for lo, hi in zip(ends, ends[1:], strict=False)]
+
+
+def full_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """node, set (sorted hashes) of the documents that are nodes; of a few others as well."""
+
+    def make():
+        hashes = word_hashes()
+
+        def act(part: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingle_set(raw, shingle, hashes).view(np.int64) for raw in utf8(part.column(1))]
+            ends = np.cumsum([0, *map(len, sets)])
+            return pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], ["node", "set"])
+
+        return act
+
+    return map_rows(texts_of(docs, nodes.select(F.col("node").alias("doc_id"))), make, "node long, set array<long>")
+
+
+def prefix_sizes(n: int, similarity: tuple[int, int]) -> list[tuple[int, int, int]]:
+    """For a set of n: by pair of size classes, its side (0: lower, 1: higher, 2: one class) and how many first shingles it shows to the other side."""
+    num, den = similarity
+    if not n:
+        return []
+    sizes = np.arange(-(-num * n // den), den * n // num + 1)
+    classes = np.floor(np.log(sizes) / np.log(SIZE_CLASS) + 1e-9).astype(np.int64)
+    mine = int(classes[np.searchsorted(sizes, n)])
+    out = []
+    for c, at in zip(*np.unique(classes, return_index=True), strict=True):
+        common = -(-num * (n + int(sizes[at])) // (num + den))  # that both have, at least, if the partner has its class's least size
+        if common <= n:
+            side = 2 if c == mine else int(mine > c)
+            out.append((min(mine, int(c)) << 32 | max(mine, int(c)), side, n - common + 1))
+    return out
+
+
+def parted(member: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """component, family: families cut where no two sets of different components share a shingle of their prefixes.
+
+    member: family, component, node, set. Any order of shingles that all sets keep to is right; rarity keeps the prefixes
+    of what only shares a template apart. It comes from counters that hashes share, so their number is bounded.
+    """
+    num, den = similarity
+    low = np.uint64(COUNTERS - 1)
+
+    def count(batches):
+        sums = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for part in slices(batch):
+                np.add(sums, np.bincount((part.column(0).flatten().to_numpy().view(np.uint64) & low).astype(np.int64), minlength=COUNTERS), out=sums)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["at", "n"])
+
+    counts = np.zeros(COUNTERS, np.int64)
+    found = map_batches(member.select("set"), count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    counts[found["at"].to_numpy()] = found["n"].to_numpy()
+    shared = member.sparkSession.sparkContext.broadcast(counts)
+
+    def make():
+        prefixes: dict[int, list[tuple[int, int, int]]] = {}
+
+        def act(part: pa.RecordBatch) -> pa.RecordBatch | None:
+            tokens, pairs, sides, at = [], [], [], []
+            for row, s in enumerate(lists(part.column(2))):
+                n = len(s)
+                if n not in prefixes:
+                    prefixes[n] = prefix_sizes(n, similarity)
+                order = s[np.lexsort((s, shared.value[(s & low).astype(np.int64)]))].view(np.int64)
+                for pair, side, k in prefixes[n]:
+                    tokens.append(order[:k])
+                    pairs += [pair] * k
+                    sides += [side] * k
+                    at += [row] * k
+            if not tokens:
+                return None
+            return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(pairs, pa.int64()), pa.array(sides, pa.int32()), pa.array(np.concatenate(tokens))], ["family", "component", "pair", "side", "token"])
+
+        return act
+
+    key = ["family", "pair", "token"]
+    tokens = map_rows(member.select("family", "component", "set"), make, "family long, component long, pair long, side int, token long").distinct()
+    first = tokens.groupBy(*key).agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("side").alias("low"), F.max("side").alias("high"))
+    first = first.filter("least <> most AND (low <> high OR low = 2)").drop("most", "low", "high")  # a side alone has no partners
+    edges = tokens.join(first, key).filter("component <> least").select(F.col("least").alias("a"), F.col("component").alias("b")).distinct()
+    return components(edges).select(F.col("node").alias("component"), F.col("component").alias("family"))
+
+
 def family_links(families: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
-    """a, b: links between full sets of different components of a family (families: component, family); per block, a spanning forest."""
+    """a, b: links between full sets of different components of a family (families: component, family); per block, a spanning forest.
+
+    What is made on the way stays until the result has been written.
+    """
     num, den = similarity
     spark = families.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    member = classes.select("node", "n_shingles").join(comps, "node", "left").select("node", "n_shingles", F.coalesce("component", "node").alias("component")).join(families, "component")
+    known = classes.select("node", "n_shingles").join(comps, "node", "left").select("node", "n_shingles", F.coalesce("component", "node").alias("component"))
+    member = known.join(families, "component")
+    sets = stored(full_sets(docs, member.select("node"), shingle).dropDuplicates(["node"]), "sets")
+    families = parted(member.join(sets, "node").select("family", "component", "node", "set"), similarity)
+    member = known.join(families, "component")
     shares = member.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     several = shares.groupBy("family").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("k")).filter("k > 1")
     several = several.select("family", F.col("top.component").alias("major"), F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    wanted = stored(dealt(member.drop("n_shingles"), "family", several), "families")
-    texts = texts_of(docs, wanted.select(F.col("node").alias("doc_id")).distinct())
-    rows = wanted.join(texts.withColumnRenamed("doc_id", "node"), "node").select("family", "block", "probe", "node", "component", "is_major", "text")
+    rows = dealt(member.drop("n_shingles"), "family", several).join(sets, "node").select("family", "block", "probe", "node", "component", "is_major", "set")
     rows = rows.repartition(n, "family", "block").sortWithinPartitions("family", "block", "probe")
 
     def run(batches):
         of, home, sets, postings, forest = None, [], [], None, Forest()
-        hashes = word_hashes()
         for batch in batches:
             for part in slices(batch):
                 links = []
-                for family, block, probe, node, comp, major, raw in zip(*(part.column(k).to_pylist() for k in range(6)), utf8(part.column(6)), strict=True):
+                for family, block, probe, node, comp, s in zip(*(part.column(k).to_pylist() for k in range(5)), lists(part.column(6)), strict=True):
                     if (family, block) != of:
                         of, home, sets, postings, forest = (family, block), [], [], None, Forest()
-                    s = shingle_set(raw, shingle, hashes)
                     if not probe:
-                        home.append((node, comp, major))
+                        home.append((node, comp))
                         sets.append(s)
                         continue
                     if not sets:
@@ -389,11 +521,14 @@ def family_links(families: DataFrame, classes: DataFrame, comps: DataFrame, docs
                 if links:
                     yield pairs_batch(links)
 
-    return map_batches(rows, run, "a long, b long")
+    out = stored(map_batches(rows, run, "a long, b long"), "links")
+    dropped(sets)
+    dropped(families)
+    return out
 
 
 def near_links(classes: DataFrame, docs: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
-    """node, component of all classes that are linked with another (steps 2 to 4). Tables made on the way are deleted."""
+    """node, component of all classes that are linked with another (steps 2 to 5). Tables made on the way are deleted."""
     share = similarity[0] / similarity[1]
     used: list[DataFrame] = []
 
@@ -408,8 +543,8 @@ def near_links(classes: DataFrame, docs: DataFrame, shingle: int, similarity: tu
     weak = keep(weak_links(buckets, classes, comps, share), "weak")
     if not weak.isEmpty():
         families = components(weak).select(F.col("node").alias("component"), F.col("component").alias("family"))
-        late = keep(family_links(families, classes, comps, docs, shingle, similarity), "links")
-        used.append(families)
+        late = family_links(families, classes, comps, docs, shingle, similarity)
+        used += [families, late]
         if not late.isEmpty():
             used.append(comps)
             comps = components(links.union(late))
@@ -439,10 +574,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[i
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each group of near duplicates: the one with the smallest id, all columns as they were."""
-    gone = near_duplicates(docs, shingle, similarity, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    """The rows of docs with the smallest id of each group of near duplicates, all columns as they were, whatever their names.
+
+    Rows that repeat a kept id all stay, as do rows with a null id and null, empty or wordless texts. Texts of any length
+    are compared as a whole. A tie in similarity (just at the threshold) is a link. An empty table stays empty.
+    """
+    name = free("_gone", docs.columns)
+    gone = near_duplicates(docs, shingle, similarity, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
     gone = stored(gone, "gone")  # its size is known before the join: texts needn't be shuffled if it is small
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(name), "left_anti")
 
 
 #: DuckDB: exact similarity of all pairs of different sets that share a shingle, and components by recursion.

@@ -70,7 +70,60 @@ def test_estimate_is_close():
         both = int(2 * n * share / (1 + share))
         pool = np.unique(minhash.mixed(rng.integers(1, 2**63, 2 * n - both, dtype=np.uint64)))
         a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:both], pool[n:]]))
-        assert abs(minhash.estimate(minhash.registers(a), minhash.registers(b)) - share) < 0.16
+        assert abs(minhash.estimate(minhash.registers(a), minhash.registers(b), np.int64(n), np.int64(n)) - share) < 0.16
+
+
+def test_collision_follows_the_sizes():
+    rng = np.random.default_rng(7)
+    for n, m in ((2000, 2000), (4000, 1000)):
+        equal = np.mean([minhash.registers(np.sort(rng.integers(1, 2**64, n, dtype=np.uint64))) == minhash.registers(np.sort(rng.integers(1, 2**64, m, dtype=np.uint64))) for _ in range(3000)])
+        assert 0.5 < equal / minhash.collision(np.int64(n), np.int64(m)) < 2
+
+
+def template(n, size=60, own=10):
+    """Texts of one template with a similarity of 0.7 or so: no two are links."""
+    r = random.Random(n)
+    base = [f"t{i}" for i in range(size)]
+    return [(i, " ".join(base[:30] + [f"x{r.randrange(10**9)}" for _ in range(own)] + base[30:])) for i in range(n)]
+
+
+def test_templates_do_not_grow_with_their_square(spark, monkeypatch):
+    """Rows that the last step compares: as many as there are copies, whatever the template's size."""
+    monkeypatch.setattr(minhash, "BLOCK", 32)
+    seen = []
+    whole = minhash.dealt
+    monkeypatch.setattr(minhash, "dealt", lambda rows, group, blocks: (seen.append(whole(rows, group, blocks).count()) if group == "family" else None, whole(rows, group, blocks))[1])
+    for n in (100, 400):
+        docs = template(n) + [(10_000 + i, t.replace("t3 ", "t3x ")) for i, t in template(n)[:20]]
+        got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 4).collect()
+        assert {r.doc_id: r.component_id for r in got} == {i: i - 10_000 if i >= 10_000 else i for i, _ in docs}
+    assert len(seen) <= 2 and all(x <= 200 for x in seen), seen
+
+
+def test_prefixes_lose_no_link(spark):
+    """parted() keeps together what reaches the similarity, at any number of counters."""
+    r = random.Random(11)
+    pool = list(range(1, 400))
+    sets = []
+    for i in range(0, 120, 2):
+        a = set(r.sample(pool, r.choice([1, 5, 10, 40])))
+        b = set(a)
+        for _ in range(len(a) // 10):
+            b.discard(r.choice(sorted(b)))
+        sets += [(0, i, i, sorted(a)), (0, i + 1, i + 1, sorted(b))]
+    member = spark.createDataFrame(sets, "family long, component long, node long, set array<long>")
+    got = {x.component: x.family for x in minhash.parted(member, (80, 100)).collect()}
+    for _, i, _, a in sets:
+        for _, j, _, b in sets:
+            if i < j and 100 * len({*a} & {*b}) >= 80 * len({*a} | {*b}):
+                assert got[i] == got[j]
+
+
+def test_clashing_names_and_long_texts(spark):
+    long = " ".join(f"w{i % 5000}" for i in range(60_000))
+    d = spark.createDataFrame([(1, long, 1, 2), (2, long + " end", 1, 2), (3, "z", 1, 2)], "doc_id long, text string, _gone int, component int")
+    left = minhash.deduplicated(d)
+    assert left.columns == d.columns and sorted(r.doc_id for r in left.collect()) == [1, 3]
 
 
 def test_small_sets_agree_as_often_as_they_are_alike():
