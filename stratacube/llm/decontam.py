@@ -227,7 +227,8 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str =
     """doc_id, n_words, runs (of words inside occurrences, [start, end)) and items (ids as sorted strings) per row of docs.
 
     Null and empty texts have no words and no hits; null items or item ids are left out; an item twice counts once;
-    repeated documents give repeated rows; an empty benchmark hits nothing. Other columns are ignored.
+    repeated documents give repeated rows; an empty benchmark hits nothing, an empty table gives an empty one. Texts of any
+    length are looked at as a whole. Other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = rows.withColumns({"n_words": F.lit(0).cast("long"), "runs": F.array().cast(RUNS), "items": F.array().cast("array<string>")})
@@ -278,7 +279,11 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs without any word inside an occurrence of a benchmark window, all columns as they were."""
+    """The rows of docs without any word inside an occurrence of a benchmark window, all columns as they were, whatever their names.
+
+    Null and empty texts stay; of long texts every word is looked at. Null items and ids are left out, an item twice is as
+    one; repeated rows have one fate; an empty table or benchmark takes nothing away.
+    """
     out = docs
     for join in joins(docs, items, window, text_col, item_col, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(join)

@@ -6,9 +6,11 @@ distance of texts becomes the Hamming distance of what they show. A fingerprint
 four bits of each. The samples are nested: level l has the steps whose hash ends in l zero bits; a text takes the first
 level at which it shows at most SAMPLES, and fingerprints of different levels meet at the coarser one.
 
-Candidates for near copies come from banding: the sampled steps are dealt over BANDS bands by a hash, and two texts meet
-in a band if they show the same in all of it. Every two texts that meet are verified by the edit distance of their whole
-texts, refuted by a bound on it (lengths, counts of hashed runs of three characters), or in one component already.
+Candidates for near copies come from banding: a band is what a text shows at WIDTH steps in a row, 4 * WIDTH bits, as
+edits put texts out of step for a while, not here and there. Bands begin at steps that a hash samples, nested like the
+others; a text takes the first level that gives it at most BANDS. Two texts meet in a band if they show the same in it.
+Every two texts that meet are verified by the edit distance of their whole texts, refuted by a bound on it (lengths,
+counts of hashed runs of three characters), or in one component already.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from stratacube.llm.common import id_text, map_batches, map_rows, slices, stored
 from stratacube.llm.components import components
 from stratacube.llm.minhash import BLOCK, Forest, dealt, groups, mixed, pairs_batch, texts_of
 
-SAMPLES, BANDS = 256, 32
+SAMPLES, BANDS, WIDTH = 256, 64, 20
 #: Steps after which the walk's random bits repeat, and classes of characters that share them.
 PERIOD, CLASSES = 8192, 256
 #: Two sampled symbols are equal by chance this often.
@@ -56,7 +58,7 @@ def _by_character(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Levels:
-    """The sampled steps of each level, and each step's band, as far as they have been asked for."""
+    """The sampled steps of each level, and those at which bands begin, as far as they have been asked for."""
 
     def __init__(self):
         self.upto = 0
@@ -73,13 +75,26 @@ class Levels:
             low = np.uint64((1 << level) - 1)
             self.steps.append(self.steps[-1][(h[self.steps[-1]] & low) == 0])
             level += 1
-        self.salt = mixed(h)
+        h = mixed(h)
+        self.starts = [np.arange(self.upto, dtype=np.int32)]
+        while len(self.starts[-1]) > 1:
+            low = np.uint64((1 << len(self.starts)) - 1)
+            self.starts.append(self.starts[-1][(h[self.starts[-1]] & low) == 0])
 
     def count(self, level: int, end: int) -> int:
         """How many steps of the level are before end."""
         self.reach(end)
         return int(np.searchsorted(self.steps[level], end)) if level < len(self.steps) else 0
 
+    def bands(self, end: int) -> np.ndarray:
+        """Where the bands of a walk begin that has so many steps: the first level with at most BANDS that fit in."""
+        self.reach(end)
+        for starts in self.starts:
+            n = int(np.searchsorted(starts, end - WIDTH, "right"))
+            if n <= BANDS:
+                return starts[:n]
+        return self.starts[-1][:0]
+
     def level_of(self, end: int) -> int:
         self.reach(end)
         level = 0
@@ -170,24 +185,16 @@ class Embedding:
         steps = self.levels.steps[to][: self.levels.count(to, end)]
         return symbols[np.searchsorted(self.levels.steps[level], steps)]
 
-    def bands(self, f: tuple) -> list[int]:
-        """Keys of the bands at the text's level and at the next, where a slightly longer text would be."""
-        level, end, symbols = f
-        out = []
-        for to in (level, level + 1):
-            s = self.coarser(symbols, level, end, to) if to < len(self.levels.steps) else symbols[:0]
-            if not len(s):
-                continue
-            salt = self.levels.salt[self.levels.steps[to][: len(s)]]
-            band = (salt >> np.uint64(50)).astype(np.int64) % BANDS
-            h = mixed(salt ^ (s.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-            order = np.argsort(band, kind="stable")
-            starts = np.flatnonzero(np.diff(band[order], prepend=-1))
-            keys = np.add.reduceat(h[order], starts) ^ mixed(band[order][starts].astype(np.uint64) + np.uint64(1000 * (to + 1)))
-            out += keys.astype(np.int64).tolist()
-        return out
+    def bands(self, reached: np.ndarray, symbols: np.ndarray, end: int) -> np.ndarray:
+        """Keys of the bands of a text's characters. They name the step, not the level, so texts of two levels meet in what they share."""
+        starts = self.levels.bands(end)
+        steps = (starts[:, None] + np.arange(WIDTH)).reshape(-1)
+        shown = symbols[np.searchsorted(reached, steps, "right") - 1].reshape(-1, WIDTH) if len(steps) else np.zeros((0, WIDTH), np.uint8)
+        return mixed(((shown.astype(np.uint64) + np.uint64(1)) * _BY_PLACE).sum(axis=1, dtype=np.uint64) ^ mixed(starts.astype(np.uint64) + np.uint64(1))).astype(np.int64)
 
 
+#: A factor for each step of a band.
+_BY_PLACE = mixed(np.arange(1, WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 
 
@@ -209,7 +216,7 @@ def embedding() -> Embedding:
     return _embedding[0]
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, bands array<long>"
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def _rows(e: Embedding, ids: list[int | None], texts: list[str], emit: int) -> Iterator[pa.RecordBatch]:
@@ -227,9 +234,9 @@ def _rows(e: Embedding, ids: list[int | None], texts: list[str], emit: int) -> I
         a, c, b, m = int(first[i]), cuts[i], int(first2[i]), int(lens2[i])
         edited = e.sample(np.concatenate([reached[a : a + c], reached2[b : b + m]]), np.concatenate([symbols[a : a + c], symbols2[b : b + m]]), int(end2[i]))
         digest = hashlib.sha256((texts[i][:c] + tails[i]).encode("utf-8", "surrogatepass")).hexdigest()
-        out.append((ids[i], len(texts[i]), digest, written(f[i]), written(edited), e.likeness(f[i], edited), e.likeness(f[i], f[i + 1]), e.bands(f[i])))
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "bands"]
+        out.append((ids[i], len(texts[i]), digest, written(f[i]), written(edited), e.likeness(f[i], edited), e.likeness(f[i], f[i + 1])))
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
@@ -291,26 +298,31 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return map_batches(spread.sortWithinPartitions("bucket", "tail", F.desc_nulls_last("doc_id"), F.asc_nulls_first("text")), _stream, SCHEMA)
 
 
-def edit_distance(a: str, b: str, most: int) -> int:
-    """The edit distance, or most + 1 if it is larger; over a band of 2 * most + 1 diagonals."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    x = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
-    y = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)
-    width = 2 * most + 1
-    row = np.abs(np.arange(-most, most + 1))  # row[k]: distance of x[:i] and y[: i + k - most]
-    row = np.where(np.arange(-most, most + 1) < 0, most + 1, row)
-    k = np.arange(width)
-    for i in range(1, len(x) + 1):
-        j = i + k - most
-        ok = (j >= 1) & (j <= len(y))
-        same = np.zeros(width, np.int64)
-        same[ok] = (y[j[ok] - 1] != x[i - 1]).astype(np.int64)
-        new = np.minimum(row + same, np.append(row[1:], most + 1) + 1)
-        new = np.where(ok, new, np.where(j == 0, i, most + 1))
-        row = np.minimum(np.minimum.accumulate(new - k) + k, most + 1)
-        row = np.where((j < 0) | (j > len(y)), most + 1, row)
-    return int(row[len(y) - len(x) + most])
+def banded(rows: DataFrame) -> DataFrame:
+    """node, n_chars, profile, bands of each row (doc_id, text), without a shuffle."""
+
+    def make():
+        e = embedding()
+
+        def act(part: pa.RecordBatch) -> pa.RecordBatch:
+            texts = part.column(1).to_pylist()
+            bands, lo = [], 0
+            while lo < len(texts):
+                hi, size = lo, 0
+                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= BATCH_CHARS):
+                    size += len(texts[hi])
+                    hi += 1
+                classes, symbols, first, lens = e.characters(texts[lo:hi])
+                reached, end = e.walk(classes, first, lens, np.zeros(hi - lo, np.int64))
+                bands += [e.bands(reached[a : a + n], symbols[a : a + n], int(z)) for a, n, z in zip(first.tolist(), lens.tolist(), end.tolist(), strict=True)]
+                lo = hi
+            ends = np.cumsum([0, *map(len, bands)])
+            keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(bands)))
+            return pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([profile(t) for t in texts], pa.binary()), keys], ["node", "n_chars", "profile", "bands"])
+
+        return act
+
+    return map_rows(rows, make, "node long, n_chars long, profile binary, bands array<long>")
 
 
 def profile(text: str) -> bytes:
@@ -333,9 +345,43 @@ def possible(na: np.ndarray, a: np.ndarray, nb: np.ndarray, b: np.ndarray, most:
     return (np.abs(na - nb) <= limit) & (np.abs(a - b).sum(axis=-1, dtype=np.int64) <= 2 * RUN * limit)
 
 
+def distance(a: str, b: str) -> int:
+    """The edit distance, by Myers' bit vectors: a column of the table is one number."""
+    k = _shared(a, b)  # what both begin and end with costs nothing
+    a, b = a[k:], b[k:]
+    k = _shared(a[::-1], b[::-1])
+    a, b = a[: len(a) - k], b[: len(b) - k]
+    if not a or not b:
+        return max(len(a), len(b))
+    m, at = len(a), {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    mask, last, up, down, out = (1 << m) - 1, 1 << (m - 1), (1 << m) - 1, 0, m
+    for c in b:
+        same = at.get(c, 0)
+        x = (((same & up) + up) ^ up) | same | down
+        h, v = down | ~(x | up) & mask, up & x
+        if h & last:
+            out += 1
+        elif v & last:
+            out -= 1
+        h, v = (h << 1 | 1) & mask, v << 1 & mask
+        up, down = v | ~(x | h) & mask, h & x
+    return out
+
+
+def _shared(a: str, b: str) -> int:
+    """How many characters both begin with."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        k = (lo + hi + 1) // 2
+        lo, hi = (k, hi) if a[lo:k] == b[lo:k] else (lo, k - 1)
+    return lo
+
+
 def are_copies(a: str, b: str, most: float) -> bool:
     limit = int(most * max(len(a), len(b)))
-    return edit_distance(a, b, limit) <= limit
+    return abs(len(a) - len(b)) <= limit and distance(a, b) <= limit
 
 
 def may_be_copies(pairs: DataFrame, nodes: DataFrame, most: float) -> DataFrame:
@@ -413,7 +459,7 @@ def late_copies(families: DataFrame, nodes: DataFrame, comps: DataFrame, rows: D
     return map_batches(spread, run, "a long, b long")
 
 
-def near_copies(docs: DataFrame, most: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, most: float = 0.05, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
     """doc_id, class_id: near copies by banded fingerprints, verified by edit distance of at most ``most`` of the longer text.
 
     Equal texts are one class at once. In each band the class first in a fixed random order leads; the others are
@@ -421,22 +467,15 @@ def near_copies(docs: DataFrame, most: float = 0.05, id_col: str = "doc_id", tex
     components, their texts are compared with each other, in blocks of bounded size: what may be copies makes families,
     and in each family all texts of different components are verified. So every two texts that share a band are
     verified, refuted or in one component. A document without copies is its own class. Null and empty texts are copies
-    of each other. Ids should be unique.
+    of each other. Ids should be unique; rows with a null id are left out. Whole texts are walked and compared, other
+    columns are ignored, an empty table gives an empty one. Copies that share no band are missed (the README has
+    figures); every=True gives all texts one band more that all share, so that all pairs are verified or refuted.
     """
     rows = id_text(docs, id_col, text_col).filter("doc_id is not null").withColumn("text", F.coalesce("text", F.lit("")))
     classes = rows.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("node"))
-    node = classes.select(F.col("node").alias("doc_id"))
-    prints = stored(fingerprint(rows).select("doc_id", "bands").join(node, "doc_id", "left_semi").distinct(), "prints")
-    keyed = prints.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
-
-    def make():
-        def act(part: pa.RecordBatch) -> pa.RecordBatch:
-            texts = part.column(1).to_pylist()
-            return pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([profile(t) for t in texts], pa.binary())], ["node", "n_chars", "profile"])
-
-        return act
-
-    nodes = stored(map_rows(rows, make, "node long, n_chars long, profile binary").join(node.withColumnRenamed("doc_id", "node"), "node", "left_semi"), "profiles")
+    nodes = stored(banded(rows.select("doc_id", "text")).join(classes.select("node"), "node", "left_semi").dropDuplicates(["node"]), "bands")
+    keyed = nodes.select("node", F.explode(F.array_append("bands", F.lit(0).cast("long")) if every else F.col("bands")).alias("key"))
+    nodes = nodes.drop("bands")
     order = F.struct(F.xxhash64("node").alias("o"), "node")
     leaders = keyed.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("first.node").alias("a"))
     shared = stored(keyed.join(leaders, "key"), "buckets")

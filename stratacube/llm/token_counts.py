@@ -1,38 +1,54 @@
 """Token counts by a two-tier lookup on the map side.
 
 The first tier is a broadcast table from frequent pre-tokens to their number of tokens; the second is a worker's own
-cache, filled by encoding what the first lacks. No pre-token is ever shuffled, and the counts don't depend on what the
-first tier holds: it only saves work.
+cache, filled by encoding what the first lacks. The counts don't depend on what the first tier holds: it only saves work.
+
+What is frequent is counted over the whole texts of all documents. A task keeps a bounded number of counters; where they
+run out, the least ones go (so a pre-token's count may be too low, but not that of one that is frequent in the task). It
+hands on its TASK_ENTRIES most frequent ones, and only these are added up; the pre-tokens of texts are never shuffled.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratacube.llm.bpe import CACHE_ENTRIES, Memo, WordBpe, codec
-from stratacube.llm.common import id_text, map_rows
+from stratacube.llm.common import id_text, map_batches, map_rows, slices
+
+#: Entries of the first tier; counters of a task and entries that it hands on.
+TABLE_ENTRIES, TASK_COUNTERS, TASK_ENTRIES = 65_536, 200_000, 32_768
+
+
+def frequent(docs: DataFrame, path: str, entries: int) -> list[str]:
+    """The most frequent pre-tokens of all documents (ties by code points), ``entries`` at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, seen = codec(path).bpe, Counter()
+        for batch in batches:
+            for part in slices(batch):
+                for text in part.column(0).to_pylist():
+                    for piece, special in bpe.pieces(text or ""):
+                        if not special:
+                            seen.update(bpe.pre_tokens(piece))
+                if len(seen) > 2 * TASK_COUNTERS:
+                    seen = Counter(dict(seen.most_common(TASK_COUNTERS)))
+        top = seen.most_common(TASK_ENTRIES)
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
 
-#: Bounds of the first tier: documents looked at to choose it, characters of each, entries.
-TABLE_DOCS, TABLE_CHARS, TABLE_ENTRIES = 2_000, 8_192, 65_536
+    found = map_batches(docs.select("text"), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r["word"] for r in found.orderBy(F.desc("n"), "word").limit(entries).collect()]
 
 
 def frequent_lengths(docs: DataFrame, path: str, entries: int = TABLE_ENTRIES) -> bytes:
-    """A compact table of pre-tokens that are frequent in a bounded sample: words and one byte of length each, deflated."""
+    """A compact table of frequent pre-tokens: words and one byte of length each, deflated."""
     bpe: WordBpe = codec(path).bpe
-    rows = docs.count()
-    part = docs.sample(min(1.0, 1.1 * TABLE_DOCS / max(rows, 1)), seed=7) if rows > TABLE_DOCS else docs
-    seen: Counter[str] = Counter()
-    for r in part.select(F.substring("text", 1, TABLE_CHARS).alias("text")).limit(TABLE_DOCS).toLocalIterator():
-        for piece, special in bpe.pieces(r["text"] or ""):
-            if not special:
-                seen.update(bpe.pre_tokens(piece))
-    words = [w for w, _ in seen.most_common(entries)]
-    lengths = {w: n for w in words if (n := len(bpe.merge(w))) < 256 and not {"\n", "\0"} & set(w)}
+    lengths = {w: n for w in frequent(docs, path, entries) if (n := len(bpe.merge(w))) < 256 and not {"\n", "\0"} & set(w)}
     return zlib.compress("\n".join(lengths).encode("utf-8") + b"\0" + bytes(lengths.values()))
 
 
@@ -54,8 +70,9 @@ _tables: dict[tuple[str, int], TwoTier] = {}
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) for each row.
 
-    A null text counts as empty: 0 bytes, 0 tokens, not over. Repeated rows give repeated results; other columns are
-    ignored; an empty table gives an empty one.
+    A null text counts as empty: 0 bytes, 0 tokens, not over; whole texts of any length are counted, just ``limit`` tokens
+    aren't over it; a null id stays null. Repeated rows give repeated results; other columns are ignored, whatever their
+    names; an empty table gives an empty one.
     """
     rows = id_text(docs, id_col, text_col)
     table = rows.sparkSession.sparkContext.broadcast(frequent_lengths(rows, path))
