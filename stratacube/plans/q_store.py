@@ -5,13 +5,10 @@ Each query writes a small store below the folder that all executors share and re
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from stratacube import scratch
 from stratacube.functions import pixels
 from stratacube.operators import inventory
 from stratacube.plans import adapters as A
@@ -25,13 +22,7 @@ STEPS = 8
 
 
 def folder(spark: SparkSession) -> str:
-    """A new path in spark.checkpoint.dir; a temporary folder only in local mode without that setting."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + os.path.join(tempfile.gettempdir(), "stratacube-scratch")
-    return f"{root.rstrip('/')}/store-{uuid.uuid4().hex}"
+    return scratch.path(spark, "store")
 
 
 def times(n: int, first: int = 0) -> list[str]:
