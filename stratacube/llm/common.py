@@ -5,15 +5,13 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratacube import scratch as made
 from stratacube.shipping import ship
 
 #: Rows and (about) bytes of one slice of an Arrow batch, which are Python objects at the same time.
@@ -26,17 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that all executors share (``spark.checkpoint.dir``).
-
-    Only where that setting is absent, as in local tests, a temporary folder takes its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + os.path.join(tempfile.gettempdir(), "stratacube-scratch")
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+scratch = made.path
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
@@ -49,12 +37,17 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table that stored() made and that nothing needs any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        made.delete(df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration(), folder)
+
+
+def step(df: DataFrame, what: str, since: int) -> DataFrame:
+    """stored(df); every other table made since ``since`` (scratch.mark()) goes, as what it was for is in this one now."""
     spark = df.sparkSession
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    path = scratch(spark, what)
+    df.write.parquet(path)
+    made.clear(spark, since, keep=(path,))
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
@@ -79,7 +72,10 @@ def release() -> None:
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` with batches of BATCH_BYTES (unless the session says otherwise) and memory released after each task."""
+    """``mapInArrow`` with batches of BATCH_BYTES and memory released after each task.
+
+    Their size is a setting that Spark reads when the query is run, so this sets it for the session unless it has been set.
+    """
     spark = df.sparkSession
     ship(spark)
     if spark.conf.get(BATCH_CONF, DEFAULT_BATCH) == DEFAULT_BATCH:

@@ -68,12 +68,30 @@ def test_columns(spark, stages):
 
 
 def test_odd_rows(spark, tmp_path):
-    """Nulls, repeats, an empty table: no stage falls over."""
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    """Nulls, repeats, long texts, clashing names, an empty table: each stage gives what its docstring says."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _gone int, _dedup int, kept int"
     spark.createDataFrame([(1, "an item of the benchmark")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    for rows in ([], [(1, None, None, None, None), (None, "the of", "en", "s", 1), (2, "", "en", "s", 0), (3, "the and of the", "en", None, 3), (3, "the and of the", "en", None, 3)]):
-        docs = spark.createDataFrame(rows, schema)
-        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            docs = stage(spark, docs, str(tmp_path))
-            assert k == 4 or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-            docs.collect()
+    long = " ".join(f"word{chr(97 + i % 26)} of the and" for i in range(20_000))
+    plain = "the and of the with that from this and those of them"
+    odd = [(1, None, None, None, None), (None, plain, "en", "s", 1), (2, "", "en", "s", 0), (3, plain, "en", None, 3), (3, plain, "en", None, 3), (4, long, "en", "s", 4), (6, long + " more", "en", "t", 4), (7, plain + " an item of the benchmark", None, "s", 5)]
+    # language: null and empty go; lines: nothing repeats on two pages; near: 6 copies 4; decontamination: 7 goes
+    want = [[3, 3, 4, 6, 7, None], [3, 3, 4, 6, 7, None], [3, 3, 4, 7, None], [3, 3, 4, None], [3, 3, 4, None]]
+    by_id = lambda x: (x is None, x)
+    for rows, ids in (([], [[]] * 5), (odd, want)):
+        docs = spark.createDataFrame([(*r, 7, 8, 9) for r in rows], schema)
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            after = stage(spark, docs, str(tmp_path))
+            assert k == 4 or after.columns == docs.columns
+            got = after.collect()
+            assert sorted((r.doc_id for r in got), key=by_id) == ids[k], name
+            assert k == 4 or all((r._gone, r._dedup, r.kept) == (7, 8, 9) for r in got)
+            docs = after
+
+
+def test_run_leaves_one_table(spark):
+    from stratacube import scratch
+
+    since = scratch.mark()
+    out = corpus_pipeline.run(spark, SF)
+    assert len(scratch._made[since:]) == 1 and "stage-decontamination" in scratch._made[-1]
+    assert out.count() > 0
