@@ -87,10 +87,14 @@ def utm_inverse(x, y, zone: int, south: bool) -> tuple[np.ndarray, np.ndarray]:
     x, y = np.asarray(x, float), np.asarray(y, float)
     xi, eta = _wave((y - (UTM_NORTH_SOUTH if south else 0.0)) / _RADIUS, (x - UTM_EAST) / _RADIUS, _BETA, -1)
     goal = np.sin(xi) / np.hypot(np.sinh(eta), np.cos(xi))
-    tau, rest = goal, 1 - _E**2
-    for _ in range(8):  # Newton's steps; two or three do
+    tau, rest, off = goal, 1 - _E**2, np.inf
+    while True:  # Newton's steps, as long as they bring the farthest point nearer
         now = _conformal(tau)
-        tau = tau + (goal - now) / np.hypot(1, now) * (1 + rest * tau**2) / (rest * np.hypot(1, tau))
+        step = (goal - now) / np.hypot(1, now) * (1 + rest * tau**2) / (rest * np.hypot(1, tau))
+        size = float(np.max(np.abs(step / np.hypot(1, tau)), initial=0.0, where=np.isfinite(step)))
+        if size >= off or size == 0.0:
+            break
+        tau, off = tau + step, size
     return 6 * zone - 183 + np.degrees(np.arctan2(np.sinh(eta), np.cos(xi))), np.degrees(np.arctan(tau))
 
 
@@ -104,7 +108,7 @@ def web_inverse(x, y) -> tuple[np.ndarray, np.ndarray]:
 
 Pair = Callable[..., tuple[np.ndarray, np.ndarray]]
 
-SUPPORTED = "EPSG:326zz and EPSG:327zz (UTM zones 1 to 60), EPSG:3857, EPSG:4326"
+SUPPORTED = "degrees (EPSG:4326), Web Mercator (EPSG:3857) and the northern and southern UTM zones (EPSG:32601 to 32660, 32701 to 32760)"
 
 
 def projection(crs: str) -> tuple[Pair, Pair]:
@@ -116,7 +120,7 @@ def projection(crs: str) -> tuple[Pair, Pair]:
     try:
         zone, south = utm_zone(crs)
     except ValueError:
-        raise ValueError(f"unsupported reference system {crs!r}; there are {SUPPORTED}") from None
+        raise ValueError(f"{crs!r} is unsupported: coordinates can be turned between {SUPPORTED}") from None
     return (lambda x, y: utm_inverse(x, y, zone, south)), (lambda lon, lat: utm_forward(lon, lat, zone, south))
 
 

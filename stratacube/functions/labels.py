@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from datetime import UTC, datetime
+from functools import reduce
+from operator import and_, or_
+from typing import Any
 from urllib.parse import parse_qs, quote, urlsplit
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,74 +81,94 @@ def epsg(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"^EPSG:(\d+)$", 1), F.lit("")).cast("int")
 
 
-def _bound(token: str) -> str:
-    if not _PREFIX.fullmatch(token):
-        raise ValueError(f"{token!r} is no ISO prefix like 2024-03 or 2024-03-15")
-    return token.replace(" ", "T")
+@dataclass(frozen=True)
+class Term:
+    """One selector of steps as two closed ranges, of step numbers (with a stride) and of the beginnings of ISO texts.
+
+    Either range may be open. Both a Spark condition and a test on the driver are made from it.
+    """
+
+    first: int | None = None
+    last: int | None = None
+    stride: int = 1
+    since: str | None = None
+    until: str | None = None
+
+    def condition(self, step: Column, text: Column) -> Column:
+        parts = [F.lit(True)]
+        if self.first is not None:
+            parts += [step.between(self.first, self.last), (step - self.first) % self.stride == 0]
+        for mark, after in ((self.since, True), (self.until, False)):
+            if mark is not None:
+                start = F.substring(text, 1, len(mark))
+                parts.append(start >= mark if after else start <= mark)
+        return reduce(and_, parts)
+
+    def holds(self, step: int, text: str) -> bool:
+        near = self.first is None or step in range(self.first, self.last + 1, self.stride)
+        return near and (self.since is None or text[: len(self.since)] >= self.since) and (self.until is None or text[: len(self.until)] <= self.until)
+
+
+_WHOLE = r"-?\d+"
+#: How a selector is written, by what it is. The first that fits is meant.
+_SELECTORS = {
+    "all": re.compile("all"),
+    "between": re.compile(r"(?P<since>[^.]+)\.\.(?P<until>.+)"),
+    "prefix": _PREFIX,
+    "slice": re.compile(rf"(?P<start>{_WHOLE})?:(?P<stop>{_WHOLE})?(:(?P<stride>{_WHOLE})?)?"),
+    "step": re.compile(_WHOLE),
+}
+
+
+def _beginning(text: str) -> str:
+    if not _PREFIX.fullmatch(text):
+        raise ValueError(f"{text!r} is not the beginning of an ISO time: at least a year and a month, as in 2024-03")
+    return text.replace(" ", "T")
+
+
+def term(token: str, n_time: int) -> Term | None:
+    """A selector's term; None if it selects nothing whatever the times are."""
+    for kind, form in _SELECTORS.items():
+        if m := form.fullmatch(token):
+            break
+    else:
+        raise ValueError(f"{token!r} selects no times; selectors are all, a step, start:stop:stride, the beginning of an ISO time, or two of these with .. between")
+    if kind == "all":
+        return Term()
+    if kind in ("between", "prefix"):
+        ends = m.groupdict() if kind == "between" else {"since": token, "until": token}
+        return Term(**{k: _beginning(v) for k, v in ends.items()})
+    if kind == "step":
+        if int(token) not in range(-n_time, n_time):
+            raise ValueError(f"of {n_time} steps none is number {token}")
+        return Term(int(token) % n_time, int(token) % n_time)
+    steps = range(n_time)[slice(*(int(v) if (v := m[g]) else None for g in ("start", "stop", "stride")))]
+    return Term(min(steps), max(steps), abs(steps.step)) if steps else None
+
+
+def terms(spec: Sequence[str], n_time: int) -> dict[str, Term | None]:
+    """The selectors of a specification, each an item of its own or between commas; all if there is none."""
+    tokens = [t for t in map(str.strip, ",".join(spec).split(",")) if t]
+    return {t: term(t, n_time) for t in tokens or ["all"]}
 
 
 def time_condition(spec: Sequence[str], n_time: int, text: str = "iso", t: str = "t") -> Column:
     """A condition on rows of a time axis (t from 0, ISO text) that holds for the chosen steps.
 
-    Tokens, separated by commas or as several items: ``all``; a step (negative: from the end); ``start:stop[:step]``; an
-    ISO prefix from year and month on; ``A..B``, prefixes with both ends included. No token chooses all.
+    Selectors: ``all``; a step (negative: from the end); ``start:stop[:stride]`` as Python's slices; the beginning of an
+    ISO time from year and month on; ``A..B``, two of these, both included. Several choose what any of them chooses.
     """
-    tokens = [x.strip() for item in spec for x in item.split(",") if x.strip()]
-    if not tokens:
-        return F.lit(True)
-    out: Column = F.lit(False)
-    iso_text, step = F.col(text), F.col(t)
-    for token in tokens:
-        if token == "all":
-            return F.lit(True)
-        if ".." in token:
-            lo, hi = map(_bound, token.split("..", 1))
-            out = out | (F.substring(iso_text, 1, len(lo)) >= lo) & (F.substring(iso_text, 1, len(hi)) <= hi)
-        elif _PREFIX.fullmatch(token):
-            out = out | iso_text.startswith(_bound(token))
-        elif re.fullmatch(r"-?\d+", token):
-            k = int(token)
-            if not -n_time <= k < n_time:
-                raise ValueError(f"step {k} is out of range: there are {n_time} steps")
-            out = out | (step == k % n_time)
-        elif re.fullmatch(r"-?\d*:-?\d*(:-?\d*)?", token):
-            parts = [int(p) if p else None for p in token.split(":")]
-            chosen = range(n_time)[slice(*parts)]
-            if len(chosen):
-                lo, hi = min(chosen), max(chosen)
-                out = out | (step >= lo) & (step <= hi) & ((step - lo) % abs(chosen.step) == 0)
-        else:
-            raise ValueError(f"can't read the time selector {token!r}: use a step, start:stop[:step], an ISO prefix, A..B or all")
-    return out
+    return reduce(or_, (x.condition(F.col(t), F.col(text)) for x in terms(spec, n_time).values() if x), F.lit(False))
 
 
 def select_times(spec: Sequence[str], times: Sequence[str]) -> list[int]:
-    """time_condition() on a list, for the driver; raises where nothing is chosen."""
-    n = len(times)
-    chosen: set[int] = set()
-    tokens = [x.strip() for item in spec for x in item.split(",") if x.strip()] or ["all"]
-    for token in tokens:
-        if token == "all":
-            found = list(range(n))
-        elif ".." in token:
-            lo, hi = map(_bound, token.split("..", 1))
-            found = [i for i, s in enumerate(times) if s[: len(lo)] >= lo and s[: len(hi)] <= hi]
-        elif _PREFIX.fullmatch(token):
-            found = [i for i, s in enumerate(times) if s.startswith(_bound(token))]
-            if not found:
-                raise ValueError(f"no step matches {token!r}; there are {times[0]} to {times[-1]}")
-        elif re.fullmatch(r"-?\d+", token):
-            if not -n <= int(token) < n:
-                raise ValueError(f"step {token} is out of range: there are {n} steps")
-            found = [int(token) % n]
-        elif re.fullmatch(r"-?\d*:-?\d*(:-?\d*)?", token):
-            found = list(range(n)[slice(*[int(p) if p else None for p in token.split(":")])])
-        else:
-            raise ValueError(f"can't read the time selector {token!r}")
-        chosen.update(found)
-    if not chosen:
-        raise ValueError(f"{list(spec)} chooses no step")
-    return sorted(chosen)
+    """The same on the driver, for an axis that is at hand; a time that no step has, or no step at all, is an error."""
+    found = {token: {i for i, text in enumerate(times) if x and x.holds(i, text)} for token, x in terms(spec, len(times)).items()}
+    if absent := [token for token, steps in found.items() if not steps and _PREFIX.fullmatch(token)]:
+        raise ValueError(f"no step is at {', '.join(absent)}; the axis is from {times[0]} to {times[-1]}")
+    if not any(found.values()):
+        raise ValueError(f"no step is chosen by {', '.join(found)}")
+    return sorted(set().union(*found.values()))
 
 
 def byte_range(header: str, size: int) -> tuple[int, int] | None:
@@ -158,47 +183,67 @@ def byte_range(header: str, size: int) -> tuple[int, int] | None:
     return (first, last) if first <= last and first < size else None
 
 
-def encode_view(view: Mapping, transform=None) -> str:
-    """A view (t, product, band, zoom, center as col and row) as a query string; what is missing is left out."""
-    out = []
-    if view.get("t") is not None:
-        out.append(f"t={view['t']}")
-    for key, name in (("p", "product"), ("b", "band")):
-        if view.get(name) is not None:
-            out.append(f"{key}={quote(view[name])}")
-    if view.get("zoom") is not None:
-        out.append(f"z={float(f'{view['zoom']:.3g}'):g}")
-    if view.get("center") is not None:
-        a, b = view["center"]
-        digits = 1
-        if transform is not None:
-            t = transform
-            a, b = t[0] * a + t[1] * b + t[2], t[3] * a + t[4] * b + t[5]
-            digits = 0 if abs(t[0]) >= 1 else 3
-        out.append("c=" + ",".join(f"{round(v, digits):.{digits}f}".rstrip("0").rstrip(".") if digits else f"{round(v):d}" for v in (a, b)))
-    return "&".join(out)
-
-
-def decode_view(text: str, n_time: int, products: Sequence[str], bands: Sequence[str], transform=None) -> dict:
+_DECIMAL = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?")
+
+
+@dataclass(frozen=True)
+class Field:
+    """A part of a view in a query string: its key, how it is written, and how it is read (None: not valid here)."""
+
+    key: str
+    write: Callable[[Any, Sequence[float] | None], str]
+    read: Callable[[str, Mapping], Any]
+
+
+def _decimal(text: str) -> float | None:
+    return float(text) if _DECIMAL.fullmatch(text.strip()) else None
+
+
+def _trimmed(x: float, digits: int) -> str:
+    return f"{x:.{digits}f}".rstrip("0").rstrip(".") if digits else f"{round(x)}"
+
+
+def _write_point(at: Sequence[float], transform: Sequence[float] | None) -> str:
+    """A pixel's column and row to a tenth, or its coordinates in whole units (thousandths if a pixel is smaller than one)."""
+    if transform is None:
+        return ",".join(_trimmed(v, 1) for v in at)
+    grid = np.array(transform).reshape(2, 3)
+    return ",".join(_trimmed(v, 0 if abs(transform[0]) >= 1 else 3) for v in grid @ [*at, 1.0])
+
+
+def _read_point(text: str, there: Mapping) -> tuple[float, float] | None:
+    at = [_decimal(v) for v in text.split(",")]
+    if len(at) != 2 or None in at:
+        return None
+    if there["transform"] is None:
+        return at[0], at[1]
+    grid = np.array(there["transform"]).reshape(2, 3)
+    x, y = np.linalg.solve(grid[:, :2], np.array(at) - grid[:, 2])
+    return float(x), float(y)
+
+
+def _listed(names: str) -> Callable[[str, Mapping], str | None]:
+    return lambda text, there: text if text in there[names] else None
+
+
+#: The view's parts in the order in which they are written.
+VIEW = {
+    "t": Field("t", lambda v, _: str(v), lambda text, there: int(text) if text.isdecimal() and int(text) < there["n_time"] else None),
+    "product": Field("p", lambda v, _: quote(v), _listed("products")),
+    "band": Field("b", lambda v, _: quote(v), _listed("bands")),
+    "zoom": Field("z", lambda v, _: f"{float(f'{v:.3g}'):g}", lambda text, _: z if (z := _decimal(text)) and z > 0 else None),
+    "center": Field("c", _write_point, _read_point),
+}
+
+
+def encode_view(view: Mapping, transform: Sequence[float] | None = None) -> str:
+    """A view (t, product, band, zoom, center as col and row) as a query string; with a transform, center in coordinates."""
+    return "&".join(f"{f.key}={f.write(view[name], transform)}" for name, f in VIEW.items() if view.get(name) is not None)
+
+
+def decode_view(text: str, n_time: int, products: Sequence[str], bands: Sequence[str], transform: Sequence[float] | None = None) -> dict:
     """The parts of a query string that are valid for a store."""
-    got = {k: v[0] for k, v in parse_qs(text.lstrip("?"), keep_blank_values=True).items()}
-    view: dict = {}
-    if re.fullmatch(r"\d+", got.get("t", "")) and int(got["t"]) < n_time:
-        view["t"] = int(got["t"])
-    if got.get("p") in products:
-        view["product"] = got["p"]
-    if got.get("b") in bands:
-        view["band"] = got["b"]
-    number = r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
-    if re.fullmatch(number, got.get("z", "")) and float(got["z"]) > 0:
-        view["zoom"] = float(got["z"])
-    parts = got.get("c", "").split(",")
-    if len(parts) == 2 and all(re.fullmatch(number, p.strip()) for p in parts):
-        a, b = map(float, parts)
-        if transform is not None:
-            t = transform
-            det = t[0] * t[4] - t[1] * t[3]
-            dx, dy = a - t[2], b - t[5]
-            a, b = (t[4] * dx - t[1] * dy) / det, (t[0] * dy - t[3] * dx) / det
-        view["center"] = (a, b)
-    return view
+    given = parse_qs(text.lstrip("?"), keep_blank_values=True)
+    there = {"n_time": n_time, "products": products, "bands": bands, "transform": transform}
+    read = {name: f.read(given[f.key][0], there) for name, f in VIEW.items() if f.key in given}
+    return {name: value for name, value in read.items() if value is not None}

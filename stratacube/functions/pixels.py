@@ -121,6 +121,7 @@ def true_color(r: Column, g: Column, b: Column, low: float = 0.0) -> tuple[Colum
 
 Colour = tuple[float, float, float]
 
+# Products must have these colours.
 #: Colour ramps: (from, to, colour at from, colour at to), the first below zero.
 NDVI_RAMP: list[tuple[float, float, Colour, Colour]] = [
     (-1.0, 0.0, (0.14, 0.15, 0.19), (0.48, 0.42, 0.36)),

@@ -1,75 +1,85 @@
-"""Commands from a host page to a viewer: checked one by one, accepted or rejected as a whole."""
+"""Tables of commands to viewers, as JSON texts: which are valid, what each sets, and what that is for a store.
+
+A command is taken as a whole: one bad field, and nothing of it is used. All is column work on variants, so a log of any
+size is checked without Python.
+"""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from stratacube.functions import labels
+from stratacube.operators import temporal
 
 VERSION = 1
+NUMBER = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
+
+
+def _at(path: str, kind: str) -> Column:
+    return F.try_variant_get(F.col("_v"), path, kind)
+
+
+def _is(path: str, pattern: str) -> Column:
+    """Whether a part is there and of a JSON type."""
+    return F.coalesce(F.schema_of_variant(F.try_variant_get(F.col("_v"), path, "variant")).rlike(pattern), F.lit(False))
+
+
+def _pair(x: str, y: str, most_x: float | None = None, most_y: float | None = None) -> Column:
+    inside = F.lit(True)
+    for name, most in ((x, most_x), (y, most_y)):
+        inside = inside & _is(f"$.center.{name}", NUMBER) & (F.abs(_at(f"$.center.{name}", "double")) <= (most if most is not None else float("inf")))
+    return inside
+
+
+def _rules() -> dict[str, Column]:
+    """By field, whether its value is valid in itself."""
+    moment = F.try_to_timestamp(_at("$.t", "string"))
+    increasing = _is("$.range[0]", NUMBER) & _is("$.range[1]", NUMBER) & (F.size(_at("$.range", "array<double>")) == 2) & (_at("$.range[0]", "double") < _at("$.range[1]", "double"))
+    return {
+        "product": _is("$.product", "^STRING$") & (_at("$.product", "string") != ""),
+        "band": _is("$.band", "^STRING$") & (_at("$.band", "string") != ""),
+        "range": _is("$.range", "^VOID$") | increasing,
+        "zoom": _is("$.zoom", NUMBER) & (_at("$.zoom", "double") > 0),
+        "playing": _is("$.playing", "^BOOLEAN$"),
+        "speed": _is("$.speed", NUMBER) & (_at("$.speed", "double") > 0),
+        "t": _is("$.t", "^(TINYINT|SMALLINT|INT|BIGINT)$") & (_at("$.t", "long") >= 0) | _is("$.t", "^STRING$") & moment.isNotNull(),
+        "center": _pair("x", "y") | _pair("lon", "lat", 180.0, 90.0),
+    }
+
+
+def parsed(messages: DataFrame, text: str = "message", prefix: str = "cube:") -> DataFrame:
+    """messages with kind (ignore, get, set or error), wrong (fields that aren't valid) and, of sets, the fields that were given.
+
+    A text that is no JSON object, or of another type of message, is ignored; so are unknown fields. A null text is ignored.
+    """
+    rows = messages.withColumn("_v", F.try_parse_json(text))
+    kind = _at("$.type", "string")
+    version = F.coalesce(_at("$.v", "string"), F.lit(str(VERSION))) == str(VERSION)
+    given = F.coalesce(F.json_object_keys(F.to_json("_v")), F.array().cast("array<string>"))
+    rules = _rules()
+    wrong = F.filter(F.array(*[F.when(F.array_contains("_keys", name) & ~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]), lambda x: x.isNotNull())
+    rows = rows.withColumn("_keys", given).withColumn("_type", kind)
+    known = F.when(~F.coalesce(F.col("_type").startswith(prefix), F.lit(False)), "ignore").when(~version, "error").when(F.col("_type") == f"{prefix}get", "get").when(F.col("_type") == f"{prefix}set", "set").otherwise("error")
+    rows = rows.withColumn("_kind", known).withColumn("wrong", F.when(F.col("_kind") == "set", wrong).otherwise(F.array().cast("array<string>")))
+    whole = F.col("_kind") == "set"
+    columns = {
+        "step": _at("$.t", "long"), "at": F.when(_is("$.t", "^STRING$"), F.try_to_timestamp(_at("$.t", "string"))), "product": _at("$.product", "string"), "band": _at("$.band", "string"),
+        "range": _at("$.range", "array<double>"), "zoom": _at("$.zoom", "double"), "playing": _at("$.playing", "boolean"), "speed": _at("$.speed", "double"),
+        "x": _at("$.center.x", "double"), "y": _at("$.center.y", "double"), "lon": _at("$.center.lon", "double"), "lat": _at("$.center.lat", "double"),
+    }
+    rows = rows.withColumn("kind", F.when(whole & (F.size("wrong") > 0), "error").otherwise(F.col("_kind")))
+    good = F.col("kind") == "set"
+    return rows.select(*[f"`{c}`" for c in messages.columns], "kind", "wrong", *[F.when(good, c).alias(name) for name, c in columns.items()])
 
 
-def _number(x) -> bool:
-    return isinstance(x, (int, float)) and not isinstance(x, bool) and math.isfinite(x)
-
-
-def parse(message, prefix: str = "cube:") -> dict:
-    """{kind: ignore | get | set | error}. A set has the fields that were given, each valid in itself."""
-    if not isinstance(message, Mapping) or not str(message.get("type", "")).startswith(prefix):
-        return {"kind": "ignore"}
-    if message.get("v", VERSION) != VERSION:
-        return {"kind": "error", "message": f"version {message['v']!r} isn't {VERSION}"}
-    what = message["type"].removeprefix(prefix)
-    if what == "get":
-        return {"kind": "get"}
-    if what != "set":
-        return {"kind": "error", "message": f"no command {what!r}; there are set and get"}
-    out: dict = {}
-    for field, ok, hint in (
-        ("product", lambda v: isinstance(v, str) and v, "a name"),
-        ("band", lambda v: isinstance(v, str) and v, "a name"),
-        ("range", lambda v: v is None or isinstance(v, Sequence) and len(v) == 2 and all(map(_number, v)) and v[0] < v[1], "null or two increasing numbers"),
-        ("zoom", lambda v: _number(v) and v > 0, "a number above 0"),
-        ("playing", lambda v: isinstance(v, bool), "true or false"),
-        ("speed", lambda v: _number(v) and v > 0, "a number above 0"),
-    ):
-        if field in message:
-            if not ok(message[field]):
-                return {"kind": "error", "message": f"{field} must be {hint}, not {message[field]!r}"}
-            out[field] = message[field]
-    if "t" in message:
-        t = message["t"]
-        if isinstance(t, int) and not isinstance(t, bool) and t >= 0:
-            out["t"] = {"index": t}
-        else:
-            try:
-                out["t"] = {"at": labels.parse_time(t)}
-            except (ValueError, AttributeError):
-                return {"kind": "error", "message": f"t must be a step or an ISO date, not {t!r}"}
-    if "center" in message:
-        c = message["center"]
-        pair = next((p for p in (("x", "y"), ("lon", "lat")) if isinstance(c, Mapping) and all(_number(c.get(k)) for k in p)), None)
-        if pair is None or pair[0] == "lon" and (abs(c["lon"]) > 180 or abs(c["lat"]) > 90):
-            return {"kind": "error", "message": f"center must be x and y, or lon and lat in degrees, not {c!r}"}
-        out["center"] = {k: c[k] for k in pair}
-    return {"kind": "set", "set": out}
-
-
-def nearest_time(times: Sequence[str], at) -> int:
-    """The step nearest to a time, the earlier one on ties."""
-    return min(range(len(times)), key=lambda i: (abs(labels.parse_time(times[i]) - at), i))
-
-
-def resolve(command: Mapping, times: Sequence[str], products: Sequence[str], bands: Sequence[str]) -> dict:
-    """A parsed set for a store: {ok, plan} or {ok, message}; nothing of a set with one bad field is used."""
-    plan = dict(command)
-    if "t" in command:
-        t = command["t"]
-        if t.get("index", 0) >= len(times):
-            return {"ok": False, "message": f"step {t['index']} is past the last, {len(times) - 1}"}
-        plan["t"] = t["index"] if "index" in t else nearest_time(times, t["at"])
-    for field, there in (("product", products), ("band", bands)):
-        if field in command and command[field] not in there:
-            return {"ok": False, "message": f"{field} {command[field]!r} isn't there; there are {', '.join(there)}"}
-    return {"ok": True, "plan": plan}
+def resolved(commands: DataFrame, times: DataFrame, products: Sequence[str], bands: Sequence[str]) -> DataFrame:
+    """The sets among parsed() commands with step (of the time axis times: t, ts; the nearest one to ``at``) and absent: what the store lacks."""
+    sets = commands.filter("kind = 'set'")
+    n = times.agg(F.max("t")).first()[0]
+    dated = temporal.nearest(sets.filter("at IS NOT NULL").select("at").distinct(), times).select("at", F.col("t").alias("_near"))
+    rows = sets.join(dated, "at", "left").withColumn("step", F.coalesce("step", F.col("_near").cast("long"))).drop("_near")
+    lacks = {"t": F.col("step") > (-1 if n is None else n), "product": ~F.col("product").isin(*products), "band": ~F.col("band").isin(*bands)}
+    absent = F.filter(F.array(*[F.when(lack, F.lit(name)) for name, lack in lacks.items()]), lambda x: x.isNotNull())
+    return rows.withColumn("absent", absent)

@@ -37,12 +37,12 @@ class Plan:
         return out
 
 
-def compressed_sizes(df: DataFrame, cube: M.Cube, deltas: bool = False) -> DataFrame:
-    """row, col, t, plain[, delta]: compressed bytes of the chunks of df's cells; with deltas, also of the differences to each step's anchor."""
+def compressed_sizes(df: DataFrame, cube: M.Cube, deltas: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """by (columns of int), row, col, t, plain[, delta]: compressed bytes of the chunks of df's cells; with deltas, also of the differences to each step's anchor."""
     chain = codecs.chain("zstd", cube.dtype)
     interval = cube.interval or M.NOMINAL_INTERVAL
     star = temporal.anchor_of(F.col("t"), len(cube.times), interval)
-    keys = ["row", "col"]
+    keys = [*by, "row", "col"]
     cell = lambda c: F.floor(F.col(c) / cube.cell).cast("int")
     rows = df.withColumn("row", cell("y")).withColumn("col", cell("x")).withColumn("star", star).withColumn("late", (F.col("t") != F.col("star")).cast("int"))
     rows = rows.select(*keys, "star", "late", "t", "b", "y", "x", "v").repartition(*keys, "star").sortWithinPartitions(*keys, "star", "late", "t")
@@ -54,22 +54,22 @@ def compressed_sizes(df: DataFrame, cube: M.Cube, deltas: bool = False) -> DataF
 
         def done():
             nonlocal anchor
-            r, c, s, late, t = of
+            *lead, r, c, s, late, t = of
             plane = np.full(shape, cube.fill, dtype)
             table = pa.Table.from_batches(parts)
             b, y, x, v = (table.column(n).to_numpy() for n in "byxv")
             plane[b, y - r * cube.cell, x - c * cube.cell] = v
             plain = len(codecs.encode(plane, chain, cube.dtype))
             if not late:
-                anchor = (r, c, s), plane
-            base = anchor[1] if anchor is not None and anchor[0] == (r, c, s) else np.full(shape, cube.fill, dtype)
+                anchor = of[:-2], plane
+            base = anchor[1] if anchor is not None and anchor[0] == of[:-2] else np.full(shape, cube.fill, dtype)
             delta = len(codecs.encode(plane - base, chain, cube.dtype)) if late and deltas else plain
-            return pa.RecordBatch.from_arrays([pa.array([z], k) for z, k in ((r, pa.int32()), (c, pa.int32()), (t, pa.int32()), (plain, pa.int64()), (delta, pa.int64()))], ["row", "col", "t", "plain", "delta"])
+            return pa.RecordBatch.from_arrays([pa.array([z], k) for z, k in (*((z, pa.int32()) for z in (*lead, r, c, t)), (plain, pa.int64()), (delta, pa.int64()))], [*keys, "t", "plain", "delta"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = np.stack([batch.column(i).to_numpy() for i in range(5)], 1)
+            ids = np.stack([batch.column(i).to_numpy() for i in range(len(keys) + 3)], 1)
             cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist(), len(ids)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 key = tuple(int(z) for z in ids[lo])
@@ -82,7 +82,7 @@ def compressed_sizes(df: DataFrame, cube: M.Cube, deltas: bool = False) -> DataF
             yield done()
 
     ship(df.sparkSession)
-    out = rows.mapInArrow(run, "row int, col int, t int, plain long, delta long")
+    out = rows.mapInArrow(run, ", ".join(f"{k} int" for k in keys) + ", t int, plain long, delta long")
     return out if deltas else out.drop("delta")
 
 
@@ -91,11 +91,10 @@ def choose_encoding(df: DataFrame, cube: M.Cube, interval: int) -> tuple[bool, d
     k = cube.levels[0]
     rows, cols = -(-k.height // cube.cell), -(-k.width // cube.cell)
     picked = planning.sample_cells(rows, cols)
-    cond = F.lit(False)
-    for r, c in picked:
-        cond = cond | ((F.floor(F.col("y") / cube.cell) == r) & (F.floor(F.col("x") / cube.cell) == c))
+    cells = df.sparkSession.createDataFrame(picked, "_row int, _col int")
+    chosen = df.join(cells, (F.floor(F.col("y") / cube.cell) == F.col("_row")) & (F.floor(F.col("x") / cube.cell) == F.col("_col")), "left_semi")
     measured = M.new_cube(cube.times, cube.bands, cube.crs, k.transform, k.height, k.width, cube.dtype, cube.cell, interval=interval, nodata=cube.nodata)
-    total = compressed_sizes(df.filter(cond), measured, deltas=True).agg(F.sum("plain"), F.sum("delta")).first()
+    total = compressed_sizes(chosen, measured, deltas=True).agg(F.sum("plain"), F.sum("delta")).first()
     keep, ratio = planning.keep_deltas(total[1] or 0, total[0] or 0)
     return keep, {"mode": "auto", "sampled_cells": len(picked), "ratio": ratio}
 
@@ -171,9 +170,9 @@ def reference_cost(df: DataFrame, cube: M.Cube, interval: int) -> dict[str, floa
     affected = [t for t, a in temporal.anchor_schedule(n, interval)[1].items() if a > t]
     # With the last steps cut off behind each anchor, the preceding anchor is the nearest one: measure block by block.
     block = F.floor(F.col("t") / interval).cast("int")
-    parts = df.withColumn("block", block).withColumn("y", F.col("y") + F.col("block") * cube.cell * 4096).withColumn("t", F.col("t") % interval).drop("block")
+    parts = df.withColumn("block", block).withColumn("t", F.col("t") % interval)
     short = M.new_cube(cube.times[:interval], cube.bands, cube.crs, cube.levels[0].transform, cube.levels[0].height, cube.levels[0].width, cube.dtype, cube.cell, interval=interval, nodata=cube.nodata)
-    prev = compressed_sizes(parts, short, deltas=True).withColumn("t", (F.floor(F.col("row") / 4096) * interval + F.col("t")).cast("int"))
+    prev = compressed_sizes(parts, short, deltas=True, by=["block"]).withColumn("t", F.col("block") * interval + F.col("t"))
     total = near.agg(F.sum("plain"), F.sum("delta"), F.sum(F.when(F.col("t").isin(affected), F.col("delta")))).first()
     other = prev.filter(F.col("t").isin(affected)).agg(F.sum("delta")).first()[0] or 0
     return {"plain": total[0], "nearest": total[1], "affected_steps": len(affected), "affected_nearest": total[2] or 0, "affected_preceding": other, "store_increase": (other - (total[2] or 0)) / total[1] if total[1] else 0.0}

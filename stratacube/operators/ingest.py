@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-import struct
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -58,54 +59,78 @@ def declared_nodata(df: DataFrame, by: Sequence[str], nodata: Column) -> DataFra
     return df.groupBy(*by).agg(tokens.alias("tokens")).withColumn("agreed", F.size("tokens") == 1)
 
 
+#: Types of stored data.
+STORED_TYPES = {"uint8": np.uint8, "uint16": np.uint16, "int16": np.int16, "float32": np.float32}
+
+
 def stored_token(value: float | None, dtype: str) -> float | int | str | None:
-    """A declared nodata value as data of this type would hold it; "nan" for NaN; None if no pixel can hold it."""
+    """What comes back of a declared nodata value that is put into data of this type; None if it doesn't survive; "nan" for NaN."""
     if value is None:
         return None
-    x = float(value)
-    if dtype == "float32":
-        if math.isnan(x):
-            return "nan"
-        return x if math.isinf(x) else None if abs(x) > 3.4028234663852886e38 else struct.unpack("f", struct.pack("f", x))[0]
-    lo, hi = INTEGER_RANGES[dtype]
-    return int(x) if math.isfinite(x) and x.is_integer() and lo <= x <= hi else None
-
-
-#: Whole-number types of stored data.
-INTEGER_RANGES = {"uint8": (0, 255), "uint16": (0, 65535), "int16": (-32768, 32767)}
+    kind = STORED_TYPES[dtype]
+    with np.errstate(all="ignore"):
+        back = np.float64(value).astype(kind)
+    if issubclass(kind, np.floating):
+        kept = np.isfinite(back) or not np.isfinite(value)
+        return ("nan" if np.isnan(back) else float(back)) if kept else None
+    inside = np.isfinite(value) and np.iinfo(kind).min <= value <= np.iinfo(kind).max
+    return int(back) if inside and float(back) == float(value) else None
+
+
+@dataclass(frozen=True)
+class Declarations:
+    """What sources say about validity, summed up: distinct tokens, masks of their own, whether warping leaves gaps."""
+
+    dtype: str
+    tokens: frozenset
+    asked: float | str | None
+    masks: tuple[str, ...]
+    gaps: bool
+
+    @property
+    def asked_token(self) -> float | int | str | None:
+        return None if isinstance(self.asked, str) else stored_token(self.asked, self.dtype)
+
+    @property
+    def automatic(self) -> bool:
+        return self.asked == "auto"
+
+    @property
+    def value(self) -> float | int | None:
+        """The one nodata value that data can be stored with, whatever else there is."""
+        token = next(iter(self.tokens)) if self.automatic and len(self.tokens) == 1 else self.asked_token
+        return token if isinstance(token, (int, float)) and math.isfinite(token) else None
+
+
+#: Why a request can't be met.
+REFUSED: tuple[tuple[Callable[[Declarations], bool], str], ...] = (
+    (lambda d: isinstance(d.asked, str) and not d.automatic, "nodata is a number, None or 'auto', but not {asked!r}"),
+    (lambda d: d.asked_token == "nan" and d.dtype != "float32", "NaN as nodata is for float data, and this is {dtype}"),
+    (lambda d: isinstance(d.asked, (int, float)) and d.value is None and d.asked_token != "nan", "{dtype} data can't hold nodata {asked!r}"),
+)
+#: Why validity becomes a mask. Where none of these holds, a nodata value (or nothing) says it all.
+MASKED: tuple[tuple[Callable[[Declarations], bool], str], ...] = (
+    (lambda d: d.automatic and len(d.tokens) > 1, "sources declare different nodata values"),
+    (lambda d: d.automatic and len(d.tokens) == 1 and d.value is None and d.tokens != {None}, "the declared nodata value isn't a finite number"),
+    (lambda d: d.asked_token == "nan", "NaN is what marks invalid pixels"),
+    (lambda d: d.gaps and d.value is None, "warping leaves pixels that no source covers"),
+)
 
 
 def decide_validity(dtype: str, declared: Sequence[float | int | str | None], override: float | str | None = "auto", masks: Sequence[str] = (), footprint: bool = False) -> dict:
     """{mask, nodata, why}: whether validity is stored as a mask or as a nodata value that all sources share.
 
-    declared: the tokens of all sources and bands (stored_token()). override: "auto", None (no value means nodata) or the
-    value to use; NaN asks for a mask. masks: the sources' own masks. footprint: warped steps leave pixels without a source.
+    declared: the tokens of all sources and bands (stored_token()), as declared_nodata() collects them. override: "auto",
+    None (no value means nodata) or the value to use; NaN asks for a mask. masks: the sources' own masks. footprint:
+    warped steps leave pixels without a source.
     """
-    reasons, value = list(masks), None
-    if override == "auto":
-        tokens = set(declared) or {None}
-        one = next(iter(tokens)) if len(tokens) == 1 else None
-        if len(tokens) > 1:
-            reasons.append("the declared nodata values differ")
-        elif one == "nan" or isinstance(one, float) and math.isinf(one):
-            reasons.append(f"nodata {one} can't be stored")
-        else:
-            value = one
-    elif isinstance(override, str):
-        raise ValueError(f"nodata must be a number, None or 'auto', not {override!r}")
-    elif override is not None and math.isnan(override):
-        if dtype != "float32":
-            raise ValueError(f"nodata NaN needs float data, not {dtype}")
-        reasons.append("NaN marks invalid pixels")
-    elif override is not None:
-        value = stored_token(override, dtype)
-        if value is None or isinstance(value, str) or math.isinf(value):
-            raise ValueError(f"{dtype} data can't hold nodata {override!r}")
-    if footprint and value is None:
-        reasons.append("warped steps leave pixels outside the sources")
+    d = Declarations(dtype, frozenset(declared), override, tuple(masks), footprint)
+    if refused := [why for holds, why in REFUSED if holds(d)]:
+        raise ValueError(refused[0].format(asked=override, dtype=dtype))
+    reasons = [*d.masks, *(why for holds, why in MASKED if holds(d))]
     if reasons:
-        return {"mask": True, "nodata": None if override == "auto" else value, "why": "; ".join(reasons)}
-    return {"mask": False, "nodata": value, "why": "every pixel is valid" if value is None else f"nodata {value}"}
+        return {"mask": True, "nodata": None if d.automatic else d.value, "why": "; ".join(reasons)}
+    return {"mask": False, "nodata": d.value, "why": "every pixel is valid" if d.value is None else f"nodata {d.value}"}
 
 
 def strided(df: DataFrame, height: int, width: int, wanted: int) -> DataFrame:
@@ -216,9 +241,9 @@ def common_valid(df: DataFrame, n_times: int, ok: Column, keys: Sequence[str] =
     return df.groupBy(*keys).agg(F.count_distinct(F.when(ok, F.col("t"))).alias("_n")).filter(F.col("_n") == n_times).select(*keys)
 
 
-def time_order(df: DataFrame, ts: str = "ts", tie: str = "uri") -> DataFrame:
-    """df with t = 0, 1, ... in time order. The list has as many rows as the time axis, so one window spans it."""
-    return df.withColumn("t", F.row_number().over(W.Window.orderBy(ts, tie)) - 1)
+def time_order(df: DataFrame, ts: str = "ts", tie: str = "uri", by: Sequence[str] = ()) -> DataFrame:
+    """df with t = 0, 1, ... in time order, in each series for itself. A series has as many rows as its time axis, so one window spans it."""
+    return df.withColumn("t", F.row_number().over((W.Window.partitionBy(*by) if by else W.Window).orderBy(ts, tie)) - 1)
 
 
 def input_checks(df: DataFrame, dtype: str, value: str = "v", by: Sequence[str] = ("t",)) -> DataFrame:
@@ -227,6 +252,6 @@ def input_checks(df: DataFrame, dtype: str, value: str = "v", by: Sequence[str]
     if dtype == "float32":
         whole, fits = F.lit(True), F.bool_and(F.abs(v.cast("double")) <= 3.4028234663852886e38)
     else:
-        lo, hi = INTEGER_RANGES[dtype]
+        lo, hi = (int(x) for x in (np.iinfo(STORED_TYPES[dtype]).min, np.iinfo(STORED_TYPES[dtype]).max))
         whole, fits = F.bool_and(v == F.floor(v)), (F.min(v) >= lo) & (F.max(v) <= hi)
     return df.groupBy(*by).agg(whole.alias("whole"), fits.alias("fits"), (F.count("*") - F.count(v)).alias("nulls"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,21 @@ def cell(df: DataFrame, row: int, col: int, size: int, height: int, width: int)
     return df.filter((F.col("y") >= y0) & (F.col("y") < min(y0 + size, height)) & (F.col("x") >= x0) & (F.col("x") < min(x0 + size, width)))
 
 
+def all_cells(df: DataFrame, size: int, height: int, width: int) -> DataFrame:
+    """row, col and the pixels of each cell of the grid: cell() of all cells, in one pass."""
+    rows, cols = cells(height, width, size)
+    cell_of = lambda c: F.floor(F.col(c) / size).cast("int")
+    inside = F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)
+    return df.filter(inside).withColumns({"row": cell_of("y"), "col": cell_of("x")}).filter(F.col("row").between(0, rows - 1) & F.col("col").between(0, cols - 1))
+
+
+def compared(a: DataFrame, b: DataFrame) -> DataFrame:
+    """only_a, only_b: how many rows each has that the other lacks, repeated ones counted, in one aggregation."""
+    both = a.withColumn("_side", F.lit(1)).unionByName(b.withColumn("_side", F.lit(-1)))
+    more = both.groupBy(*a.columns).agg(F.sum("_side").alias("_more"))
+    return more.agg(F.coalesce(F.sum(F.greatest("_more", F.lit(0))), F.lit(0)).alias("only_a"), F.coalesce(F.sum(F.greatest(-F.col("_more"), F.lit(0))), F.lit(0)).alias("only_b"))
+
+
 def outer(df: DataFrame, **axes: int | slice | Sequence[int]) -> DataFrame:
     """Outer indexing: a number, a slice (with start and stop) or a list for each axis."""
     for name, at in axes.items():
@@ -63,26 +80,50 @@ def keep_deltas(delta_bytes: int, plain_bytes: int) -> tuple[bool, float]:
     return ratio <= DELTA_LIMIT, ratio
 
 
-def coarse_stages(target: int, coarsest: int, frame_bytes: Callable[[int], float], bandwidth: float = 2e6, wire: float = 0.6, most: float = 3e6, overhead: float = 0.35, direct_ms: float = 150.0) -> list[int]:
-    """Levels to load before the target, coarsest first, while all together stay within ``overhead`` of its bytes."""
-    if target >= coarsest or frame_bytes(target) * wire * 1000 / bandwidth < direct_ms:
+@dataclass(frozen=True)
+class Loading:
+    """What loading levels one after the other is weighed by: bytes a second, the share of raw bytes that travels, raw bytes
+    of a first frame, bytes of all coarse frames over those of the target, and the wait that needs no coarse frame at all."""
+
+    bandwidth: float = 2e6
+    wire: float = 0.6
+    first_frame: float = 3e6
+    overhead: float = 0.35
+    short_wait_ms: float = 150.0
+
+
+def coarse_stages(target: int, coarsest: int, frame_bytes: Callable[[int], float], by: Loading = Loading()) -> list[int]:
+    """Levels to show before the target, coarsest first.
+
+    The first is the finest that is small enough (the coarsest, if none is); finer ones follow as long as all together
+    stay within the overhead. A target that arrives soon by itself has none before it.
+    """
+    size = {k: frame_bytes(k) for k in range(target, max(target, coarsest) + 1)}
+    if size[target] * by.wire / by.bandwidth * 1000 < by.short_wait_ms:
         return []
-    first = next((k for k in range(target + 1, coarsest) if frame_bytes(k) <= most), coarsest)
-    out, spent = [], 0.0
-    for k in range(first, target, -1):
-        spent += frame_bytes(k)
-        if spent > overhead * frame_bytes(target):
-            break
-        out.append(k)
-    return out
-
-
-def movie_level(levels: Sequence[int], bytes_of: Callable[[int], float], memory: float, link: float, rate: float, wire: float = 0.6) -> int:
-    """The finest level whose frames fit the memory and arrive at the rate (frames a second); else the coarsest."""
-    for k in sorted(levels):
-        if bytes_of(k) <= memory and bytes_of(k) * wire * rate <= link:
-            return k
-    return max(levels)
+    coarser = [k for k in size if k > target]
+    start = next((k for k in coarser if size[k] <= by.first_frame), coarsest)
+    shown = sorted((k for k in coarser if k <= start), reverse=True)
+    within = np.cumsum([size[k] for k in shown]) <= by.overhead * size[target]
+    return shown[: int(within.sum())]
+
+
+def movie_level(levels: Sequence[int], bytes_of: Callable[[int], float], memory: float, link: float, rate: float, wire: float = 0.6, headroom: float = 1.0, cold: float = 1.0) -> dict:
+    """{level, memory, link, why}: the finest level whose frames fit the memory and arrive at the rate (frames a second).
+
+    headroom is the share of the link that frames may take, cold the share of frames that have to come over it. memory
+    and link say whether each rule holds for the level that was chosen; if none satisfies both it is the coarsest.
+    """
+    rules = [(k, bytes_of(k) <= memory, bytes_of(k) * wire * rate * cold <= link * headroom) for k in sorted(levels)]
+    level, fits, arrives = next((r for r in rules if r[1] and r[2]), rules[-1])
+    finer = [r for r in rules if r[0] < level]
+    why = "the finest" if not finer else "memory" if not all(r[1] for r in finer) else "link"
+    return {"level": level, "memory": fits, "link": arrives, "why": why}
+
+
+def loop_fits(frames: int, frame_bytes: float, cache: float, kept: float = 0.0) -> bool:
+    """Whether all frames of a loop can stay in a cache beside what it keeps anyway, so that nothing is fetched twice."""
+    return frames * frame_bytes <= cache - kept
 
 
 def centre_first(cells: Sequence[tuple[int, int]], centre: tuple[float, float]) -> list[tuple[int, int]]:

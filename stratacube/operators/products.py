@@ -71,15 +71,18 @@ def describe(df: DataFrame, green: str, nir: str, green_value: str, nir_value: s
     )
 
 
+#: A physical value up to which data may be reflectance.
+REFLECTANCE_MOST = 10.0
+#: How values reach the screen.
+TONED = {"mode": "reflectance", "fixed": True, "range": None}
+BYTES = {"mode": "linear", "fixed": True, "range": (0, 255)}
+CHOSEN = {"mode": "linear", "fixed": False, "range": None}
+
+
 def display_mode(product: str, scales: Sequence[float], offsets: Sequence[float], dtype: str) -> dict:
-    """How a product's values reach the screen: reflectance (tone mapped) or linear, with a fixed range or one to choose."""
-    most = {"uint8": 255, "uint16": 65535}.get(dtype)
-    if product in ("true_color", "false_color"):
-        ready = dtype == "uint8" and all(s == 1 for s in scales) and all(o == 0 for o in offsets)
-        return {"mode": "linear", "fixed": True, "range": (0, 255)} if ready else {"mode": "reflectance", "fixed": True, "range": None}
-    if product != "band":
-        return {"mode": "reflectance", "fixed": True, "range": None}
-    divisor = pixels.whole_divisor(scales[0])
-    if most is not None and (most / divisor if divisor else most * scales[0]) + offsets[0] <= 10:
-        return {"mode": "reflectance", "fixed": True, "range": None}
-    return {"mode": "linear", "fixed": False, "range": None}
+    """One product's display: colours of bytes as they are, other products of several bands toned, a single band by its range."""
+    most = {"uint8": 255.0, "uint16": 65535.0}.get(dtype, float("inf"))
+    if product == "band":
+        return TONED if most * scales[0] + offsets[0] <= REFLECTANCE_MOST else CHOSEN
+    colours = len(PRODUCTS[product]) == 3
+    return BYTES if colours and dtype == "uint8" and {*scales} <= {1} and {*offsets} <= {0} else TONED

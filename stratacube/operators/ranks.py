@@ -9,11 +9,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 
+#: Ranges that the distinct values of a group are cut into.
+PARTS = 64
+
+
 def counted(df: DataFrame, by: Sequence[str], value: Column) -> DataFrame:
-    """by, value, n, upto (values so far, this one included), total."""
+    """by, value, n, upto (values so far, this one included), total.
+
+    A group's distinct values are cut into ranges at approximate percentiles; each range is summed up by itself and the
+    ranges before it added, so no task sorts a whole group, however many distinct values it has.
+    """
     n = df.select(*by, value.alias("value")).filter("value IS NOT NULL").groupBy(*by, "value").agg(F.count("*").alias("n"))
-    w = W.Window.partitionBy(*by) if by else W.Window.partitionBy(F.lit(0))
-    return n.withColumn("upto", F.sum("n").over(w.orderBy("value"))).withColumn("total", F.sum("n").over(w))
+    group = [F.coalesce(F.struct(*by).cast("string"), F.lit("")) if by else F.lit("")]  # nulls are a group too
+    n = n.withColumn("_by", group[0])
+    cuts = n.groupBy("_by").agg(F.percentile_approx("value", F.array(*[F.lit(k / PARTS) for k in range(1, PARTS)]), F.lit(1000)).alias("_cuts"))
+    rows = n.join(cuts, "_by").withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("value")))).drop("_cuts")
+    sums = rows.groupBy("_by", "_part").agg(F.sum("n").alias("_n"))
+    w = W.Window.partitionBy("_by")
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_part").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("_by", "_part", before.alias("_before"), F.sum("_n").over(w).alias("total"))
+    inner = rows.withColumn("upto", F.sum("n").over(W.Window.partitionBy("_by", "_part").orderBy("value")))
+    return inner.join(sums, ["_by", "_part"]).withColumn("upto", F.col("upto") + F.col("_before")).drop("_by", "_part", "_before")
 
 
 def at_places(df: DataFrame, by: Sequence[str], value: Column, places: Mapping[str, Column]) -> DataFrame:

@@ -57,10 +57,11 @@ def value_range(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 def first_paints(events: DataFrame, session: str, at: str, is_input: Column, is_whole: Column, is_full: Column) -> DataFrame:
     """session, at of each input, and the times of the first whole and of the first full paint at or after it.
 
-    One sorted pass per session. At equal times the input comes first.
+    One sorted pass per session, from its end: a frame up to the current row grows by that row, while one from it on would
+    be gone through anew for each. At equal times the input comes first.
     """
-    w = W.Window.partitionBy(session).orderBy(F.col(at), F.when(is_input, 0).otherwise(1)).rowsBetween(0, W.Window.unboundedFollowing)
-    rows = events.withColumn("_in", is_input).withColumn("whole_at", F.first(F.when(is_whole, F.col(at)), True).over(w)).withColumn("full_at", F.first(F.when(is_full, F.col(at)), True).over(w))
+    w = W.Window.partitionBy(session).orderBy(F.desc(at), F.when(is_input, 1).otherwise(0)).rowsBetween(W.Window.unboundedPreceding, 0)
+    rows = events.withColumn("_in", is_input).withColumn("whole_at", F.last(F.when(is_whole, F.col(at)), True).over(w)).withColumn("full_at", F.last(F.when(is_full, F.col(at)), True).over(w))
     return rows.filter("_in").select(session, at, "whole_at", "full_at")
 
 

@@ -105,10 +105,11 @@ def nearest(asked: DataFrame, times: DataFrame, at: str = "at", ts: str = "ts",
     both = both.withColumn("_bucket", F.floor(_micros(F.col("_at")) / 3_600_000_000))
     hit = F.when(F.col("_q") == 0, F.struct(F.col("_at"), F.col("_t")))
     edges = both.groupBy("_bucket").agg(F.max(hit).alias("_last"), F.min(hit).alias("_first"))
-    over = W.Window.orderBy("_bucket")
-    edges = edges.select("_bucket", F.last("_last", True).over(over.rowsBetween(W.Window.unboundedPreceding, -1)).alias("_before"), F.first("_first", True).over(over.rowsBetween(1, W.Window.unboundedFollowing)).alias("_after"))
-    here = W.Window.partitionBy("_bucket").orderBy("_at", "_q", "_t")
-    rows = both.withColumn("_lo", F.last(hit, True).over(here.rowsBetween(W.Window.unboundedPreceding, 0))).withColumn("_hi", F.first(hit, True).over(here.rowsBetween(0, W.Window.unboundedFollowing)))
+    # Frames end at the current row, in either direction, so each grows row by row.
+    past = lambda w, to: w.rowsBetween(W.Window.unboundedPreceding, to)
+    edges = edges.select("_bucket", F.last("_last", True).over(past(W.Window.orderBy("_bucket"), -1)).alias("_before"), F.last("_first", True).over(past(W.Window.orderBy(F.desc("_bucket")), -1)).alias("_after"))
+    here = W.Window.partitionBy("_bucket")
+    rows = both.withColumn("_lo", F.last(hit, True).over(past(here.orderBy("_at", "_q", "_t"), 0))).withColumn("_hi", F.last(hit, True).over(past(here.orderBy(F.desc("_at"), F.desc("_q"), F.desc("_t")), 0)))
     rows = rows.filter("_q = 1").join(edges, "_bucket", "left").select(F.col("_id").alias(at), F.coalesce("_lo", "_before").alias("_lo"), F.coalesce("_hi", "_after").alias("_hi"))
     far = lambda c: F.abs(_micros(c["_at"]) - _micros(F.col(at)))
     lo, hi = F.col("_lo"), F.col("_hi")

@@ -83,7 +83,9 @@ def statistics(pairs: DataFrame, plane_pixels: int, floor: int, pixel_km2: float
     if blue is None:
         return out
     every = ranks.row_major_rank(pairs.select("t", "y", "x", blue)).filter("rank % 16 = 0")
-    return out.join(every.groupBy("t").agg(F.floor(F.median(blue)).cast("int").alias("blue_median")), "t")
+    total = F.col("total")
+    middle = ranks.at_places(every, ["t"], F.col(blue), {"lo": F.floor((total - 1) / 2), "hi": F.floor(total / 2)})
+    return out.join(middle.select("t", F.floor((F.col("lo") + F.col("hi")) / 2).cast("int").alias("blue_median")), "t")
 
 
 def notable_months(rows: DataFrame) -> DataFrame:

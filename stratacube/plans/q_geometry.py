@@ -118,13 +118,13 @@ def transform_from_coords(spark, d):
     return c.select((F.col("xs")[1] - F.col("xs")[0]).alias("dx"), (F.col("ys")[1] - F.col("ys")[0]).alias("dy"), "xs", "ys").select("dx", "dy", (F.col("xs")[0] - F.col("dx") / 2).alias("c"), (F.col("ys")[0] - F.col("dy") / 2).alias("f"))
 
 
-WARP = ", s AS (SELECT t, y, x, v FROM cube WHERE b = 0 AND t IN (4, 5)), k AS (SELECT t, (y // 3)::INTEGER AS y, (x // 3)::INTEGER AS x, {agg} FROM s GROUP BY t, y // 3, x // 3) SELECT * FROM k"
+WARP = ", s AS (SELECT t, y, x, v FROM cube WHERE b = 0), k AS (SELECT t, (y // 3)::INTEGER AS y, (x // 3)::INTEGER AS x, {agg} FROM s GROUP BY t, y // 3, x // 3) SELECT * FROM k"
 
 
 @query("warp_reduce", W(WARP.format(agg="floor(avg(v))::INTEGER AS average, min(v) AS least, max(v) AS most, floor(median(v))::INTEGER AS med"), "cube"))
 def warp_reduce(spark, d):
     """To a grid three times coarser: the average, least, most and median of the pixels whose centres fall into a target pixel."""
-    s = A.cube(spark, d).filter("b = 0 AND t IN (4, 5)").select("t", "y", "x", "v")
+    s = A.cube(spark, d).filter("b = 0").select("t", "y", "x", "v")
     to = (30.0, 0.0, T[2], 0.0, -30.0, T[5])
     out = None
     for name, method in (("average", "average"), ("least", "min"), ("most", "max"), ("med", "med")):
@@ -133,36 +133,36 @@ def warp_reduce(spark, d):
     return out.select("t", "y", "x", F.floor("average").cast("int").alias("average"), F.col("least").cast("int").alias("least"), F.col("most").cast("int").alias("most"), F.floor("med").cast("int").alias("med"))
 
 
-@query("warp_mode", W(", s AS (SELECT t, y, x, v % 5 AS v FROM cube WHERE b = 0 AND t IN (4, 5)), c AS (SELECT t, (y // 3)::INTEGER AS y, (x // 3)::INTEGER AS x, v, count(*) AS n FROM s GROUP BY ALL) SELECT t, y, x, arg_max(v, n * 100 - v) AS v FROM c GROUP BY t, y, x", "cube"))
+@query("warp_mode", W(", s AS (SELECT t, y, x, v % 5 AS v FROM cube WHERE b = 0), c AS (SELECT t, (y // 3)::INTEGER AS y, (x // 3)::INTEGER AS x, v, count(*) AS n FROM s GROUP BY ALL) SELECT t, y, x, arg_max(v, n * 100 - v) AS v FROM c GROUP BY t, y, x", "cube"))
 def warp_mode(spark, d):
-    s = A.cube(spark, d).filter("b = 0 AND t IN (4, 5)").select("t", "y", "x", (F.col("v") % 5).alias("v"))
+    s = A.cube(spark, d).filter("b = 0").select("t", "y", "x", (F.col("v") % 5).alias("v"))
     return resample.warped(s, T, (30.0, 0.0, T[2], 0.0, -30.0, T[5]), 13, 10, "mode").select("t", "y", "x", F.col("v").cast("int").alias("v"))
 
 
-@query("warp_nearest", W("SELECT c.t, j::INTEGER AS y, i::INTEGER AS x, c.v FROM range(0, 18) a(j), range(0, 14) b(i), cube c WHERE c.b = 0 AND c.t = 4 AND c.y = floor(((j + 0.5) * 20 + 3) / 10) AND c.x = floor(((i + 0.5) * 20 + 3) / 10)", "cube"))
+@query("warp_nearest", W("SELECT c.t, j::INTEGER AS y, i::INTEGER AS x, c.v FROM range(0, 18) a(j), range(0, 14) b(i), cube c WHERE c.b = 0 AND c.y = floor(((j + 0.5) * 20 + 3) / 10) AND c.x = floor(((i + 0.5) * 20 + 3) / 10)", "cube"))
 def warp_nearest(spark, d):
     """Onto a grid of 20 m that starts 3 m off: each target pixel takes the source pixel that its centre falls into."""
-    s = A.cube(spark, d).filter("b = 0 AND t = 4").select("t", "y", "x", "v")
+    s = A.cube(spark, d).filter("b = 0").select("t", "y", "x", "v")
     return resample.warped(s, T, (20.0, 0.0, T[2] + 3, 0.0, -20.0, T[5] - 3), 18, 14, "nearest").select("t", "y", "x", F.col("v").cast("int").alias("v"))
 
 
 @query(
     "warp_bilinear",
     W(
-        """, s AS (SELECT t, y, x, v FROM ecube WHERE t < 3), g AS (SELECT j, i, (j + 0.5::DOUBLE) * 1.5 - 0.5 AS fy, (i + 0.5::DOUBLE) * 1.5 - 0.5 AS fx FROM range(0, 30) a(j), range(0, 40) b(i))
+        """, s AS (SELECT t, y, x, v FROM ecube), g AS (SELECT j, i, (j + 0.5::DOUBLE) * 1.5 - 0.5 AS fy, (i + 0.5::DOUBLE) * 1.5 - 0.5 AS fx FROM range(0, 30) a(j), range(0, 40) b(i))
 SELECT s.t, j::INTEGER AS y, i::INTEGER AS x, round(sum(s.v::DOUBLE * (1 - abs(s.y - fy)) * (1 - abs(s.x - fx))) / sum((1 - abs(s.y - fy)) * (1 - abs(s.x - fx))), 5) AS v FROM g JOIN s ON abs(s.y - fy) < 1 AND abs(s.x - fx) < 1 GROUP BY s.t, j, i""",
         "ecube",
     ),
 )
 def warp_bilinear(spark, d):
-    s = A.ecube(spark, d).filter("t < 3")
+    s = A.ecube(spark, d)
     return resample.warped(s, (1.0, 0.0, 0.0, 0.0, -1.0, 0.0), (1.5, 0.0, 0.0, 0.0, -1.5, 0.0), 30, 40, "bilinear").select("t", "y", "x", F.round("v", 5).alias("v"))
 
 
 @query(
     "warp_cubic",
     W(
-        """, s AS (SELECT t, y, x, v FROM ecube WHERE t = 1), g AS (SELECT j, i, (j + 0.5::DOUBLE) * 1.25 - 0.5 AS fy, (i + 0.5::DOUBLE) * 1.25 - 0.5 AS fx FROM range(0, 40) a(j), range(0, 51) b(i)),
+        """, s AS (SELECT t, y, x, v FROM ecube), g AS (SELECT j, i, (j + 0.5::DOUBLE) * 1.25 - 0.5 AS fy, (i + 0.5::DOUBLE) * 1.25 - 0.5 AS fx FROM range(0, 40) a(j), range(0, 51) b(i)),
 d AS (SELECT s.t, j, i, s.v::DOUBLE AS v, abs(s.y - fy) AS dy, abs(s.x - fx) AS dx FROM g JOIN s ON abs(s.y - fy) < 2 AND abs(s.x - fx) < 2),
 w AS (SELECT t, j, i, v, (CASE WHEN dy <= 1 THEN 1.5 * dy * dy * dy - 2.5 * dy * dy + 1 ELSE -0.5 * dy * dy * dy + 2.5 * dy * dy - 4 * dy + 2 END) * (CASE WHEN dx <= 1 THEN 1.5 * dx * dx * dx - 2.5 * dx * dx + 1 ELSE -0.5 * dx * dx * dx + 2.5 * dx * dx - 4 * dx + 2 END) AS w FROM d)
 SELECT t, j::INTEGER AS y, i::INTEGER AS x, round(sum(v * w) / sum(w), 4) AS v FROM w GROUP BY t, j, i HAVING abs(sum(w)) > 1e-12""",
@@ -170,5 +170,5 @@ SELECT t, j::INTEGER AS y, i::INTEGER AS x, round(sum(v * w) / sum(w), 4) AS v F
     ),
 )
 def warp_cubic(spark, d):
-    s = A.ecube(spark, d).filter("t = 1")
+    s = A.ecube(spark, d)
     return resample.warped(s, (1.0, 0.0, 0.0, 0.0, -1.0, 0.0), (1.25, 0.0, 0.0, 0.0, -1.25, 0.0), 40, 51, "cubic").select("t", "y", "x", F.round("v", 4).alias("v"))

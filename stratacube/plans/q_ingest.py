@@ -62,16 +62,12 @@ def plan_fingerprint(spark, d):
 
 @query("two_read_paths_agree", W("SELECT 0::BIGINT AS only_cells, 0::BIGINT AS only_whole", "cube"))
 def two_read_paths_agree(spark, d):
-    """All cells together and the step as a whole: neither has rows that the other lacks."""
+    """All cells together and the cube as a whole: neither has rows that the other lacks."""
     from stratacube.operators import planning
 
     c = A.cube(spark, d).select("t", "b", "y", "x", "v")
-    whole, parts = c.filter("t = 3"), None
-    for row in range(5):
-        for col in range(4):
-            one = planning.cell(c.filter("t = 3"), row, col, 8, A.OBS_H, A.OBS_W)
-            parts = one if parts is None else parts.unionByName(one)
-    return parts.exceptAll(whole).agg(F.count("*").alias("only_cells")).join(whole.exceptAll(parts).agg(F.count("*").alias("only_whole")))
+    parts = planning.all_cells(c, 8, A.OBS_H, A.OBS_W).drop("row", "col")
+    return planning.compared(parts, c).select(F.col("only_a").alias("only_cells"), F.col("only_b").alias("only_whole"))
 
 
 @query("weighted_level_zero_check", W("SELECT t, count(*) AS n, count(*) FILTER (WHERE v > 2500) AS wet FROM cube WHERE b = 0 AND cov >= 2 GROUP BY t", "cube"))

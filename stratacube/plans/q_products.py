@@ -111,9 +111,9 @@ def render_8bit(spark, d):
     return A.cube(spark, d).select("t", "b", "y", "x", pixels.rendered_8bit(F.col("v"), 500.0, 4000.0).alias("p"))
 
 
-@query("describe_pixel", W(PAIR + " SELECT t, y, x, g AS stored_g, n AS stored_n, gr AS value_g, nr AS value_n, g <> 0 OR n <> 0 AS valid, round(CASE WHEN gr + nr > 0 THEN (gr - nr) / (gr + nr) END, 12) AS ndwi, coalesce(gr + nr > 0 AND gr > nr, false) AS is_water FROM q WHERE t = 4", "cube"))
+@query("describe_pixel", W(PAIR + " SELECT t, y, x, g AS stored_g, n AS stored_n, gr AS value_g, nr AS value_n, g <> 0 OR n <> 0 AS valid, round(CASE WHEN gr + nr > 0 THEN (gr - nr) / (gr + nr) END, 12) AS ndwi, coalesce(gr + nr > 0 AND gr > nr, false) AS is_water FROM q", "cube"))
 def describe_pixel(spark, d):
-    return products.describe(pairs(spark, d).filter("t = 4"), "g", "n", "gr", "nr", nodata=0)
+    return products.describe(pairs(spark, d), "g", "n", "gr", "nr", nodata=0)
 
 
 _BANDS = "(VALUES (0, 'B02', NULL), (1, 'green', NULL), (2, 'B04', 'red'), (3, 'B08', NULL), (4, 'B08', 'swir16')) k(band, name, common)"
@@ -139,9 +139,9 @@ def product_availability(spark, d):
     return products.availability(found, {**products.PRODUCTS, "moisture": ["nir", "swir22"]}).select("product", "available", "missing")
 
 
-@query("false_color", W(PAIR + f" SELECT t, y, x, round({tone('nr')}, 8) AS r, round({tone('gr')}, 8) AS g, round({tone('gr')}, 8) AS b FROM q WHERE t < 6", "cube"))
+@query("false_color", W(PAIR + f" SELECT t, y, x, round({tone('nr')}, 8) AS r, round({tone('gr')}, 8) AS g, round({tone('gr')}, 8) AS b FROM q", "cube"))
 def false_color(spark, d):
-    p = pairs(spark, d).filter("t < 6")
+    p = pairs(spark, d)
     rgb = pixels.shade("false_color", [F.col("nr"), F.col("gr"), F.col("gr")])
     return p.select("t", "y", "x", *[F.round(c, 8).alias(n) for c, n in zip(rgb, "rgb", strict=True)])
 

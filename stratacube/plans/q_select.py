@@ -70,12 +70,12 @@ def outer_indexing(spark, d):
     return planning.outer(A.cube(spark, d), t=[3, 9, 4], b=1, y=slice(5, 12), x=[0, 28, 7]).select("t", "b", "y", "x", "v")
 
 
-@query("multi_time_table", W(", a AS (" + AXIS + "), k(b, name) AS (VALUES (0, 'green'), (1, 'nir')) SELECT iso, name, y, x, v, CAST(v AS FLOAT) * CAST(0.0001 AS FLOAT) + CAST(0.0 AS FLOAT) AS p FROM cube JOIN a USING (t) JOIN k USING (b) WHERE t IN (1, 2)", "cube"))
+@query("multi_time_table", W(", a AS (" + AXIS + "), k(b, name) AS (VALUES (0, 'green'), (1, 'nir')) SELECT iso, name, y, x, v, CAST(v AS FLOAT) * CAST(0.0001 AS FLOAT) + CAST(0.0 AS FLOAT) AS p FROM cube JOIN a USING (t) JOIN k USING (b)", "cube"))
 def multi_time_table(spark, d):
     from stratacube.functions import pixels
 
     bands = spark.createDataFrame([(0, "green"), (1, "nir")], "b int, name string")
-    c = A.cube(spark, d).filter("t IN (1, 2)").join(axis(spark), "t").join(bands, "b")
+    c = A.cube(spark, d).join(axis(spark), "t").join(bands, "b")
     return c.select("iso", "name", "y", "x", "v", pixels.physical(F.col("v"), 0.0001, 0.0).alias("p"))
 
 
@@ -118,15 +118,15 @@ def chunk_keys(spark, d):
     return c.select(key("data", F.col("t")).alias("data"), key("mask", F.col("t")).alias("mask"), key("data", F.floor(F.col("t") / 4)).alias("shard"))
 
 
-@query("iso_render", "SELECT event_id, strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso FROM events WHERE user_id < 3")
+@query("iso_render", "SELECT event_id, strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso FROM events")
 def iso_render(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").filter("user_id < 3")
+    e = spark.read.parquet(f"{d}/events.parquet")
     return e.select("event_id", labels.iso(F.col("ts"), F.unix_micros(F.col("ts").cast("timestamp")) % 1_000_000 >= 0).alias("iso"))
 
 
-@query("iso_seconds", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM orders WHERE o_custkey < 40")
+@query("iso_seconds", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM orders")
 def iso_seconds(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet").filter("o_custkey < 40")
+    o = spark.read.parquet(f"{d}/orders.parquet")
     return o.select("o_orderkey", labels.iso(F.col("o_orderdate"), F.lit(False)).alias("iso"))
 
 
@@ -175,17 +175,17 @@ def epsg_numbers(spark, d):
     return n.select("n_nationkey", labels.epsg(text).alias("epsg"))
 
 
-@query("time_offsets", "SELECT event_id, strftime(date_trunc('second', ts) - to_hours(2), '%Y-%m-%d %H:%M:%S') AS utc FROM events WHERE user_id = 1")
+@query("time_offsets", "SELECT event_id, strftime(date_trunc('second', ts) - to_hours(2), '%Y-%m-%d %H:%M:%S') AS utc FROM events")
 def time_offsets(spark, d):
     """Times with an offset, read as UTC."""
-    e = spark.read.parquet(f"{d}/events.parquet").filter("user_id = 1")
+    e = spark.read.parquet(f"{d}/events.parquet")
     text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))
     return e.select("event_id", F.date_format(F.to_timestamp(text), "yyyy-MM-dd HH:mm:ss").alias("utc"))
 
 
-@query("scenes_sorted", W("SELECT item_id, (row_number() OVER (ORDER BY ts, item_id) - 1)::INTEGER AS t FROM scenes WHERE tile = 3", "scenes"))
+@query("scenes_sorted", W("SELECT tile, item_id, (row_number() OVER (PARTITION BY tile ORDER BY ts, item_id) - 1)::INTEGER AS t FROM scenes", "scenes"))
 def scenes_sorted(spark, d):
-    return ingest.time_order(A.scenes(spark, d).filter("tile = 3"), "ts", "item_id").select("item_id", F.col("t").cast("int").alias("t"))
+    return ingest.time_order(A.scenes(spark, d), "ts", "item_id", ["tile"]).select("tile", "item_id", F.col("t").cast("int").alias("t"))
 
 
 @query("evenly_spread_cells", "SELECT DISTINCT (p // 5)::INTEGER AS row, (p % 5)::INTEGER AS col FROM (SELECT round_even(i * 24.0 / 2, 0)::INTEGER AS p FROM range(0, 3) r(i))")

@@ -16,7 +16,7 @@ W = A.with_adapters
 @query(
     "pixel_series_gaps",
     W(
-        """, s AS (SELECT y, x, t, CASE WHEN cov >= 2 THEN v END AS v, cov FROM cube WHERE b = 0 AND y < 6),
+        """, s AS (SELECT y, x, t, CASE WHEN cov >= 2 THEN v END AS v, cov FROM cube WHERE b = 0),
 c AS (SELECT *, CASE WHEN v IS NOT NULL AND lag(v) OVER w IS NULL THEN 1 ELSE 0 END AS cut FROM s WINDOW w AS (PARTITION BY y, x ORDER BY t)),
 g AS (SELECT *, sum(cut) OVER (PARTITION BY y, x ORDER BY t) - 1 AS segment FROM c)
 SELECT y, x, segment::INTEGER AS segment, count(*) AS n, min(t) AS first, max(t) AS last FROM g WHERE v IS NOT NULL GROUP BY y, x, segment""",
@@ -24,7 +24,7 @@ SELECT y, x, segment::INTEGER AS segment, count(*) AS n, min(t) AS first, max(t)
     ),
 )
 def pixel_series_gaps(spark, d):
-    s = A.cube(spark, d).filter("b = 0 AND y < 6").select("y", "x", "t", F.when(F.col("cov") >= 2, F.col("v")).alias("v"))
+    s = A.cube(spark, d).filter("b = 0").select("y", "x", "t", F.when(F.col("cov") >= 2, F.col("v")).alias("v"))
     return temporal.segments(s, ["y", "x"], "v").groupBy("y", "x", "segment").agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
 
 

@@ -18,7 +18,7 @@ from stratacube.sources import store
 
 W = A.with_adapters
 T0 = (10.0, 0.0, 746090.0, 0.0, -10.0, 2540440.0)
-STEPS = 8
+STEPS = 28
 
 
 def folder(spark: SparkSession) -> str:
@@ -75,27 +75,27 @@ def store_physical(spark, d):
     return df.select("t", "y", "x", pixels.physical(F.col("v"), 1e-4, 0.05, pixels.valid(F.col("v"), nodata=0)).alias("p"))
 
 
-@query("store_raw_residuals", W(FULL + ", a AS (SELECT *, CASE WHEN t % 3 = 2 AND t + 1 < 8 THEN t + 1 ELSE t - t % 3 END AS k FROM g) SELECT a.t::INTEGER AS t, a.b::INTEGER AS b, a.y::INTEGER AS y, a.x::INTEGER AS x, CASE WHEN a.t = a.k THEN a.v ELSE ((a.v - z.v) % 65536 + 65536) % 65536 END AS v FROM a JOIN g z ON z.t = a.k AND z.b = a.b AND z.y = a.y AND z.x = a.x", "cube"))
+@query("store_raw_residuals", W(FULL + ", a AS (SELECT *, CASE WHEN t % 3 = 2 AND t + 1 < 28 THEN t + 1 ELSE t - t % 3 END AS k FROM g) SELECT a.t::INTEGER AS t, a.b::INTEGER AS b, a.y::INTEGER AS y, a.x::INTEGER AS x, CASE WHEN a.t = a.k THEN a.v ELSE ((a.v - z.v) % 65536 + 65536) % 65536 END AS v FROM a JOIN g z ON z.t = a.k AND z.b = a.b AND z.y = a.y AND z.x = a.x", "cube"))
 def store_raw_residuals(spark, d):
     return store.read(spark, _written(spark, d, interval=3), raw=True).select("t", "b", "y", "x", "v")
 
 
-@query("store_planes", W(", p AS (SELECT t, y, x, max(cov) AS c FROM cube WHERE t < 4 GROUP BY t, y, x), g AS (SELECT t.t, y.y, x.x, coalesce(p.c, 0) AS c FROM range(0, 4) t(t), range(0, 37) y(y), range(0, 29) x(x) LEFT JOIN p ON p.t = t.t AND p.y = y.y AND p.x = x.x) SELECT t::INTEGER AS t, y::INTEGER AS y, x::INTEGER AS x, (c >= 2)::INTEGER AS mask, c::INTEGER AS coverage FROM g", "cube"))
+@query("store_planes", W(", p AS (SELECT t, y, x, max(cov) AS c FROM cube GROUP BY t, y, x), g AS (SELECT t.t, y.y, x.x, coalesce(p.c, 0) AS c FROM range(0, 28) t(t), range(0, 37) y(y), range(0, 29) x(x) LEFT JOIN p ON p.t = t.t AND p.y = y.y AND p.x = x.x) SELECT t::INTEGER AS t, y::INTEGER AS y, x::INTEGER AS x, (c >= 2)::INTEGER AS mask, c::INTEGER AS coverage FROM g", "cube"))
 def store_planes(spark, d):
-    c = A.cube(spark, d).filter("t < 4")
+    c = A.cube(spark, d)
     p = c.groupBy("t", "y", "x").agg(F.max("cov").cast("int").alias("coverage"))
     path = folder(spark)
-    store.write(c.select("t", "b", "y", "x", "v").join(p.withColumn("mask", (F.col("coverage") >= 2).cast("int")), ["t", "y", "x"]), path, _cube(4, mask="mask", coverage="coverage"))
+    store.write(c.select("t", "b", "y", "x", "v").join(p.withColumn("mask", (F.col("coverage") >= 2).cast("int")), ["t", "y", "x"]), path, _cube(mask="mask", coverage="coverage"))
     return store.read(spark, path).filter("b = 0").select("t", "y", "x", "mask", "coverage")
 
 
 @query("store_append", W(ALL, "cube"))
 def store_append(spark, d):
-    """Five steps written, three appended."""
+    """Twenty steps written, eight appended."""
     path = folder(spark)
     p = _pixels(spark, d)
-    store.write(p.filter("t < 5"), path, _cube(5, interval=4))
-    store.append(p.filter("t >= 5"), path, times(3, 5))
+    store.write(p.filter("t < 20"), path, _cube(20, interval=4))
+    store.append(p.filter("t >= 20"), path, times(8, 20))
     return store.read(spark, path).select("t", "b", "y", "x", "v")
 
 
@@ -114,26 +114,26 @@ def store_detected(spark, d):
     return spark.createDataFrame([("store", store.is_store(path)), ("other", store.is_store(d if "://" not in d else folder(spark)))], "what string, is_store boolean")
 
 
-@query("store_volatility", W(FULL + ", k AS (SELECT *, CASE WHEN t % 3 = 2 AND t + 1 < 8 THEN t + 1 ELSE t - t % 3 END AS a FROM g) SELECT (k.y // 16)::INTEGER AS row, (k.x // 16)::INTEGER AS col, CAST(least(sum(abs(k.v - z.v))::DOUBLE / count(*) / 10000, 1) AS FLOAT) AS volatility FROM k JOIN g z ON z.t = k.a AND z.b = k.b AND z.y = k.y AND z.x = k.x WHERE k.t <> k.a GROUP BY 1, 2", "cube"))
+@query("store_volatility", W(FULL + ", k AS (SELECT *, CASE WHEN t % 3 = 2 AND t + 1 < 28 THEN t + 1 ELSE t - t % 3 END AS a FROM g) SELECT (k.y // 16)::INTEGER AS row, (k.x // 16)::INTEGER AS col, CAST(least(sum(abs(k.v - z.v))::DOUBLE / count(*) / 10000, 1) AS FLOAT) AS volatility FROM k JOIN g z ON z.t = k.a AND z.b = k.b AND z.y = k.y AND z.x = k.x WHERE k.t <> k.a GROUP BY 1, 2", "cube"))
 def store_volatility(spark, d):
     return inventory.stored_volatility(spark, _written(spark, d, interval=3))
 
 
-@query("store_objects", "SELECT * FROM (VALUES ('0/data', 48::BIGINT), ('1/data', 16::BIGINT), ('2/data', 8::BIGINT)) v(item, objects)")
+@query("store_objects", W("SELECT k || '/data' AS item, (any_value(n) * ceil(ceil(37 / pow(2, k)) / 16) * ceil(ceil(29 / pow(2, k)) / 16))::BIGINT AS objects FROM (SELECT max(t) + 1 AS n FROM cube), range(0, 3) r(k) GROUP BY k", "cube"))
 def store_objects(spark, d):
-    """Objects by array: 3 x 2, 2 x 1 and 1 x 1 cells of eight steps."""
+    """Objects by array: 3 x 2, 2 x 1 and 1 x 1 cells of all steps."""
     rows = inventory.objects(spark, _written(spark, d))
     data = rows.filter(F.col("key").rlike(r"^\d+/data/c/"))
     return data.groupBy(F.regexp_extract("key", r"^(\d+/data)/", 1).alias("item")).agg(F.count("*").alias("objects"))
 
 
-@query("export_frames", W(FULL + " SELECT t::INTEGER AS t, count(*) AS n, sum(v)::BIGINT AS total FROM g WHERE t IN (1, 6) GROUP BY t", "cube"))
+@query("export_frames", W(FULL + " SELECT t::INTEGER AS t, count(*) AS n, sum(v)::BIGINT AS total FROM g GROUP BY t", "cube"))
 def export_frames(spark, d):
-    """Two steps as GeoTIFF files, read again."""
+    """All steps as GeoTIFF files, read again."""
     from stratacube.sources import geotiff
 
     df = store.read(spark, _written(spark, d, interval=3))
     out = folder(spark)
-    files = geotiff.export(df.filter("t IN (1, 6)"), out, _cube(interval=3))
+    files = geotiff.export(df, out, _cube(interval=3))
     back = geotiff.read(spark, [r["file"] for r in files.collect()])
     return back.groupBy("t").agg(F.count("*").alias("n"), F.sum("v").cast("long").alias("total"))

@@ -111,7 +111,7 @@ def locf_all_bands(spark, d):
     "nearest_time",
     W(
         """, k AS (SELECT t, min(ts) AS ts FROM (SELECT CAST(floor(epoch(ts) / 86400) * 24 + floor(epoch(ts) / 3600) % 24 AS INT) AS t, ts FROM evt WHERE b = 2) GROUP BY t),
-a AS (SELECT DISTINCT ts AS at FROM evt WHERE b = 4 AND y = 0)
+a AS (SELECT DISTINCT ts AS at FROM evt WHERE b = 4)
 SELECT epoch_us(a.at) AS at_us, arg_min(k.t, {'d': abs(epoch_us(k.ts) - epoch_us(a.at)), 'ts': k.ts}) AS t FROM a JOIN k ON abs(epoch_us(k.ts) - epoch_us(a.at)) < 3456000000000 GROUP BY a.at""",
         "evt",
     ),
@@ -120,7 +120,7 @@ def nearest_time(spark, d):
     e = A.evt(spark, d)
     hour = (F.floor(F.unix_timestamp("ts") / 86400) * 24 + F.floor(F.unix_timestamp("ts") / 3600) % 24).cast("int")
     times = e.filter("b = 2").withColumn("t", hour).groupBy("t").agg(F.min("ts").alias("ts"))
-    asked = e.filter("b = 4 AND y = 0").select(F.col("ts").alias("at")).distinct()
+    asked = e.filter("b = 4").select(F.col("ts").alias("at")).distinct()
     return temporal.nearest(asked, times).select(F.unix_micros(F.col("at").cast("timestamp")).alias("at_us"), "t")
 
 
@@ -163,19 +163,20 @@ def duplicate_times(spark, d):
 
 @query(
     "regular_spacing",
-    W("SELECT 'x' AS axis, true AS regular UNION ALL SELECT 'y', true UNION ALL SELECT 't', (SELECT max(d) - min(d) <= 1e-8 + 1e-5 * first(d ORDER BY t) FROM (SELECT t, lead(m) OVER (ORDER BY t) - m AS d FROM (SELECT t, CAST(min(item_id) AS DOUBLE) AS m FROM (SELECT tile AS t, item_id FROM scenes) GROUP BY t)) WHERE d IS NOT NULL)", "scenes"),
+    W(", x AS (SELECT 'x' AS axis, x AS i, x * 10.0::DOUBLE + 746095 AS m FROM cube UNION SELECT 'y', y, y * -10.0::DOUBLE + 2540435 FROM cube), d AS (SELECT axis, i, lead(m) OVER (PARTITION BY axis ORDER BY i) - m AS d FROM x) SELECT axis, max(d) - first(d ORDER BY i) <= 1e-8 + 1e-5 * abs(first(d ORDER BY i)) AND first(d ORDER BY i) - min(d) <= 1e-8 + 1e-5 * abs(first(d ORDER BY i)) AS regular FROM d WHERE d IS NOT NULL GROUP BY axis UNION ALL SELECT 't', (SELECT max(d) - min(d) <= 1e-8 + 1e-5 * first(d ORDER BY t) FROM (SELECT t, lead(m) OVER (ORDER BY t) - m AS d FROM (SELECT t, CAST(min(item_id) AS DOUBLE) AS m FROM (SELECT tile AS t, item_id FROM scenes) GROUP BY t)) WHERE d IS NOT NULL)", "cube", "scenes"),
 )
 def regular_spacing(spark, d):
-    xs = spark.range(A.OBS_W).select(F.lit("x").alias("axis"), "id", (F.col("id") * 10.0 + 746095.0).alias("c"))
-    ys = spark.range(A.OBS_H).select(F.lit("y").alias("axis"), "id", (F.col("id") * -10.0 + 2540435.0).alias("c"))
+    c = A.cube(spark, d)
+    axis = lambda name, step, first: c.select(F.lit(name).alias("axis"), F.col(name).cast("long").alias("id"), (F.col(name) * step + first).alias("c")).distinct()
+    xs, ys = axis("x", 10.0, 746095.0), axis("y", -10.0, 2540435.0)
     ts = A.scenes(spark, d).groupBy(F.col("tile").cast("long").alias("id")).agg(F.min("item_id").cast("double").alias("c")).select(F.lit("t").alias("axis"), "id", "c")
     return temporal.regular_spacing(xs.unionByName(ys).unionByName(ts), "axis", "id", "c")
 
 
-@query("append_union", W("SELECT t, b, y, x, v FROM cube WHERE t < 20", "cube"))
+@query("append_union", W("SELECT t, b, y, x, v FROM cube", "cube"))
 def append_union(spark, d):
     c = A.cube(spark, d).select("t", "b", "y", "x", "v")
-    return append.appended(c.filter("t < 16"), c.filter("t >= 16 AND t < 20"))
+    return append.appended(c.filter("t < 16"), c.filter("t >= 16"))
 
 
 @query("append_late_rows", W("SELECT t, count(*) AS n FROM obs WHERE t BETWEEN 10 AND 13 GROUP BY t", "obs"))
@@ -196,11 +197,11 @@ def append_frozen_refs(spark, d):
     return append.extended_references(temporal.references(spark, 10, INTERVAL), 10, 16, INTERVAL)
 
 
-@query("append_decode", W("SELECT t, b, y, x, v FROM cube WHERE t < 16", "cube"))
+@query("append_decode", W("SELECT t, b, y, x, v FROM cube", "cube"))
 def append_decode(spark, d):
     """Encoded in two batches with frozen references, decoded through the recorded map."""
-    c = A.cube(spark, d).filter("t < 16").select("t", "b", "y", "x", "v")
-    refs = append.extended_references(temporal.references(spark, 10, INTERVAL), 10, 16, INTERVAL)
+    c = A.cube(spark, d).select("t", "b", "y", "x", "v")
+    refs = append.extended_references(temporal.references(spark, 10, INTERVAL), 10, N_TIME, INTERVAL)
     coded = append.encoded_batch(c.filter("t < 10"), c.filter("t < 10"), refs).unionByName(append.encoded_batch(c.filter("t >= 10"), c, refs))
     return append.decoded(coded, refs).select("t", "b", "y", "x", "v")
 

@@ -118,9 +118,9 @@ def physical_nan_exactly_at_gaps(spark, d):
     return p.groupBy("t").agg(F.count_if(F.col("p").isNull() == F.col("ok")).alias("wrong"), F.count_if(F.col("p").isNull()).alias("gaps"))
 
 
-@query("mask_coverage_planes", W("SELECT t, y, x, max(CASE WHEN cov >= 2 THEN 1 ELSE 0 END) AS mask, least(sum(cov), 255)::BIGINT AS coverage FROM cube WHERE t = 5 GROUP BY t, y, x", "cube"))
+@query("mask_coverage_planes", W("SELECT t, y, x, max(CASE WHEN cov >= 2 THEN 1 ELSE 0 END) AS mask, least(sum(cov), 255)::BIGINT AS coverage FROM cube GROUP BY t, y, x", "cube"))
 def mask_coverage_planes(spark, d):
-    return A.cube(spark, d).filter("t = 5").groupBy("t", "y", "x").agg(F.max((F.col("cov") >= 2).cast("int")).alias("mask"), F.least(F.sum("cov"), F.lit(255)).cast("long").alias("coverage"))
+    return A.cube(spark, d).groupBy("t", "y", "x").agg(F.max((F.col("cov") >= 2).cast("int")).alias("mask"), F.least(F.sum("cov"), F.lit(255)).cast("long").alias("coverage"))
 
 
 @query("plane_attached", W(", m AS (SELECT t, y, x, max(cov) >= 2 AS valid FROM cube GROUP BY t, y, x) SELECT c.t, c.b, c.y, c.x, CASE WHEN m.valid THEN c.v END AS v FROM cube c JOIN m USING (t, y, x)", "cube"))

@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+import numpy as np
+
 from stratacube.functions import labels
 from stratacube.functions.geometry import Transform, cells, level_transform, north_up
 from stratacube.operators.pyramid import shapes
@@ -131,19 +133,15 @@ def default_nodata(dtype: str, has_mask: bool) -> int | None:
     return 0 if dtype in DELTA_BITS and not has_mask else None
 
 
-def reference_problem(references: Mapping[int, int], n_time: int, interval: int) -> str | None:
-    """Why a map of references isn't valid; None if it is."""
-    others = {t for t in range(n_time) if t % interval}
-    if missing := sorted(others - references.keys()):
-        return f"steps {missing[:5]} are neither anchors nor listed"
-    if strange := sorted(references.keys() - others):
-        return f"steps {strange[:5]} are anchors or outside 0 to {n_time - 1}"
-    for t, a in sorted(references.items()):
-        if a % interval or not 0 <= a < n_time:
-            return f"step {t} refers to {a}, which is no anchor"
-        if abs(a - t) >= interval:
-            return f"step {t} refers to {a}, {abs(a - t)} steps away; it must be below {interval}"
-    return None
+def reference_faults(references: Mapping[int, int], n_time: int, interval: int) -> dict[str, list[int]]:
+    """By fault, the steps that have it; the faults are those of temporal.reference_violations()."""
+    steps = np.array(sorted({*range(n_time), *references}), np.int64)
+    listed = np.isin(steps, list(references))
+    to = np.array([references.get(int(t), 0) for t in steps], np.int64)
+    due = (steps >= 0) & (steps < n_time) & (steps % interval != 0)
+    anchored = (to % interval == 0) & (to >= 0) & (to < n_time)
+    faults = {"missing": due & ~listed, "unexpected": listed & ~due, "not an anchor": due & listed & ~anchored, "too far": due & listed & anchored & (np.abs(to - steps) >= interval)}
+    return {fault: steps[at].tolist() for fault, at in faults.items() if at.any()}
 
 
 def parse_temporal(raw: Any, n_time: int) -> tuple[int | None, dict[int, int], Mapping | None]:
@@ -159,8 +157,8 @@ def parse_temporal(raw: Any, n_time: int) -> tuple[int | None, dict[int, int], M
     refs = raw.get("delta_reference", {})
     _need(isinstance(refs, Mapping) and all(re.fullmatch(r"\d+", str(t)) and isinstance(a, int) for t, a in refs.items()), "temporal.delta_reference must map steps to anchors")
     refs = {int(t): a for t, a in refs.items()}
-    problem = reference_problem(refs, n_time, k)
-    _need(problem is None, f"temporal.delta_reference: {problem}")
+    faults = reference_faults(refs, n_time, k)
+    _need(not faults, "temporal.delta_reference: " + "; ".join(f"{fault}: {len(steps)} steps from {steps[0]} on" for fault, steps in faults.items()))
     return k, refs, selection
 
 

@@ -25,13 +25,12 @@ from stratacube.sources import codecs
 from stratacube.sources import metadata as M
 from stratacube.sources.files import HttpFiles, files
 
-#: Names that dimensions have, by role.
-ROLES = {
-    "time": ("time", "t", "datetime", "valid_time"),
-    "band": ("band", "bands", "channel", "variable"),
-    "y": ("y", "lat", "latitude", "northing"),
-    "x": ("x", "lon", "longitude", "easting"),
-}
+#: What tells a dimension's role, best first: CF's axis attribute, standard name and units of its coordinates, then its name.
+ROLES = ("time", "band", "y", "x")
+AXIS = {"T": "time", "Y": "y", "X": "x"}
+STANDARD_NAMES = {"time": "time", "projection_x_coordinate": "x", "longitude": "x", "projection_y_coordinate": "y", "latitude": "y"}
+UNITS = ((r".+ since .+", "time"), (r"degrees?_?(n|north)", "y"), (r"degrees?_?(e|east)", "x"))
+NAMES = {"time": "t|time|datetime|valid_time", "band": "bands?|channel|variable", "y": "y|lat|latitude|northing", "x": "x|lon|longitude|easting"}
 _UNITS = {"microsecond": 1e-6, "millisecond": 1e-3, "second": 1.0, "minute": 60.0, "hour": 3600.0, "day": 86400.0}
 
 
@@ -170,78 +169,117 @@ class Variable:
         return M.new_cube(self.times, self.bands, name, self.transform, *self.size, self.array.dtype, cell, nodata=self.validity["nodata"], **more)
 
 
-def _one(attributes: Mapping, key: str, default: float) -> float:
-    v = np.atleast_1d(attributes.get(key, default))
-    if v.size != 1 or v.dtype.kind not in "iuf" or not math.isfinite(float(v[0])):
-        raise ValueError(f"{key} must be one finite number, not {attributes.get(key)!r}")
-    return float(v[0])
+class Dataset:
+    """A group as CF sees it: variables, the coordinates of their dimensions, what attributes say."""
+
+    def __init__(self, root: str):
+        self.root, self.files = root, files(root)
+        self.arrays, self.attributes = group(root)
+
+    def variable(self, name: str | None, mask: str | None) -> str:
+        """The name of the variable that holds pixels: the one asked for, or the only one of three dimensions at least."""
+        there = sorted(k for k, a in self.arrays.items() if len(a.shape) >= 3 and k != mask)
+        if (chosen := there if name is None else [name] if name in self.arrays else []) and len(chosen) == 1:
+            if (kind := self.arrays[chosen[0]].dtype) not in M.DATA_TYPES:
+                raise ValueError(f"{chosen[0]} holds {kind}, and a cube one of {', '.join(M.DATA_TYPES)}")
+            return chosen[0]
+        raise ValueError(f"{self.root}: {'no variable ' + repr(name) if name else 'choose one'} of {there}")
+
+    def role(self, dimension: str) -> str | None:
+        """A dimension's role, by its coordinates' attributes before its name."""
+        about = self.arrays[dimension].attributes if dimension in self.arrays else {}
+        units = str(about.get("units", "")).lower()
+        found = (
+            AXIS.get(str(about.get("axis", "")).upper()),
+            STANDARD_NAMES.get(about.get("standard_name")),
+            next((role for form, role in UNITS if re.fullmatch(form, units)), None),
+            next((role for role, form in NAMES.items() if re.fullmatch(form, dimension.lower())), None),
+        )
+        return next(filter(None, found), None)
+
+    def axes(self, array: Array, given: Mapping[str, str]) -> dict[str, int]:
+        """The place of each role's dimension. Each dimension has one role, time, y and x are there."""
+        said = {dim: role for role, dim in given.items()}
+        if strange := said.keys() - set(array.dims):
+            raise ValueError(f"no dimension of {array.path} is called {' or '.join(sorted(strange))}; there are {list(array.dims)}")
+        roles = [said.get(d) or (None if (r := self.role(d)) in given else r) for d in array.dims]
+        out = {role: i for i, role in enumerate(roles) if role}
+        if len(out) != len(array.dims) or not {"time", "y", "x"} <= out.keys():
+            raise ValueError(f"of the dimensions {list(array.dims)} of {array.path} the roles {roles} are known; say which are {', '.join(ROLES)}")
+        return out
+
+    def values(self, name: str) -> np.ndarray:
+        return self.arrays[name].all(self.files)
+
+    def axis_of_time(self, name: str) -> tuple[tuple[int, ...], list[datetime]]:
+        """Stored places in the order of time, and the times; no time twice."""
+        at = moments(self.values(name), self.arrays[name].attributes.get("units", ""))
+        order = sorted(range(len(at)), key=at.__getitem__)
+        if len(set(at)) < len(at):
+            raise ValueError(f"{name} holds a time twice")
+        return tuple(order), [at[i] for i in order]
+
+    def spacing(self, name: str) -> tuple[float, float, float]:
+        """First and last coordinate and the step between two, which is the same all along."""
+        c = self.values(name).astype(float)
+        steps = np.diff(c)
+        if not len(steps) or not np.allclose(steps, steps[0]) or steps[0] == 0:
+            raise ValueError(f"{name} isn't a regular axis of two pixels or more")
+        return float(c[0]), float(c[-1]), float(steps[0])
+
+    def crs(self, array: Array) -> str | None:
+        """The reference system: of the grid mapping that the variable names, of the variable, of the group."""
+        mapping = self.arrays.get(array.attributes.get("grid_mapping", ""))
+        holders = ([mapping.attributes] if mapping else []) + [array.attributes, self.attributes]
+        return next((str(h[k]) for h in holders for k in ("crs", "spatial_ref") if h.get(k)), None)
+
+    def bands(self, array: Array, axes: Mapping[str, int]) -> tuple[M.Band, ...]:
+        """Packing (scale_factor, add_offset) and units are the variable's; names are the band axis's."""
+        packing = {}
+        for key, plain in (("scale_factor", 1.0), ("add_offset", 0.0)):
+            v = np.atleast_1d(array.attributes.get(key, plain))
+            if v.size != 1 or v.dtype.kind not in "iuf" or not np.isfinite(v).all() or (key == "scale_factor" and v[0] == 0):
+                raise ValueError(f"{array.path}: {key} {array.attributes.get(key)!r} isn't a number that values can be packed by")
+            packing[key] = float(v[0])
+        names: Sequence[str] = [array.path]
+        if "band" in axes:
+            n, dim = array.shape[axes["band"]], array.dims[axes["band"]]
+            names = [str(x) for x in self.values(dim).tolist()] if dim in self.arrays else [f"band{i}" for i in range(1, n + 1)]
+        return tuple(M.Band(n, None, packing["scale_factor"], packing["add_offset"], array.attributes.get("units") or None) for n in names)
+
+    def plane(self, name: str | None, array: Array, axes: Mapping[str, int]) -> Array | None:
+        """A mask: whole numbers over the variable's time, y and x, in any order."""
+        if name is None:
+            return None
+        m = self.arrays.get(name)
+        over = {array.dims[axes[r]] for r in ("time", "y", "x")}
+        if m is None or m is array or len(m.dims) != 3 or {*m.dims} != over or m.dtype.startswith("float"):
+            raise ValueError(f"{name!r} can't be the mask of {array.path}: that is another variable of whole numbers over {sorted(over)}")
+        return m
+
+
+def iso_times(at: Sequence[datetime]) -> tuple[str, ...]:
+    """Seconds, or milliseconds in all if one has any."""
+    parts = "milliseconds" if any(t.microsecond for t in at) else "seconds"
+    return tuple(t.astimezone(UTC).replace(tzinfo=None).isoformat(timespec=parts) + "Z" for t in at)
 
 
 def open_variable(root: str, name: str | None = None, dims: Mapping[str, str] | None = None, nodata: float | str | None = "auto", mask: str | None = None) -> Variable:
-    """Finds the variable, its axes, grid, times, bands and validity; raises where anything is missing or unclear."""
-    arrays, attributes = group(root)
-    f = files(root)
-    data = {k: a for k, a in arrays.items() if len(a.shape) >= 3 and k != mask}
-    if name is None:
-        if len(data) != 1:
-            raise ValueError(f"{root} has the variables {sorted(data)}; choose one")
-        name = next(iter(data))
-    if name not in arrays:
-        raise ValueError(f"there is no variable {name!r}; there are {sorted(data)}")
-    a = arrays[name]
-    if a.dtype not in M.DATA_TYPES:
-        raise ValueError(f"{name} is {a.dtype}; cubes hold {', '.join(M.DATA_TYPES)}")
-    low = [d.lower() for d in a.dims]
-    axes = {}
-    for role, names in ROLES.items():
-        given = (dims or {}).get(role)
-        if given is not None:
-            if given not in a.dims:
-                raise ValueError(f"{name} has no dimension {given!r}; it has {list(a.dims)}")
-            axes[role] = a.dims.index(given)
-        else:
-            found = next((low.index(n) for n in names if n in low), None)
-            if found is not None:
-                axes[role] = found
-    lacking = [r for r in ("time", "y", "x") if r not in axes]
-    if lacking or len(axes) != len(a.dims):
-        raise ValueError(f"the dimensions {list(a.dims)} of {name} aren't time, y, x and at most one band; name them")
-    coord = lambda role: arrays[a.dims[axes[role]]].all(f)
-    t_array = arrays[a.dims[axes["time"]]]
-    at = moments(t_array.all(f), t_array.attributes.get("units", ""))
-    order = tuple(int(i) for i in np.argsort([m.timestamp() for m in at], kind="stable"))
-    ordered = [at[i] for i in order]
-    if any(p == q for p, q in itertools.pairwise(ordered)):
-        raise ValueError(f"times of {name} occur twice")
-    x, y = coord("x").astype(float), coord("y").astype(float)
-    if len(x) < 2 or len(y) < 2 or x[1] <= x[0]:
-        raise ValueError("x must increase, and both axes need two pixels")
-    dx, dy = x[1] - x[0], y[1] - y[0]
-    if not (np.allclose(np.diff(x), dx) and np.allclose(np.diff(y), dy)):
-        raise ValueError("the coordinates aren't evenly spaced")
-    top = y[-1] if dy > 0 else y[0]
-    transform = (float(dx), 0.0, float(x[0] - dx / 2), 0.0, -abs(float(dy)), float(top + abs(dy) / 2))
-    m = None
-    if mask is not None:
-        m = arrays.get(mask)
-        if m is None or mask == name or sorted(m.dims) != sorted(a.dims[axes[r]] for r in ("time", "y", "x")) or m.dtype.startswith("float"):
-            raise ValueError(f"the mask {mask!r} must be another, whole-number variable over time, y and x")
-    tokens = {stored_token(v, a.dtype) for k in ("_FillValue", "missing_value") for v in np.atleast_1d(a.attributes.get(k, [])).tolist()} - {None}
+    """A variable with its axes, grid, times, bands and validity; raises where anything is missing or unclear."""
+    data = Dataset(root)
+    a = data.arrays[data.variable(name, mask)]
+    axes = data.axes(a, dims or {})
+    order, at = data.axis_of_time(a.dims[axes["time"]])
+    (west, _, dx), (y0, y1, dy) = (data.spacing(a.dims[axes[r]]) for r in ("x", "y"))
+    if dx < 0:
+        raise ValueError(f"{a.dims[axes['x']]} runs westwards")
+    transform = (dx, 0.0, west - dx / 2, 0.0, -abs(dy), max(y0, y1) + abs(dy) / 2)
+    declared = [v for key in ("_FillValue", "missing_value") for v in np.atleast_1d(a.attributes.get(key, [])).tolist()]
+    tokens = {token for v in declared if (token := stored_token(v, a.dtype)) is not None}
     validity = decide_validity(a.dtype, sorted(tokens, key=str), nodata, [f"mask {mask}"] if mask else [], False)
-    sentinels = tuple(float(t) for t in tokens if not isinstance(t, str)) if nodata == "auto" else () if validity["nodata"] is None else (validity["nodata"],)
-    names = (name,)
-    if "band" in axes:
-        labels_ = arrays.get(a.dims[axes["band"]])
-        names = tuple(str(v) for v in labels_.all(f).tolist()) if labels_ is not None else tuple(f"band{i + 1}" for i in range(a.shape[axes["band"]]))
-    units = a.attributes.get("units")
-    scale = _one(a.attributes, "scale_factor", 1.0)
-    if scale == 0:
-        raise ValueError("scale_factor is 0")
-    bands = tuple(M.Band(n, None, scale, _one(a.attributes, "add_offset", 0.0), str(units) if units else None) for n in names)
-    crs = next((str(h[k]) for h in (a.attributes, attributes) for k in ("crs", "spatial_ref") if h.get(k)), None)
-    millis = any(t.microsecond for t in ordered)
-    times = tuple(t.astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%S") + (f".{t.microsecond // 1000:03}" if millis else "") + "Z" for t in ordered)
-    return Variable(root, a, m, axes, order, times, bool(dy > 0), transform, crs, bands, validity, sentinels)
+    invalid = [t for t in tokens if t != "nan"] if nodata == "auto" else [validity["nodata"]]
+    sentinels = tuple(float(t) for t in invalid if t is not None)
+    return Variable(root, a, data.plane(mask, a, axes), axes, order, iso_times(at), dy > 0, transform, data.crs(a), data.bands(a, axes), validity, sentinels)
 
 
 def read(spark: SparkSession, v: Variable) -> DataFrame:

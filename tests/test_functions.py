@@ -151,7 +151,10 @@ def test_plans():
     size = lambda k: 8e6 / 4**k
     assert planning.coarse_stages(0, 3, size) == [1] or planning.coarse_stages(0, 3, size)[0] == 1
     assert planning.coarse_stages(3, 3, size) == [] and planning.coarse_stages(0, 3, lambda k: 1000) == []
-    assert planning.movie_level([0, 1, 2], size, 3e6, 1e9, 10) == 1 and planning.movie_level([0, 1], size, 1, 1, 10) == 1
+    movie = planning.movie_level
+    assert movie([0, 1, 2], size, 3e6, 1e9, 10) == {"level": 1, "memory": True, "link": True, "why": "memory"} and movie([0, 1], size, 1, 1, 10)["level"] == 1
+    assert movie([0, 1, 2], size, 1e9, 15e6, 10)["why"] == "link" and movie([0, 1, 2], size, 1e9, 15e6, 10, cold=0.1)["level"] == 0 and movie([0, 1], size, 1e9, 1e9, 1)["why"] == "the finest"
+    assert planning.loop_fits(10, 1e6, 1e7) and not planning.loop_fits(10, 1e6, 1e7, 1)
     assert planning.centre_first([(0, 0), (1, 1), (0, 1)], (1.5, 1.5))[0] == (1, 1)
     assert planning.spread_times(10, 4) == [0, 3, 6, 9] and planning.spread_times(3, 9) == [0, 1, 2]
     assert planning.nearest_speed(3, [1, 2, 4]) == 2 and planning.stage_lead(1) == 60 and planning.stage_lead(1000) == 400
@@ -169,3 +172,52 @@ def test_delivery():
     assert queue == pytest.approx({"a": 1100, "b": 2200})
     with pytest.raises(ValueError):
         planning.delivery({"a": (1, ("b",))}, 1, 1, 1)
+
+
+def test_as_of_and_latency_grow_with_the_rows(spark):
+    """Against plain loops; and 80,000 events of one session take no longer than a few times 20,000."""
+    import random
+    import time
+
+    from pyspark.sql import functions as F
+
+    from stratacube.operators import series, temporal
+
+    r = random.Random(1)
+    rows = [(1, r.randrange(300), r.choice("ipf")) for _ in range(400)]
+    events = spark.createDataFrame(rows, "s int, at int, kind string")
+    paints = lambda e: series.first_paints(e, "s", "at", F.col("kind") == "i", F.col("kind") != "i", F.col("kind") == "f")
+    first = lambda at, kinds: min((a for _, a, k in rows if k in kinds and a >= at), default=None)
+    want = sorted((1, at, first(at, "pf"), first(at, "f")) for _, at, k in rows if k == "i")
+    assert sorted(map(tuple, paints(events).collect()), key=str) == sorted(want, key=str)
+    times = spark.createDataFrame([(t, 100 * t * t) for t in range(300)], "t int, s long").selectExpr("t", "timestamp_seconds(s) AS ts")
+    asked = spark.range(500).selectExpr("timestamp_seconds(id * 17000 + 50) AS at")
+    got = {x.s: x.t for x in temporal.nearest(asked, times).selectExpr("unix_seconds(at) AS s", "t").collect()}
+    assert got == {s: min(range(300), key=lambda t: (abs(100 * t * t - s), t)) for s in (17000 * i + 50 for i in range(500))}
+    took = []
+    for n in (20_000, 80_000):
+        many = spark.range(0, n, 1, 1).selectExpr("1 AS s", "id AS at", "CASE WHEN id % 1000 = 0 THEN 'f' ELSE 'i' END AS kind").cache()
+        many.count()
+        began = time.perf_counter()
+        paints(many).write.format("noop").mode("overwrite").save()
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] + 2
+
+
+def test_counted_ranges_add_up(spark):
+    """Many distinct values in one group, nulls among groups and values."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from stratacube.operators import ranks
+
+    r = random.Random(2)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, r.gauss(0, 1), 0.5])) for _ in range(3000)]
+    got = sorted(((x.k, x.value, x.n, x.upto, x.total) for x in ranks.counted(spark.createDataFrame(rows, "k string, v double"), ["k"], F.col("v")).collect()), key=str)
+    want = []
+    for k in ("a", "b", None):
+        vs = [v for j, v in rows if j == k and v is not None]
+        want += [(k, v, vs.count(v), sum(x <= v for x in vs), len(vs)) for v in set(vs)]
+    assert got == sorted(want, key=str)
+    assert ranks.counted(spark.createDataFrame([], "v double"), [], F.col("v")).count() == 0

@@ -11,7 +11,7 @@ import __spark_entry__ as entry  # noqa: E402
 import parity  # noqa: E402
 from stratacube.plans import registry  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
+SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +21,10 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_query_equals_sql(spark, con, name):
-    assert parity.compare(spark, con, SF, registry.QUERIES[name], registry.ORACLE[name]) in ("", "no rows")
+    said = parity.compare(spark, con, SF, registry.QUERIES[name], registry.ORACLE[name])
+    if said == "no rows":  # the tables are too small for this one: the next larger ones decide
+        said = parity.compare(spark, parity.duck(LARGER), LARGER, registry.QUERIES[name], registry.ORACLE[name])
+    assert said == ""
 
 
 def test_contract(spark):

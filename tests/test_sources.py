@@ -122,17 +122,19 @@ def _empty(tmp_path):
     return str(tmp_path / "empty")
 
 
-def test_commands():
-    times = ["2024-01-01T00:00:00Z", "2024-02-01T00:00:00Z", "2024-03-01T00:00:00Z"]
-    p = commands.parse
-    assert p("x")["kind"] == p({"type": "other:set"})["kind"] == "ignore" and p({"type": "cube:get"})["kind"] == "get"
-    for bad in ({"v": 2}, {"t": -1}, {"t": "soon"}, {"product": ""}, {"range": [2, 1]}, {"zoom": 0}, {"center": {"lon": 181, "lat": 0}}, {"center": 3}, {"playing": 1}, {"speed": -1}):
-        assert p({"type": "cube:set", **bad})["kind"] == "error", bad
-    assert p({"type": "cube:jump"})["kind"] == "error"
-    got = p({"type": "cube:set", "t": "2024-01-17", "product": "ndvi", "range": None, "center": {"x": 1, "y": 2}, "later": 1})["set"]
-    plan = commands.resolve(got, times, ["ndvi"], ["B03"])
-    assert plan["ok"] and plan["plan"] == {"t": 1, "product": "ndvi", "range": None, "center": {"x": 1, "y": 2}}
-    assert not commands.resolve({"t": {"index": 3}}, times, [], [])["ok"] and not commands.resolve({"band": "x"}, times, [], ["B03"])["ok"]
+def test_commands(spark):
+    bad = [{"v": 2}, {"t": -1}, {"t": "soon"}, {"product": ""}, {"range": [2, 1]}, {"range": [1]}, {"zoom": 0}, {"zoom": "1"}, {"center": {"lon": 181, "lat": 0}}, {"center": 3}, {"playing": 1}, {"speed": -1}]
+    good = [{"t": "2024-01-17", "product": "ndvi", "range": None, "center": {"x": 1, "y": 2}, "later": 1}, {"t": 2, "range": [1, 2.5], "playing": True}, {"t": 3}, {"band": "x", "zoom": 2}]
+    texts = [json.dumps({"type": "cube:set", **m}) for m in bad + good] + ["x", None, "3", '{"type": "other:set"}', '{"type": "cube:get"}', '{"type": "cube:jump"}']
+    got = commands.parsed(spark.createDataFrame(list(enumerate(texts)), "id int, message string")).orderBy("id")
+    rows = got.collect()
+    assert [r.kind for r in rows] == ["error"] * len(bad) + ["set"] * len(good) + ["ignore"] * 4 + ["get", "error"]
+    assert [r.wrong for r in rows[1 : len(bad)]] == [[next(iter(m))] for m in bad[1:]] and rows[0].product is None
+    first = rows[len(bad)]
+    assert (first.product, first.x, first.y, first.range, first.step) == ("ndvi", 1.0, 2.0, None, None) and rows[len(bad) + 1].range == [1.0, 2.5] and rows[len(bad) + 1].playing
+    times = spark.createDataFrame([(i, f"2024-0{i + 1}-01 00:00:00") for i in range(3)], "t int, ts string").selectExpr("t", "to_timestamp(ts) AS ts")
+    plan = {r.id - len(bad): (r.step, r.absent) for r in commands.resolved(got, times, ["ndvi"], ["B03"]).collect()}
+    assert plan == {0: (1, []), 1: (2, []), 2: (3, ["t"]), 3: (None, ["band"])}
 
 
 def test_encoding_choice_and_cost(spark):
