@@ -271,7 +271,10 @@ class Written(WriterCommitMessage):
 
 
 class StoreWriter(DataSourceArrowWriter):
-    """Gets rows (level, row, col, kind, star, late, t, b, y, x, v) sorted by their first columns, whole cells per task."""
+    """Gets rows (level, row, col, part, kind, star, late, t, b, y, x, v) sorted by their first columns.
+
+    A part of a cell is in one task: an anchor and the steps that refer to it, or all steps where shards hold several.
+    """
 
     def __init__(self, options: Mapping[str, str], overwrite: bool):
         self.root, self.block = options["path"], options.get("block", M.BLOCK)
@@ -285,7 +288,7 @@ class StoreWriter(DataSourceArrowWriter):
         for batch in iterator:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+            keys = np.stack([batch.column(i).to_numpy() for i in range(4)], 1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if task is None or task.key != tuple(keys[lo]):
@@ -310,9 +313,12 @@ class StoreWriter(DataSourceArrowWriter):
 
 
 class _CellTask:
-    """Writes one cell of one level: steps come in the order (kind, anchor, anchors first, step)."""
+    """Writes one part of a cell of one level: steps come in the order (kind, anchor, anchors first, step).
+
+    A chunk that isn't in a shard is written as soon as it is packed; only the anchor is held.
+    """
 
-    def __init__(self, writer: StoreWriter, f: Files, key: tuple[int, int, int]):
+    def __init__(self, writer: StoreWriter, f: Files, key: tuple[int, int, int, int]):
         self.w, self.f, self.key, self.cube = writer, f, key, writer.cube
         self.level = self.cube.levels[key[0]]
         self.current: tuple[int, int] | None = None
@@ -320,13 +326,15 @@ class _CellTask:
         self.packed: dict[tuple[int, int], bytes] = {}
         self.anchor: tuple[int, np.ndarray] | None = None
         self.total, self.n = 0.0, 0
-        c, (_, r, q) = self.cube, key
+        c, (_, r, q, _) = self.cube, key
+        self.schedule = c.references if c.interval is not None else temporal.anchor_schedule(len(c.times), M.NOMINAL_INTERVAL)[1]
+        self.size = self.objects = 0
         self.h, self.wd = min(c.cell, self.level.height - r * c.cell), min(c.cell, self.level.width - q * c.cell)
         self.seen: set[tuple[int, int]] = set()
         self.reader: CellReader | None = None
 
     def add(self, batch: pa.RecordBatch) -> None:
-        kind, t = batch.column(3).to_numpy(), batch.column(6).to_numpy()
+        kind, t = batch.column(4).to_numpy(), batch.column(7).to_numpy()
         both = np.stack([kind, t], 1)
         cuts = [0, *(np.flatnonzero((both[1:] != both[:-1]).any(axis=1)) + 1).tolist(), len(both)]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
@@ -357,8 +365,7 @@ class _CellTask:
         self.seen.add((kind, t))
         dtype = c.dtype if kind == DATA else "uint8"
         if kind == DATA:
-            nominal = M.NOMINAL_INTERVAL if c.interval is None else c.interval
-            star = c.anchor(t) if c.interval is not None else temporal.anchor_schedule(len(c.times), nominal)[1].get(t, t)
+            star = self.schedule.get(t, t)
             if star == t:
                 self.anchor = t, values
             else:
@@ -370,7 +377,19 @@ class _CellTask:
                     self.n += diff.size
                 if c.interval is not None:
                     values = values - base  # unsigned arrays wrap; padding becomes 0
-        self.packed[kind, t] = codecs.encode(values, codecs.chain(self.w.codec, dtype, self.w.codec_level), dtype)
+        raw = codecs.encode(values, codecs.chain(self.w.codec, dtype, self.w.codec_level), dtype)
+        if c.shard_time is not None or kind == DATA and self.schedule.get(t, t) == t:
+            self.packed[kind, t] = raw
+        if c.shard_time is None:
+            self.send(kind, t, raw)
+
+    def send(self, kind: int, at: int, raw: bytes) -> None:
+        """Write the object of a step, or of a shard."""
+        c, (_, r, q, _) = self.cube, self.key
+        name = {DATA: c.variable, MASK: c.mask, COVERAGE: c.coverage}[kind]
+        middle = (0,) if kind == DATA else ()
+        self.f.put(f"{self.level.path}/{name}/c/{'/'.join(map(str, (at, *middle, r, q)))}", raw)
+        self.size, self.objects = self.size + len(raw), self.objects + 1
 
     def base(self, star: int, like: np.ndarray) -> np.ndarray:
         """The anchor's values: of this write, else from the store (an append), else fill."""
@@ -388,9 +407,10 @@ class _CellTask:
 
     def close(self, out: Written) -> None:
         self.flush()
-        c, (k, r, q) = self.cube, self.key
+        c, (k, r, q, part) = self.cube, self.key
         kinds = [DATA, *([MASK] if c.mask else []), *([COVERAGE] if c.coverage else [])]
-        steps = sorted(range(self.w.since, len(c.times)), key=lambda t: (c.anchor(t), c.anchor(t) != t, t))
+        mine = [t for t in range(self.w.since, len(c.times)) if c.shard_time is not None or self.schedule.get(t, t) == part]
+        steps = sorted(mine, key=lambda t: (c.anchor(t), c.anchor(t) != t, t))
         for kind in kinds:
             for t in steps:
                 if (kind, t) not in self.seen:
@@ -399,28 +419,19 @@ class _CellTask:
                         self.anchor = None
                     self.restore(kind, t)
                     self.put(kind, t, np.full(shape, c.fill if kind == DATA else 0, codecs.DTYPES[c.dtype] if kind == DATA else np.uint8))
-        names = {DATA: c.variable, MASK: c.mask, COVERAGE: c.coverage}
-        size = objects = 0
-        for kind in kinds:
-            middle = (0,) if kind == DATA else ()
-            path = f"{self.level.path}/{names[kind]}"
-            mine = {t: raw for (m, t), raw in self.packed.items() if m == kind}
-            if c.shard_time is None:
-                blobs = {t: raw for t, raw in mine.items()}
-            else:
-                blobs = {}
-                for s in sorted({t // c.shard_time for t in mine}):
-                    old = self.old_chunks(path, s, middle) if s * c.shard_time < self.w.since else {}
-                    blobs[s] = codecs.write_shard([mine.get(t, old.get(t)) for t in range(s * c.shard_time, (s + 1) * c.shard_time)])
-            for at, raw in blobs.items():
-                self.f.put(f"{path}/c/{'/'.join(map(str, (at, *middle, r, q)))}", raw)
-                size, objects = size + len(raw), objects + 1
-                if c.shard_time is not None and kind == DATA:
-                    out.objects.append((self.level.path, f"{at}/{r}/{q}", len(raw)))
+        for kind in kinds if c.shard_time is not None else ():
+            path = f"{self.level.path}/{ {DATA: c.variable, MASK: c.mask, COVERAGE: c.coverage}[kind]}"
+            packed = {t: raw for (m, t), raw in self.packed.items() if m == kind}
+            for shard in sorted({t // c.shard_time for t in packed}):
+                old = self.old_chunks(path, shard, (0,) if kind == DATA else ()) if shard * c.shard_time < self.w.since else {}
+                raw = codecs.write_shard([packed.get(t, old.get(t)) for t in range(shard * c.shard_time, (shard + 1) * c.shard_time)])
+                self.send(kind, shard, raw)
+                if kind == DATA:
+                    out.objects.append((self.level.path, f"{shard}/{r}/{q}", len(raw)))
         if k == 0:
             out.changes.append((r, q, self.total, self.n))
         a, b = out.levels.get(k, (0, 0))
-        out.levels[k] = (a + objects, b + size)
+        out.levels[k] = (a + self.objects, b + self.size)
 
     def restore(self, kind: int, t: int) -> None:
         """Have the right anchor at hand for a step without rows: decode it from what was packed."""
@@ -510,24 +521,29 @@ def _shard_bytes(messages: Sequence[Written], old: Mapping | None = None) -> dic
 
 
 def _commit_new(w: StoreWriter, messages: Sequence[Written]) -> None:
-    changes = {(r, q): (total, n) for m in messages for r, q, total, n in m.changes}
-    _publish(w, w.cube, changes, _shard_bytes(messages))
+    _publish(w, w.cube, _added({}, messages), _shard_bytes(messages))
 
 
-def _commit_append(w: StoreWriter, messages: Sequence[Written]) -> None:
-    f = Files(w.root)
-    state = json.loads(f.get("volatility/zarr.json"))["attributes"]["state"]
-    changes = {(r, q): (state["totals"][r][q], state["counts"][r][q]) for r in range(len(state["totals"])) for q in range(len(state["totals"][0]))}
+def _added(changes: dict[tuple[int, int], tuple[float, int]], messages: Sequence[Written]) -> dict[tuple[int, int], tuple[float, int]]:
+    """Volatility's sums by cell, with those of all tasks."""
     for m in messages:
         for r, q, total, n in m.changes:
             a, b = changes.get((r, q), (0.0, 0))
             changes[r, q] = (a + total, b + n)
+    return changes
+
+
+def _commit_append(w: StoreWriter, messages: Sequence[Written]) -> None:
+    f = Files(w.root)
+    state = json.loads(f.get("volatility/zarr.json"))["attributes"]["state"]
+    changes = {(r, q): (state["totals"][r][q], state["counts"][r][q]) for r in range(len(state["totals"])) for q in range(len(state["totals"][0]))}
+    _added(changes, messages)
     old = M.find_block(json.loads(f.get("zarr.json"))["attributes"]).get("shard_bytes")
     _publish(w, w.cube, changes, _shard_bytes(messages, old))
 
 
-def _rows(df: DataFrame, cube: M.Cube) -> tuple[DataFrame, list[DataFrame]]:
-    """All levels of df (t, b, y, x, v[, mask, coverage]) as rows for the writer, each cell in one task; and what is kept
+def _rows(df: DataFrame, cube: M.Cube, since: int = 0) -> tuple[DataFrame, list[DataFrame]]:
+    """All levels of df (t, b, y, x, v[, mask, coverage]) as rows for the writer, each part of a cell in one task; and what is kept
     meanwhile: the levels above 0, so that none is computed again for the next one."""
     kept: list[DataFrame] = []
 
@@ -567,19 +583,29 @@ def _rows(df: DataFrame, cube: M.Cube) -> tuple[DataFrame, list[DataFrame]]:
         rows = rows.unionByName(o)
     rows = rows.withColumn("row", F.floor(F.col("y") / cube.cell).cast("int")).withColumn("col", F.floor(F.col("x") / cube.cell).cast("int"))
     spark = df.sparkSession
-    empty = [(k, CELL, 0, -1, 0, 0, 0.0, r, q) for k, level in enumerate(cube.levels) for r in range(cells(level.height, level.width, cube.cell)[0]) for q in range(cells(level.height, level.width, cube.cell)[1])]
-    rows = rows.unionByName(spark.createDataFrame(empty, "level int, kind int, t int, b int, y int, x int, v double, row int, col int"))
-    interval = cube.interval or M.NOMINAL_INTERVAL
-    star = F.col("t")
     if cube.interval is None:
-        star = temporal.anchor_of(F.col("t"), len(cube.times), interval)
-        rows = rows.withColumn("star", star)
+        rows = rows.withColumn("star", temporal.anchor_of(F.col("t"), len(cube.times), M.NOMINAL_INTERVAL))
     else:
         refs = spark.createDataFrame([(t, a) for t, a in cube.references.items()] or [(-1, -1)], "t int, anchor_t int")
         rows = temporal.with_reference(rows, refs, out="star")
-    rows = rows.withColumn("late", (F.col("t") != F.col("star")).cast("int"))
-    keys = ["level", "row", "col"]
-    return rows.select(*keys, "kind", "star", "late", "t", "b", "y", "x", "v").repartition(*keys).sortWithinPartitions(*keys, "kind", "star", "late", "t"), kept
+    rows = rows.withColumn("late", (F.col("t") != F.col("star")).cast("int")).withColumn("part", F.col("star") if cube.shard_time is None else F.lit(0))
+    keys = ["level", "row", "col", "part"]
+    columns = [*keys, "kind", "star", "late", "t", "b", "y", "x", "v"]
+    rows = rows.select(*columns).unionByName(_parts(spark, cube, since).select(*columns))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "kind", "star", "late", "t"), kept
+
+
+def _parts(spark: SparkSession, cube: M.Cube, since: int) -> DataFrame:
+    """A row for each part of each cell, so that those without pixels are written as well."""
+    schedule = cube.references if cube.interval is not None else temporal.anchor_schedule(len(cube.times), M.NOMINAL_INTERVAL)[1]
+    parts = sorted({schedule.get(t, t) for t in range(since, len(cube.times))}) if cube.shard_time is None else [0]
+    out = None
+    for k, level in enumerate(cube.levels):
+        rows, cols = cells(level.height, level.width, cube.cell)
+        at = spark.range(rows * cols).select(F.lit(k).alias("level"), F.floor(F.col("id") / cols).cast("int").alias("row"), (F.col("id") % cols).cast("int").alias("col"), F.explode(F.lit(parts)).alias("part"))
+        out = at if out is None else out.unionByName(at)
+    nothing = {"kind": CELL, "star": 0, "late": 0, "t": -1, "b": -1, "y": 0, "x": 0}
+    return out.select("*", *[F.lit(v).alias(c) for c, v in nothing.items()], F.lit(0.0).alias("v"))
 
 
 def write(df: DataFrame, path: str, cube: M.Cube, codec: str = "zstd", level: int | None = None, block: str = M.BLOCK) -> None:
@@ -632,7 +658,7 @@ def append_problems(df: DataFrame, cube: M.Cube, times: Sequence[str]) -> list[s
 
 def _write(df: DataFrame, path: str, cube: M.Cube, since: int, codec: str, level: int | None, block: str) -> None:
     register(df.sparkSession)
-    rows, kept = _rows(df, cube)
+    rows, kept = _rows(df, cube, since)
     try:
         w = rows.write.format(FORMAT).mode("append").option("path", path).option("cube", _packed(cube, since)).option("codec", codec).option("block", block)
         (w.option("level", str(level)) if level is not None else w).save()
