@@ -183,6 +183,16 @@ def byte_range(header: str, size: int) -> tuple[int, int] | None:
     return (first, last) if first <= last and first < size else None
 
 
+def byte_ranges(header: Column, size: Column) -> Column:
+    """byte_range() as a column: struct(first, last), or null."""
+    part = lambda k: F.nullif(F.regexp_extract(F.trim(header), r"^bytes=(\d*)-(\d*)$", k), F.lit("")).cast("long")
+    a, b = part(1), part(2)
+    first = F.when(a.isNull(), F.greatest(size - b, F.lit(0))).otherwise(a)
+    last = F.when(a.isNull() | b.isNull(), size - 1).otherwise(F.least(b, size - 1))
+    met = (a.isNotNull() | (b > 0)) & (first <= last) & (first < size)
+    return F.when(met, F.struct(first.cast("long").alias("first"), last.cast("long").alias("last")))
+
+
 _DECIMAL = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?")
 
 

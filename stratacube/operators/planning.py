@@ -8,8 +8,9 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from stratacube.functions.geometry import cells
 
@@ -157,6 +158,38 @@ def decayed_rate(samples: Sequence[tuple[float, float, float]], tau: float = 4.0
     return sum(w * b for w, (_, _, b) in zip(weights, samples, strict=True)) / busy if busy > 0 else None
 
 
+def decayed_rates(samples: DataFrame, by: Sequence[str], end: str, seconds: str, size: str, tau: float = 4.0) -> DataFrame:
+    """by, rate: decayed_rate() of each group of samples, in two aggregations; null where nothing was busy."""
+    newest = samples.groupBy(*by).agg(F.max(end).alias("_now"))
+    weight = F.exp((F.col(end) - F.col("_now")) / tau)
+    sums = samples.join(newest, list(by)).groupBy(*by).agg(F.sum(weight * F.col(size)).alias("_b"), F.sum(weight * F.col(seconds)).alias("_s"))
+    return sums.select(*by, F.when(F.col("_s") > 0, F.col("_b") / F.col("_s")).alias("rate"))
+
+
+def centre_order(cells: DataFrame, by: Sequence[str], row: float, col: float) -> DataFrame:
+    """cells (row, col) with place: centre_first() in each group."""
+    far = F.pow(F.col("row") + 0.5 - row, F.lit(2)) + F.pow(F.col("col") + 0.5 - col, F.lit(2))
+    return cells.withColumn("place", F.row_number().over(W.Window.partitionBy(*by).orderBy(far, "row", "col")) - 1)
+
+
+def spread_steps(axes: DataFrame, n: str, wanted: int) -> DataFrame:
+    """axes with step: a row for each of spread_times() of an axis of n steps."""
+    places = F.transform(F.sequence(F.lit(0), F.lit(wanted - 1)), lambda i: F.bround(i * (F.col(n) - 1) / max(1, wanted - 1), 0).cast("int"))
+    steps = F.when(F.col(n) <= wanted, F.sequence(F.lit(0), F.col(n).cast("int") - 1)).otherwise(F.array_distinct(places))
+    return axes.withColumn("step", F.explode(steps))
+
+
+def nearest_speeds(asked: Column, speeds: Sequence[float]) -> Column:
+    """nearest_speed() as a column."""
+    near = F.array_min(F.array(*[F.struct(F.abs(asked - s).alias("far"), F.lit(float(s)).alias("speed")) for s in speeds]))
+    return near["speed"]
+
+
+def stage_leads(round_trip_ms: Column, least: float = 60.0, most: float = 400.0, trips: float = 2.0) -> Column:
+    """stage_lead() as a column."""
+    return F.least(F.lit(most), F.greatest(F.lit(least), round_trip_ms * trips))
+
+
 def delivery(requests: Mapping[str, tuple[float, Sequence[str]]], rtt_ms: float, mbps: float, parallel: int) -> dict[str, float]:
     """When each request ({id: (bytes, ids it waits for)}) is done, in ms, over one shared link.
 
