@@ -73,6 +73,37 @@ def test_few_rows(spark):
     assert fp.fingerprint(one.filter("false")).count() == 0
 
 
+def plain_likeness(e, a, b):
+    """From the definition: steps sampled one by one, at the first level that keeps at most SAMPLES of each walk."""
+    shown = [slow_walk(e, t) for t in (a, b)]
+    if not all(shown):
+        return float(len(shown[0]) == len(shown[1]))
+    bits = [int(x) for x in fp.mixed(np.arange(max(map(len, shown)), dtype=np.uint64) + np.uint64(0xABCDEF))]
+    at = lambda n, level: [s for s in range(n) if bits[s] % 2**level == 0]
+    level = max(next(k for k in range(64) if len(at(len(x), k)) <= fp.SAMPLES) for x in shown)
+    steps = [at(len(x), level) for x in shown]
+    most = max(map(len, steps))
+    if not most:
+        return float(len(shown[0]) == len(shown[1]))
+    same = sum(shown[0][s] == shown[1][s] for s in set(steps[0]) & set(steps[1]))
+    return max(0.0, (same / most - 1 / 16) / (15 / 16))
+
+
+def test_likeness_equals_plain():
+    e, r = fp.Embedding(), random.Random(12)
+
+    def one(text):
+        classes, symbols, first, lens = e.characters([text])
+        reached, end = e.walk(classes, first, lens, np.zeros(1))
+        return e.sample(reached, symbols, int(end[0]))
+
+    texts = ["", "a", "ab"] + ["".join(r.choices("etaoin shrdlu", k=n)) for n in (5, 90, 200, 1500)]
+    texts += [edited(r, t, 0.03) for t in texts]
+    for a in texts:
+        for b in texts:
+            assert e.likeness(one(a), one(b)) == pytest.approx(plain_likeness(e, a, b)), (a[:20], b[:20])
+
+
 def test_likeness_follows_edits():
     e, r = fp.Embedding(), random.Random(2)
     base = "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=4000))

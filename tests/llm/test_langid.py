@@ -125,3 +125,40 @@ def test_a_long_run_of_letters_is_one_word(model):
     assert langid.words("é" * 100_000) == ["é" * 100_000]
     lang, score, _ = langid.Scorer(model).predict(["the of and " * 2000 + "x" * 300_000])[0]
     assert lang == "en" and 0 < score <= 1
+
+
+def plain_prediction(model, text):
+    """Language, score and rejection of one text, subword by subword."""
+    means = []
+    for w in langid.words(text or ""):
+        chars, scores, seen = f"<{w}>", [], []
+        for n in langid.SIZES:
+            for i in range(len(chars) - n + 1):
+                h = n
+                for c in chars[i : i + n]:
+                    h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 % 2**64
+                    h ^= h >> 29
+                scores.append(model.scores[(h >> 17) % langid.BUCKETS])
+                seen.append(h in model.known_set)
+        means.append([*np.mean(scores, axis=0), np.mean(seen)])
+    if not means:
+        return "und", 0.0, True
+    *mean, familiar = np.mean(means, axis=0)
+    e = np.exp((np.array(mean) + model.bias) / model.temperature)
+    p = e / e.sum()
+    return model.langs[int(p.argmax())], float(p.max()), bool(p.max() < model.reject_below or familiar < model.familiar)
+
+
+def test_equals_plain_python(spark, docs, model):
+    """All texts of the smallest table, and odd ones."""
+    model.known_set = set(model.known.tolist())
+    small = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    odd = [(10**6 + i, t) for i, t in enumerate([None, "", "é", "жил был", "zzzz qqqq", "a" * 300, "12 3"])]
+    rows = small.union(spark.createDataFrame(odd, "doc_id long, text string"))
+    got = {r.doc_id: r for r in langid.identify(rows, model).collect()}
+    texts = [(i, t) for i, t in rows.collect() if len(t or "") < 6_000]
+    assert len(texts) > 150
+    for i, text in texts:
+        lang, score, rejected = plain_prediction(model, text)
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(score, abs=1e-4), i
+        assert got[i].rejected == rejected or min(abs(score - model.reject_below), 1e-4) < 1e-4 or i >= 10**6
