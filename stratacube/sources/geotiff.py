@@ -1,7 +1,7 @@
-"""GeoTIFF files without a package: tiled or striped, stored or deflate-compressed, one file per step.
+"""GeoTIFF files without a package: tiled or striped, stored or compressed (deflate, LZW, PackBits, Zstandard), one file per step.
 
 Covers what exports need and what simple sources have: 8- and 16-bit whole numbers and 32-bit floats, chunky or planar,
-predictor 1 or 2, pixel scale and tie point, EPSG code, nodata, band names, scales and offsets. Other compressions and
+predictors 1 to 3, pixel scale and tie point, EPSG code, nodata, band names, scales and offsets. Other compressions and
 rotated grids are refused by name.
 """
 
@@ -33,7 +33,7 @@ _TYPES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 11: ("f", 4), 12:
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, STRIP_ROWS, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
 TILE_W, TILE_H, TILE_AT, TILE_BYTES, EXTRA, FORMAT = 322, 323, 324, 325, 338, 339
 PIXEL_SCALE, TIE_POINT, GEO_KEYS, GDAL_META, GDAL_NODATA = 33550, 33922, 34735, 42112, 42113
-STORED, DEFLATE, OLD_DEFLATE = 1, 8, 32946
+STORED, LZW, DEFLATE, PACK_BITS, OLD_DEFLATE, ZSTD = 1, 5, 8, 32773, 32946, 50000
 TILE = 256
 
 
@@ -102,6 +102,52 @@ def encode(values: np.ndarray, transform: Transform, crs: str, nodata: float | N
     return b"".join(out + tiles)
 
 
+def unpack_bits(raw: bytes) -> bytes:
+    """Runs: a count up to 127 and one byte more than that as they are, or 257 less a count of one byte."""
+    out, at = [], 0
+    while at < len(raw):
+        n, at = raw[at], at + 1
+        if n < 128:
+            out.append(raw[at : at + n + 1])
+            at += n + 1
+        elif n > 128:
+            out.append(raw[at : at + 1] * (257 - n))
+            at += 1
+    return b"".join(out)
+
+
+def unpack_lzw(raw: bytes) -> bytes:
+    """Codes of 9 to 12 bits, high bits first; the width grows one entry before the table needs it."""
+    clear, end = 256, 257
+    plain = [bytes([i]) for i in range(256)] + [b"", b""]
+    table, out, last = list(plain), [], b""
+    held = bits = 0
+    for byte in raw:
+        held, bits = (held << 8 | byte) & 0xFFFFFF, bits + 8
+        width = min(12, max(9, (len(table) + (1 if last else 0)).bit_length()))
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits & ((1 << width) - 1)
+        if code == end:
+            break
+        if code == clear:
+            table, last = list(plain), b""
+            continue
+        if code > len(table) or code == len(table) and not last:
+            raise ValueError("the LZW data are damaged")
+        entry = table[code] if code < len(table) else last + last[:1]
+        if last:
+            table.append(last + entry[:1])
+        out.append(entry)
+        last = entry
+    return b"".join(out)
+
+
+#: Decompression by the code of the compression.
+UNPACK = {STORED: bytes, LZW: unpack_lzw, DEFLATE: zlib.decompress, PACK_BITS: unpack_bits, OLD_DEFLATE: zlib.decompress, ZSTD: lambda raw: pa.input_stream(pa.BufferReader(raw), compression="zstd").read()}
+
+
 def decode(raw: bytes) -> Image:
     order = {b"II": "<", b"MM": ">"}.get(raw[:2])
     if order is None or struct.unpack(order + "H", raw[2:4])[0] != 42:
@@ -121,12 +167,12 @@ def decode(raw: bytes) -> Image:
         f[tag] = (data.rstrip(b"\0").decode("utf-8", "replace"),) if kind == 2 else struct.unpack(f"{order}{count}{code}", data)
     w, h, m = f[WIDTH][0], f[HEIGHT][0], f.get(SAMPLES, (1,))[0]
     compression, planar, predictor = f.get(COMPRESSION, (1,))[0], f.get(PLANAR, (1,))[0] == 2, f.get(PREDICTOR, (1,))[0]
-    if compression not in (STORED, DEFLATE, OLD_DEFLATE):
-        raise ValueError(f"TIFF compression {compression} isn't supported; stored and deflate are")
+    if compression not in UNPACK:
+        raise ValueError(f"TIFF compression {compression} isn't supported; {', '.join(map(str, UNPACK))} are")
     bits, form = set(f.get(BITS, (1,))), set(f.get(FORMAT, (1,)))
     if len(bits) != 1 or len(form) != 1 or (key := f"{ {1: 'u', 2: 'i', 3: 'f'}.get(next(iter(form)))}{next(iter(bits)) // 8}") not in ("u1", "u2", "i2", "f4"):
         raise ValueError(f"samples of {sorted(bits)} bits in format {sorted(form)} aren't supported")
-    if predictor not in (1, 2):
+    if predictor not in (1, 2, 3) or predictor == 3 and not key.startswith("f"):
         raise ValueError(f"TIFF predictor {predictor} isn't supported")
     dtype = np.dtype(order + key)
     tiled = TILE_AT in f
@@ -139,10 +185,13 @@ def decode(raw: bytes) -> Image:
         if not size:
             continue
         block = raw[start : start + size]
-        block = zlib.decompress(block) if compression != STORED else block
+        block = UNPACK[compression](block)
         band, rest = divmod(k, across * down)
         y, x = rest // across * bh, rest % across * bw
         rows = bh if tiled else min(bh, h - y)
+        if predictor == 3:  # bytes of a row by significance, the highest first, as differences
+            planes = np.cumsum(np.frombuffer(block, np.uint8, rows * bw * per * dtype.itemsize).reshape(rows, -1, per), axis=1, dtype=np.uint8).reshape(rows, dtype.itemsize, -1)
+            block = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(dtype.newbyteorder(">")).astype(dtype).tobytes()
         a = np.frombuffer(block, dtype, rows * bw * per).reshape(rows, bw, per).astype(dtype.newbyteorder("="))
         if predictor == 2:
             a = np.cumsum(a, axis=1, dtype=a.dtype)

@@ -4,6 +4,7 @@ import threading
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stratacube import cli
@@ -39,8 +40,8 @@ def test_striped_tiff_and_refusals():
         return out + b"\0\0\0\0"
 
     assert (geotiff.decode(file(fields)).values[0] == a).all()
-    with pytest.raises(ValueError, match="compression 5"):
-        geotiff.decode(file([(t, k, [5] if t == 259 else v) for t, k, v in fields]))
+    with pytest.raises(ValueError, match="compression 7"):
+        geotiff.decode(file([(t, k, [7] if t == 259 else v) for t, k, v in fields]))
     with pytest.raises(ValueError, match="TIFF"):
         geotiff.decode(b"nothing at all")
 
@@ -236,3 +237,40 @@ def test_inventory_and_stac(spark, small, tmp_path):
     cube, _, _ = store.load(path)
     collection, item = stac.documents(cube, "https://x.org/a/b")
     assert collection["id"] == "a-b" and item["properties"]["proj:shape"] == [20, 24] and item["bbox"][0] < item["bbox"][2] and len(item["properties"]["bands"]) == 2
+
+
+def test_tiff_compressions():
+    """Packed here by the rules of the format, unpacked by the source."""
+    import random
+
+    from stratacube.sources import geotiff
+
+    def bits(codes):
+        out = "".join(f"{c:0{w}b}" for c, w in codes)
+        return int(out.ljust(-(-len(out) // 8) * 8, "0"), 2).to_bytes(-(-len(out) // 8), "big")
+
+    def lzw(data):
+        table, codes, held = {bytes([i]): i for i in range(256)}, [(256, 9)], b""
+        size = 258
+        for b in data:
+            one = held + bytes([b])
+            if one in table:
+                held = one
+                continue
+            codes.append((table[held], min(12, max(9, size.bit_length()))))
+            table[one], size, held = size, size + 1, bytes([b])
+            if size == 4094:
+                codes.append((table[held], 12))
+                codes.append((256, 12))
+                table, size, held = {bytes([i]): i for i in range(256)}, 258, b""
+        if held:
+            codes.append((table[held], min(12, max(9, size.bit_length()))))
+            size += 1
+        return bits([*codes, (257, min(12, max(9, size.bit_length())))])
+
+    r = random.Random(1)
+    for data in (b"", b"a", b"aaaaaaaaaa" * 50, bytes(r.choices(range(256), k=20_000)), bytes(r.choices(b"ab", k=60_000))):
+        assert geotiff.unpack_lzw(lzw(data)) == data
+        packed = b"".join(bytes([len(data[i : i + 128]) - 1]) + data[i : i + 128] for i in range(0, len(data), 128))
+        assert geotiff.unpack_bits(packed + bytes([128, 254]) + b"z") == data + b"zzz"
+    assert geotiff.UNPACK[geotiff.ZSTD](pa.compress(b"x" * 999, "zstd", asbytes=True)) == b"x" * 999
