@@ -174,7 +174,7 @@ def main(argv: Sequence[str] | None = None, spark=None) -> int:
     if crs is None or transform is None:
         raise SystemExit("the files have no reference system or transform; pass --crs and --bounds")
     cube = M.new_cube([i for *_, i in listed], names or [f"band{i + 1}" for i in range(m)], crs, transform, h, w, dtype, args.chunk_size, **extra)
-    done = convert.convert(spark, read, cube, args.store, args.work, args.encoding, dry_run=args.dry_run)
+    done = convert.convert(spark, read, cube, args.store, args.work, args.encoding, dry_run=args.dry_run, source=convert.source_fingerprint(spark, [u for _, u, _ in listed]))
     print("\n".join(done["plan"].lines()))
     print(f"{done['read']} steps read, {done['reused']} found staged")
     return 0

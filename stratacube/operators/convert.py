@@ -119,6 +119,15 @@ def fingerprint(cube: M.Cube, *more) -> str:
     return hashlib.sha256(json.dumps([cube.times, [M.band_object(b) for b in cube.bands], cube.crs, cube.dtype, cube.nodata, cube.levels[0].transform, more], sort_keys=True, default=str).encode()).hexdigest()
 
 
+def source_fingerprint(spark: SparkSession, paths: Sequence[str]) -> str:
+    """Of the files that a source reads: their names, lengths and times of change, from the listing alone."""
+    rows = spark.read.format("binaryFile").load(list(paths)).select("path", "length", F.unix_micros("modificationTime").alias("changed"))
+    digests = rows.select(F.sha2(F.concat_ws("|", "path", "length", "changed"), 256).alias("d"))
+    # Sums don't depend on the order, and nothing but them comes to the driver.
+    sums = digests.agg(F.count("*").alias("n"), *[F.sum(F.conv(F.substring("d", 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")).alias(f"s{i}") for i in range(5)]).first()
+    return hashlib.sha256(str(tuple(sums)).encode()).hexdigest()
+
+
 def staged(spark: SparkSession, folder: str, key: str) -> DataFrame | None:
     """What is staged under a plan's fingerprint, None if nothing is."""
     path = f"{folder}/{key}"
@@ -142,9 +151,12 @@ def stage(spark: SparkSession, read_step: Callable[[Sequence[int]], DataFrame],
     return spark.read.parquet(path), len(todo), len(have)
 
 
-def convert(spark: SparkSession, read_step: Callable[[Sequence[int]], DataFrame], cube: M.Cube, out: str, work: str, encoding: str = "auto", interval: int = 6, codec: str = "zstd", dry_run: bool = False) -> dict:
-    """Plan, stage with resume, choose the encoding, write. encoding: auto, none or star-delta."""
-    key = fingerprint(cube)
+def convert(spark: SparkSession, read_step: Callable[[Sequence[int]], DataFrame], cube: M.Cube, out: str, work: str, encoding: str = "auto", interval: int = 6, codec: str = "zstd", dry_run: bool = False, source: str = "") -> dict:
+    """Plan, stage with resume, choose the encoding, write. encoding: auto, none or star-delta.
+
+    source is the fingerprint of what read_step() reads (source_fingerprint()): what was staged of another one isn't used.
+    """
+    key = fingerprint(cube, source)
     if dry_run:
         return {"plan": plan(read_step(planning.sample_steps(len(cube.times))), cube), "read": 0, "reused": 0}
     df, read, reused = stage(spark, read_step, len(cube.times), work, key)

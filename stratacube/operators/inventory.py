@@ -23,6 +23,12 @@ def summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("objects"), F.sum("size").alias("bytes"))
 
 
+def by_level(rows: DataFrame) -> DataFrame:
+    """level, variable, objects, bytes of the chunks (or shards) in an inventory."""
+    part = lambda k: F.regexp_extract("key", r"^(\d+)/([^/]+)/c/", k)
+    return rows.filter(part(1) != "").groupBy(part(1).cast("int").alias("level"), part(2).alias("variable")).agg(F.count("*").alias("objects"), F.sum("size").alias("bytes"))
+
+
 def changed(before: DataFrame, after: DataFrame) -> DataFrame:
     """key, change (new, gone, changed) between two inventories with digests."""
     both = before.select("key", F.col("sha256").alias("a")).join(after.select("key", F.col("sha256").alias("b")), "key", "full")

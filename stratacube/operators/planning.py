@@ -190,6 +190,22 @@ def stage_leads(round_trip_ms: Column, least: float = 60.0, most: float = 400.0,
     return F.least(F.lit(most), F.greatest(F.lit(least), round_trip_ms * trips))
 
 
+def delivery_phases(phases: Sequence[Mapping[str, tuple[float, Sequence[str]]]], rtt_ms: float, mbps: float, parallel: int, in_turn: bool) -> dict:
+    """{total, phases}: delivery() of several phases, in ms; in turn, a phase waits for all of the one before it.
+
+    A phase's time is from when it could start to its last request; ids are those of a phase each, so phases may use the same.
+    """
+    named = [{(i, name): size_and_needs for name, size_and_needs in phase.items()} for i, phase in enumerate(phases)]
+    requests = {}
+    for i, phase in enumerate(named):
+        before = [*named[i - 1]] if in_turn and i else []
+        requests |= {one: (size, [*((i, n) for n in needs), *before]) for one, (size, needs) in phase.items()}
+    done = delivery(requests, rtt_ms, mbps, parallel)
+    ends = [max((done[one] for one in phase), default=0.0) for phase in named]
+    starts = [0.0, *ends][: len(ends)] if in_turn else [0.0] * len(ends)
+    return {"total": max(done.values(), default=0.0), "phases": [end - start for start, end in zip(starts, ends, strict=True)]}
+
+
 def delivery(requests: Mapping[str, tuple[float, Sequence[str]]], rtt_ms: float, mbps: float, parallel: int) -> dict[str, float]:
     """When each request ({id: (bytes, ids it waits for)}) is done, in ms, over one shared link.
 

@@ -54,6 +54,21 @@ def value_range(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return out.select(*by, (F.col("a") - pad).alias("lo"), (F.col("b") + pad).alias("hi"))
 
 
+def movie_settings(rows: DataFrame, rate: str, width: str, height: str, sent: str, raw: str) -> DataFrame:
+    """rows with gif_ms, bitrate and wire: settings of films of a rate (steps a second).
+
+    gif_ms: the delay of a frame in whole hundredths of a second, two at least (below that, viewers slow down). bitrate: 0.15
+    bits a pixel, from 2 to 24 million a second. wire: bytes sent over raw bytes, null without any.
+    """
+    halves_up = lambda x: F.floor(x + 0.5)
+    bits = F.least(F.lit(24e6), F.greatest(F.lit(2e6), F.col(width) * F.col(height) * F.col(rate) * 0.15))
+    return rows.withColumns({
+        "gif_ms": F.greatest(F.lit(20), halves_up(F.lit(1000.0) / F.col(rate) / 10) * 10).cast("long"),
+        "bitrate": halves_up(bits).cast("long"),
+        "wire": F.when(F.col(raw) > 0, F.col(sent) / F.col(raw)),
+    })
+
+
 def first_paints(events: DataFrame, session: str, at: str, is_input: Column, is_whole: Column, is_full: Column) -> DataFrame:
     """session, at of each input, and the times of the first whole and of the first full paint at or after it.
 

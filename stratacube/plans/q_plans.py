@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratacube.functions import labels
-from stratacube.operators import commands, ingest, planning, temporal
+from stratacube.operators import commands, ingest, planning, series, temporal
 from stratacube.plans import adapters as A
 from stratacube.plans.base import query
 
@@ -42,6 +42,12 @@ def nearest_speeds(spark, d):
     return _events(spark, d).select("event_id", planning.nearest_speeds(F.col("value"), SPEEDS).alias("speed"), planning.stage_leads(F.col("value") * 2).alias("lead"))
 
 
+@query("movie_settings", "SELECT event_id, greatest(20, floor(1000.0::DOUBLE / (1 + event_id % 60) / 10 + 0.5) * 10)::BIGINT AS gif_ms, floor(least(24e6, greatest(2e6, (event_id % 2000) * 1080.0::DOUBLE * (1 + event_id % 60) * 0.15)) + 0.5)::BIGINT AS bitrate, round(CASE WHEN user_id > 0 THEN value / user_id END, 9) AS wire FROM events")
+def movie_settings(spark, d):
+    e = _events(spark, d).select("event_id", (F.col("event_id") % 60 + 1).cast("double").alias("rate"), (F.col("event_id") % 2000).alias("w"), F.lit(1080.0).alias("h"), "value", "user_id")
+    return series.movie_settings(e, "rate", "w", "h", "value", "user_id").select("event_id", "gif_ms", "bitrate", F.round("wire", 9).alias("wire"))
+
+
 @query(
     "byte_ranges",
     """WITH h AS (SELECT event_id, event_id % 50 AS size, event_id % 70 AS a, event_id % 90 AS b, event_id % 4 AS k FROM events),

@@ -137,3 +137,10 @@ def export_frames(spark, d):
     files = geotiff.export(df, out, _cube(interval=3))
     back = geotiff.read(spark, [r["file"] for r in files.collect()])
     return back.groupBy("t").agg(F.count("*").alias("n"), F.sum("v").cast("long").alias("total"))
+
+
+@query("store_levels", W("SELECT k::INTEGER AS level, 'data' AS variable, (any_value(n) * ceil(ceil(37 / pow(2, k)) / 16) * ceil(ceil(29 / pow(2, k)) / 16))::BIGINT AS objects, true AS packed FROM (SELECT max(t) + 1 AS n FROM cube), range(0, 3) r(k) GROUP BY k", "cube"))
+def store_levels(spark, d):
+    """Objects and bytes by level: chunks are smaller than their values."""
+    rows = inventory.by_level(inventory.objects(spark, _written(spark, d))).filter("variable = 'data'")
+    return rows.select("level", "variable", "objects", (F.col("bytes") < F.col("objects") * (2 * 16 * 16 * 2)).alias("packed"))

@@ -170,6 +170,11 @@ def test_delivery():
     assert row == pytest.approx({"a": 600, "b": 1200})
     queue = planning.delivery({"a": (1_000_000, ()), "b": (1_000_000, ())}, 100, 8, 1)
     assert queue == pytest.approx({"a": 1100, "b": 2200})
+    two_phases = [{"a": (500_000, ()), "b": (500_000, ("a",))}, {"a": (500_000, ())}]
+    turn = planning.delivery_phases(two_phases, 100, 8, 6, True)
+    assert turn["total"] == pytest.approx(1800) and turn["phases"] == pytest.approx([1200, 600])
+    once = planning.delivery_phases(two_phases, 100, 8, 6, False)
+    assert once["total"] < 1800 and once["phases"][1] == pytest.approx(1100) and planning.delivery_phases([], 1, 1, 1, True)["total"] == 0
     with pytest.raises(ValueError):
         planning.delivery({"a": (1, ("b",))}, 1, 1, 1)
 

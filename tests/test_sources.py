@@ -151,3 +151,13 @@ def test_encoding_choice_and_cost(spark):
     assert cost["affected_steps"] == 2 and cost["nearest"] < cost["plain"] and cost["affected_preceding"] > 0
     plan = convert.plan(frame(still), cube)
     assert plan.raw_bytes == 7 * 256 * 2 and 0 < plan.ratio < 1.5 and len(plan.lines()) == 3
+
+
+def test_source_fingerprints(spark, tmp_path):
+    for name, text in (("a.tif", "one"), ("b.tif", "two")):
+        (tmp_path / name).write_text(text)
+    paths = [str(tmp_path / n) for n in ("a.tif", "b.tif")]
+    first = convert.source_fingerprint(spark, paths)
+    assert first == convert.source_fingerprint(spark, paths[::-1]) != convert.source_fingerprint(spark, paths[:1])
+    (tmp_path / "b.tif").write_text("three")
+    assert convert.source_fingerprint(spark, paths) != first
