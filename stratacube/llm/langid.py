@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratacube.llm.common import map_batches, map_rows, slices
+from stratacube.llm.common import map_batches, map_rows, release, slices
 
 BUCKETS, DIM, SIZES = 1 << 15, 16, (2, 3, 4)
 #: Bounds of the training sample: rows in all, dealt evenly over the languages; rows of a language that it may have anyway.
@@ -188,12 +188,12 @@ def fitted(bags: list[tuple], y: np.ndarray, fit: np.ndarray, langs: list[str],
     return Model(langs, scores, b, known)
 
 
-def train(rows: list[tuple[str, list[str]]], seed: int = 1) -> Model:
-    """Fit on (language, words) of all rows; temperature and bounds are from rows that models of other rows have scored."""
+def train(rows: list[tuple[str, str]], seed: int = 1) -> Model:
+    """Fit on (language, words joined by spaces) of all rows; temperature and bounds are from rows that models of other rows have scored."""
     rng = np.random.default_rng(seed)
     langs = sorted({lang for lang, _ in rows})
     place = {lang: i for i, lang in enumerate(langs)}
-    bags = [_bag(ws) for _, ws in rows]
+    bags = [_bag(text.split(" ")) for _, text in rows]
     y = np.array([place[lang] for lang, _ in rows])
     model = fitted(bags, y, np.arange(len(rows)), langs, rng)
     order, seen = rng.permutation(len(rows)), 0
@@ -209,10 +209,10 @@ def train(rows: list[tuple[str, list[str]]], seed: int = 1) -> Model:
             break
         seen += len(aside)
         other = fitted(bags, y, rest, langs, rng)
-        texts = [rows[i][1] for i in aside]
+        texts = [rows[i][1].split(" ") for i in aside]
         whole = other.text_means(texts)
         right.append((whole[:, :-1] + other.bias, y[aside]))
-        good = other.text_means([ws[:n] for ws in texts for n in PIECES] + mixtures([rows[i] for i in aside]))
+        good = other.text_means([ws[:n] for ws in texts for n in PIECES] + mixtures([(rows[i][0], ws) for i, ws in zip(aside, texts, strict=True)]))
         bad = other.text_means(noise([texts[i] for i in rng.permutation(len(texts))[:NOISE_ROWS]], rng))
         for means, into, share in ((np.concatenate([whole, good]), logits, shares), (bad, bad_logits, bad_shares)):
             into.append(means[:, :-1] + other.bias)
@@ -250,8 +250,8 @@ def learnable(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 != 0, F.lit(False))
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = TRAIN_ROWS) -> list[tuple[str, list[str]]]:
-    """Whole texts, as words, of at most max(rows, EACH for each language) labelled rows, evenly over the languages."""
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = TRAIN_ROWS) -> list[tuple[str, str]]:
+    """Whole texts, as words joined by spaces, of at most max(rows, EACH for each language) labelled rows, evenly over the languages."""
     pool = docs.filter(learnable(id_col) & F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     counts = {r["lang"]: r["count"] for r in pool.groupBy("lang").count().collect()}  # as many as there are languages
     if not counts:
@@ -269,7 +269,7 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int
         if left[r["lang"]] > 0:
             left[r["lang"]] -= 1
             out.append((r["lang"], r["text"]))
-    return [(lang, text.split(" ")) for lang, text in sorted(out)]
+    return sorted(out)
 
 
 class Scorer:
@@ -338,7 +338,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     are there. Whole texts of the sampled rows are learnt.
     """
     found = sample(docs, id_col, text_col, lang_col, rows)
-    return train(found) if found else Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), np.zeros(0, np.uint64))
+    try:
+        return train(found) if found else Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), np.zeros(0, np.uint64))
+    finally:
+        release()
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

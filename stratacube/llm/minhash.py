@@ -319,9 +319,9 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """
     bits = min(MAX_BITS, 1 << max(16, (16 * ids.count()).bit_length()))
     at = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(bits))
-    words = ids.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(doc_id, 9), {bits}), 64) as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+    words = ids.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(doc_id, 9), {bits}), 64) as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     bitmap = np.zeros(bits >> 6, np.int64)
-    bitmap[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64)
+    bitmap[words.column("w").to_numpy()] = words.column("m").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def make():
@@ -447,8 +447,8 @@ def parted(member: DataFrame, similarity: tuple[int, int]) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["at", "n"])
 
     counts = np.zeros(COUNTERS, np.int64)
-    found = map_batches(member.select("set"), count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    counts[found["at"].to_numpy()] = found["n"].to_numpy()
+    found = map_batches(member.select("set"), count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
+    counts[found.column("at").to_numpy()] = found.column("n").to_numpy()
     shared = member.sparkSession.sparkContext.broadcast(counts)
 
     def make():

@@ -93,7 +93,7 @@ def test_noise_is_rejected_at_every_size(spark, size):
 
 def test_few_rows_reject_noise():
     base = "the quick brown fox jumps over the lazy dog and runs away from the old house near the river"
-    model = langid.train([(lang, t.split()) for lang, t in [("en", base), ("en", base + " again"), ("de", "der schnelle braune fuchs springt über den faulen hund")] * 3])
+    model = langid.train([("en", base), ("en", base + " again"), ("de", "der schnelle braune fuchs springt über den faulen hund")] * 3)
     got = langid.Scorer(model).predict([base, "жил был у бабушки серенький козлик"])
     assert [x[2] for x in got] == [False, True]
 
@@ -101,11 +101,11 @@ def test_few_rows_reject_noise():
 def test_forty_rows_are_calibrated_and_one_row_is_learnt():
     rng = np.random.default_rng(5)
     vocab = {"aa": ["lo", "mira", "tolen", "sabe", "quor"], "bb": ["zyx", "wunth", "krag", "vost", "hjem"]}
-    rows = [(lang, rng.choice(ws, 12).tolist()) for lang, ws in vocab.items() for _ in range(20)]
+    rows = [(lang, " ".join(rng.choice(ws, 12))) for lang, ws in vocab.items() for _ in range(20)]
     model = langid.train(rows)
     assert model.familiar > 0 and model.reject_below > 0
     scorer = langid.Scorer(model)
-    assert [x[0] for x in scorer.predict([" ".join(ws) for _, ws in rows])] == [lang for lang, _ in rows]
+    assert [x[0] for x in scorer.predict([text for _, text in rows])] == [lang for lang, _ in rows]
     assert [x[2] for x in scorer.predict(["lo mira tolen", "жил был у", "pfff gggg iiii"])] == [False, True, True]
     alone = langid.Scorer(langid.train(rows[:1]))
     assert alone.predict(["lo mira"])[0][0] == "aa"
