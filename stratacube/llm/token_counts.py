@@ -19,14 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratacube.llm.bpe import CACHE_ENTRIES, Memo, WordBpe, codec
-from stratacube.llm.common import id_text, map_batches, map_rows, slices
+from stratacube.llm.common import dropped, id_text, map_batches, map_rows, slices, stored
 
 #: Entries of the first tier; counters of a task and entries that it hands on.
 TABLE_ENTRIES, TASK_COUNTERS, TASK_ENTRIES = 65_536, 200_000, 32_768
 
 
 def frequent(docs: DataFrame, path: str, entries: int) -> list[str]:
-    """The most frequent pre-tokens of all documents (ties by code points), ``entries`` at most."""
+    """The most frequent pre-tokens of all documents, ``entries`` at most; those of about one frequency are all in or all out.
+
+    A histogram of the frequencies says from which on they fit, so no task sends the driver more than is wanted in all.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, seen = codec(path).bpe, Counter()
@@ -41,8 +44,17 @@ def frequent(docs: DataFrame, path: str, entries: int) -> list[str]:
         top = seen.most_common(TASK_ENTRIES)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
 
-    found = map_batches(docs.select("text"), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in found.orderBy(F.desc("n"), "word").limit(entries).collect()]
+    found = stored(map_batches(docs.select("text"), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "frequent")
+    octave = F.floor(F.log2("n") * 16).cast("int")
+    least, total = None, 0
+    for r in sorted(found.groupBy(octave.alias("octave")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        total += r["words"]
+        if total > entries:
+            break
+        least = r["octave"]
+    out = [] if least is None else sorted(found.filter(octave >= least).select("word").toArrow().column("word").to_pylist())
+    dropped(found)
+    return out
 
 
 def frequent_lengths(docs: DataFrame, path: str, entries: int = TABLE_ENTRIES) -> bytes:

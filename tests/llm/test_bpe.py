@@ -49,3 +49,14 @@ def test_empty_table(spark):
 def _digests(library, text):
     ids = library.encode(text or "", add_special_tokens=False).ids
     return len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_frequent_pre_tokens_are_counted_over_all(spark, monkeypatch):
+    """Whole texts of all documents, tasks that run out of counters, a bound that takes or leaves what is equally frequent."""
+    from stratacube.llm import token_counts
+
+    texts = [" ".join(["often"] * 8 + ["some"] * 4 + [f"w{chr(97 + i)}q{chr(97 + k)}" for k in range(26)]) for i in range(20)] + [None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    assert token_counts.frequent(docs, PATH, 2) == ["often", "some"] and token_counts.frequent(docs, PATH, 1) == ["often"]
+    assert token_counts.frequent(docs.filter("false"), PATH, 5) == []
+    assert len(token_counts.frequent(docs, PATH, 10**6)) > 50
