@@ -14,7 +14,7 @@ everywhere and similar sets agree with a chance equal to their similarity, howev
 4. A pair that no leader has joined can still be a link. Where a bucket holds several components, classes of different
    components are compared by registers, in blocks of bounded size, a bucket of any size being dealt over many tasks.
    A task reports at most one pair of components per component. What these pairs connect is a family.
-5. A family may be many documents of one template that aren't links, so it is cut by prefixes: with shingles ordered by
+5. A family of more than one block may be documents of one template that aren't links, so it is cut by prefixes: with shingles ordered by
    rarity, two sets that reach the similarity, and so have so many in common for their sizes, share one of their first.
    How many first ones that are follows from the own size and the least size in a class of partners' sizes. Components
    that share such a shingle stay together; the others part. In what is left all full sets (hashes, not texts) are
@@ -480,6 +480,13 @@ def parted(member: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     return components(edges).select(F.col("node").alias("component"), F.col("component").alias("family"))
 
 
+def blocked(member: DataFrame) -> DataFrame:
+    """family, major (its largest component), blocks of families (member: family, component, n_shingles) with several components."""
+    shares = member.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    several = shares.groupBy("family").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("k")).filter("k > 1")
+    return several.select("family", F.col("top.component").alias("major"), F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+
+
 def family_links(families: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
     """a, b: links between full sets of different components of a family (families: component, family); per block, a spanning forest.
 
@@ -491,12 +498,13 @@ def family_links(families: DataFrame, classes: DataFrame, comps: DataFrame, docs
     known = classes.select("node", "n_shingles").join(comps, "node", "left").select("node", "n_shingles", F.coalesce("component", "node").alias("component"))
     member = known.join(families, "component")
     sets = stored(full_sets(docs, member.select("node"), shingle).dropDuplicates(["node"]), "sets")
-    families = parted(member.join(sets, "node").select("family", "component", "node", "set"), similarity)
-    member = known.join(families, "component")
-    shares = member.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    several = shares.groupBy("family").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("k")).filter("k > 1")
-    several = several.select("family", F.col("top.component").alias("major"), F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    rows = dealt(member.drop("n_shingles"), "family", several).join(sets, "node").select("family", "block", "probe", "node", "component", "is_major", "set")
+    # What fits into one block is compared there at once; prefixes part what doesn't.
+    large = stored(blocked(member).filter("blocks > 1").select("family"), "large")
+    used = [sets, large]
+    if not large.isEmpty():
+        used.append(parted(member.join(large, "family", "left_semi").join(sets, "node").select("family", "component", "node", "set"), similarity))
+        member = known.join(families.join(large, "family", "left_anti").unionByName(used[-1]), "component")
+    rows = dealt(member.drop("n_shingles"), "family", blocked(member)).join(sets, "node").select("family", "block", "probe", "node", "component", "is_major", "set")
     rows = rows.repartition(n, "family", "block").sortWithinPartitions("family", "block", "probe")
 
     def run(batches):
@@ -522,8 +530,8 @@ def family_links(families: DataFrame, classes: DataFrame, comps: DataFrame, docs
                     yield pairs_batch(links)
 
     out = stored(map_batches(rows, run, "a long, b long"), "links")
-    dropped(sets)
-    dropped(families)
+    for one in used:
+        dropped(one)
     return out
 
 
