@@ -166,7 +166,7 @@ def convert(spark: SparkSession, read_step: Callable[[Sequence[int]], DataFrame]
     if encoding == "auto" and cube.dtype in M.DELTA_BITS:
         deltas, selection = choose_encoding(df, cube, interval)
     k = cube.levels[0]
-    final = M.new_cube(cube.times, cube.bands, cube.crs, k.transform, k.height, k.width, cube.dtype, cube.cell, interval=interval if deltas else None, nodata=cube.nodata, mask=cube.mask, coverage=cube.coverage, shard_time=cube.shard_time, provenance=cube.provenance, selection=selection, n_levels=len(cube.levels))
+    final = M.new_cube(cube.times, cube.bands, cube.crs, k.transform, k.height, k.width, cube.dtype, cube.cell, interval=interval if deltas else None, nodata=cube.nodata, mask=cube.mask, coverage=cube.coverage, coverage_dtype=cube.coverage_dtype, shard_time=cube.shard_time, provenance=cube.provenance, selection=selection, n_levels=len(cube.levels))
     store.write(df, out, final, codec)
     return {"plan": plan(df, cube, sample=False), "read": read, "reused": reused, "encoding": final.encoding, "selection": selection}
 

@@ -28,6 +28,8 @@ BLOCK = "raster_series"
 #: Types of data, and those that star deltas are defined for.
 DATA_TYPES = ("uint8", "uint16", "int16", "float32")
 DELTA_BITS = {"uint8": 8, "uint16": 16}
+#: Coverage as the format has it, saturating at 255, and whole counts beyond the format.
+COVERAGE_TYPES = ("uint8", "int32")
 #: Anchors of stores that have no deltas, for volatility alone.
 NOMINAL_INTERVAL = 6
 
@@ -77,6 +79,7 @@ class Cube:
     provenance: Mapping[str, Any] | None = None
     selection: Mapping[str, Any] | None = None
     version: str = VERSION
+    coverage_dtype: str = "uint8"
 
     @property
     def encoding(self) -> str:
@@ -90,6 +93,9 @@ class Cube:
     def bits(self) -> int:
         return DELTA_BITS[self.dtype]
 
+    def plane_dtype(self, plane: str) -> str:
+        return self.coverage_dtype if plane == "coverage" else "uint8"
+
     def anchor(self, t: int) -> int:
         return self.references.get(t, t)
 
@@ -211,6 +217,8 @@ def parse_root(attributes: Mapping[str, Any], arrays: Mapping[str, Mapping], gro
     _need(dtype in DATA_TYPES, f"data type {dtype!r} isn't one of {DATA_TYPES}")
     _need(interval is None or dtype in DELTA_BITS, f"star deltas aren't defined for {dtype}")
     inner, shard = layout(first)
+    counts = (arrays.get(f"0/{b.get('coverage_variable')}") or {}).get("data_type", "uint8")
+    _need(counts in COVERAGE_TYPES, f"coverage of type {counts!r} isn't one of {COVERAGE_TYPES}")
     levels = []
     for p in paths:
         a = arrays.get(f"{p}/{variable}")
@@ -222,7 +230,7 @@ def parse_root(attributes: Mapping[str, Any], arrays: Mapping[str, Mapping], gro
         levels.append(Level(p, shape[2], shape[3], north_up(t[:6])))
     return Cube(
         tuple(times), bands, b["crs"], dtype, inner[2], tuple(levels), variable, checked_nodata(b.get("nodata"), dtype), interval, references,
-        b.get("mask_variable"), b.get("coverage_variable"), shard, parse_provenance(b.get("provenance")), selection, version,
+        b.get("mask_variable"), b.get("coverage_variable"), shard, parse_provenance(b.get("provenance")), selection, version, counts,
     )
 
 
@@ -244,12 +252,16 @@ def key_of(array: Mapping, index: Sequence[int]) -> str:
 
 
 def new_cube(times: Sequence[str], bands: Sequence[Band | Mapping | str], crs: str, transform: Sequence[float], height: int, width: int, dtype: str, cell: int = 512, **more) -> Cube:
-    """A cube for writing: levels until one cell holds the whole (or n_levels), references if an interval is given."""
+    """A cube for writing: levels until one cell holds the whole (or n_levels), references if an interval is given.
+
+    Coverage saturates at 255, as the format asks, unless ``coverage_dtype="int32"`` keeps whole counts; validate then names that type.
+    """
     n_levels = more.pop("n_levels", None)
     parsed = tuple(x if isinstance(x, Band) else parse_band(x) for x in bands)
     _need(len({x.name for x in parsed}) == len(parsed), "band names must differ")
     _need(dtype in DATA_TYPES, f"data type {dtype!r} isn't one of {DATA_TYPES}")
     _need(cell % 2 == 0 and cell > 0, f"the cell size {cell} isn't even")
+    _need(more.get("coverage_dtype", "uint8") in COVERAGE_TYPES, f"coverage of type {more.get('coverage_dtype')!r} isn't one of {COVERAGE_TYPES}")
     t = north_up(transform)
     moments = [labels.parse_time(s) for s in times]
     _need(len(times) > 0 and all(p < q for p, q in zip(moments, moments[1:], strict=False)), "times must increase strictly")
@@ -313,8 +325,8 @@ def level_attributes(c: Cube, k: Level) -> dict:
     return {"crs": c.crs, "transform": list(k.transform), "resolution": k.resolution}
 
 
-def cube_arrays(c: Cube, codecs: Sequence[Mapping], plane_codecs: Sequence[Mapping]) -> dict[str, dict]:
-    """Metadata of the data, mask and coverage arrays of all levels, by path."""
+def cube_arrays(c: Cube, codecs: Sequence[Mapping], plane_codecs: Sequence[Mapping], coverage_codecs: Sequence[Mapping] | None = None) -> dict[str, dict]:
+    """Metadata of the data, mask and coverage arrays of all levels, by path. Coverage has the mask's codecs unless it has its own."""
     n, m, cs, st = len(c.times), len(c.bands), c.cell, c.shard_time
     out = {}
     for k in c.levels:
@@ -322,6 +334,7 @@ def cube_arrays(c: Cube, codecs: Sequence[Mapping], plane_codecs: Sequence[Mappi
         box = [k.transform[2], k.transform[5] + k.transform[4] * k.height, k.transform[2] + k.transform[0] * k.width, k.transform[5]]
         extra |= {"proj:code": c.crs, "spatial:dimensions": ["y", "x"], "spatial:shape": [k.height, k.width], "spatial:transform": list(k.transform), "spatial:bbox": box}
         out[f"{k.path}/{c.variable}"] = array_metadata([n, m, k.height, k.width], [1, m, cs, cs], c.dtype, c.fill, codecs, ["time", "band", "y", "x"], extra, [st, m, cs, cs] if st else None)
-        for plane in filter(None, (c.mask, c.coverage)):
-            out[f"{k.path}/{plane}"] = array_metadata([n, k.height, k.width], [1, cs, cs], "uint8", 0, plane_codecs, ["time", "y", "x"], None, [st, cs, cs] if st else None)
+        for kind, plane, chain in (("mask", c.mask, plane_codecs), ("coverage", c.coverage, coverage_codecs or plane_codecs)):
+            if plane:
+                out[f"{k.path}/{plane}"] = array_metadata([n, k.height, k.width], [1, cs, cs], c.plane_dtype(kind), 0, chain, ["time", "y", "x"], None, [st, cs, cs] if st else None)
     return out

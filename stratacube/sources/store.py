@@ -114,7 +114,7 @@ class CellReader:
         self.cube, self.level, self.raw = cube, cube.levels[level], raw
         path = self.level.path
         self.data = Chunks(f, f"{path}/{cube.variable}", arrays[f"{path}/{cube.variable}"], cube.dtype)
-        self.planes = {k: Chunks(f, f"{path}/{v}", arrays[f"{path}/{v}"], "uint8") for k, v in (("mask", cube.mask), ("coverage", cube.coverage)) if v}
+        self.planes = {k: Chunks(f, f"{path}/{v}", arrays[f"{path}/{v}"], cube.plane_dtype(k)) for k, v in (("mask", cube.mask), ("coverage", cube.coverage)) if v}
         self.held: tuple[tuple[int, int, int], np.ndarray] | None = None
 
     def stored(self, t: int, row: int, col: int) -> np.ndarray:
@@ -136,7 +136,7 @@ class CellReader:
         if name not in self.planes:
             return None
         got = self.planes[name].values(t, row, col)
-        return np.zeros(self.planes[name].inner[1:], np.uint8) if got is None else got
+        return np.zeros(self.planes[name].inner[1:], codecs.DTYPES[self.cube.plane_dtype(name)]) if got is None else got
 
 
 class Piece(InputPartition):
@@ -261,6 +261,10 @@ def read(spark: SparkSession, path: str, lod: int = 0, raw: bool = False) -> Dat
 CELL, DATA, MASK, COVERAGE = 0, 1, 2, 3
 
 
+def _dtype(c: M.Cube, kind: int) -> str:
+    return c.dtype if kind == DATA else c.plane_dtype("mask" if kind == MASK else "coverage")
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """What a task wrote: objects by array, and the sums of volatility by cell."""
@@ -355,7 +359,7 @@ class _CellTask:
                 plane = np.full((len(c.bands), c.cell, c.cell), c.fill, codecs.DTYPES[c.dtype])
                 plane[table.column("b").to_numpy(), y, x] = v
             else:
-                plane = np.zeros((c.cell, c.cell), np.uint8)
+                plane = np.zeros((c.cell, c.cell), codecs.DTYPES[_dtype(c, kind)])
                 plane[y, x] = v
             self.put(kind, t, plane)
         self.current, self.parts = None, []
@@ -363,7 +367,7 @@ class _CellTask:
     def put(self, kind: int, t: int, values: np.ndarray) -> None:
         c = self.cube
         self.seen.add((kind, t))
-        dtype = c.dtype if kind == DATA else "uint8"
+        dtype = _dtype(c, kind)
         if kind == DATA:
             star = self.schedule.get(t, t)
             if star == t:
@@ -418,7 +422,7 @@ class _CellTask:
                     if kind == DATA and self.anchor is not None and c.anchor(t) != t and self.anchor[0] != c.anchor(t):
                         self.anchor = None
                     self.restore(kind, t)
-                    self.put(kind, t, np.full(shape, c.fill if kind == DATA else 0, codecs.DTYPES[c.dtype] if kind == DATA else np.uint8))
+                    self.put(kind, t, np.full(shape, c.fill if kind == DATA else 0, codecs.DTYPES[_dtype(c, kind)]))
         for kind in kinds if c.shard_time is not None else ():
             path = f"{self.level.path}/{ {DATA: c.variable, MASK: c.mask, COVERAGE: c.coverage}[kind]}"
             packed = {t: raw for (m, t), raw in self.packed.items() if m == kind}
@@ -497,7 +501,7 @@ def _publish(w: StoreWriter, c: M.Cube, changes: Mapping[tuple[int, int], tuple[
             nodes[path] = meta
             f.put(f"{path}/c/0", raw)
     chain = lambda dtype: codecs.chain(w.codec, dtype, w.codec_level)
-    nodes |= M.cube_arrays(c, chain(c.dtype), chain("uint8"))
+    nodes |= M.cube_arrays(c, chain(c.dtype), chain("uint8"), chain(c.coverage_dtype))
     rows, cols = cells(c.levels[0].height, c.levels[0].width, c.cell)
     grid = np.zeros((rows, cols), "<f4")
     for (r, q), (total, n) in changes.items():
@@ -560,7 +564,10 @@ def _rows(df: DataFrame, cube: M.Cube, since: int = 0) -> tuple[DataFrame, list[
     if has_mask:
         planes[MASK] = df.groupBy("t", "y", "x").agg(F.max("mask").cast("int").alias("mask"))
     if cube.coverage is not None:
-        planes[COVERAGE] = df.groupBy("t", "y", "x").agg(F.max("coverage").cast("int").alias("coverage"))
+        counts = F.coalesce(F.max("coverage"), F.lit(0))
+        if cube.coverage_dtype == "uint8":  # before levels are made, which are means of what is stored
+            counts = F.least(counts, F.lit(255))
+        planes[COVERAGE] = df.groupBy("t", "y", "x").agg(counts.cast("int").alias("coverage"))
     for kind, p in planes.items():
         name = "mask" if kind == MASK else "coverage"
         out.append(p.select(F.lit(0).alias("level"), F.lit(kind).alias("kind"), "t", F.lit(-1).alias("b"), "y", "x", F.col(name).cast("double").alias("v")))

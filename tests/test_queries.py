@@ -37,3 +37,20 @@ def test_nothing_needs_the_text_operators():
     for p in [*(root / "stratacube").rglob("*.py"), *(root / "tests").glob("*.py"), root / "parity.py"]:
         if "llm" not in p.relative_to(root).parts and p.name != "test_queries.py":
             assert "stratacube.llm" not in p.read_text() and "corpus_pipeline" not in p.read_text(), p
+
+
+def with_table(tmp_path, name: str, sql: str) -> str:
+    """The smallest tables with one of them in another form."""
+    for p in Path(SF).iterdir():
+        (tmp_path / p.name).symlink_to(p)
+    (tmp_path / f"{name}.parquet").unlink()
+    parity.duck(SF).execute(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    return str(tmp_path)
+
+
+def test_store_planes_with_many_observations(spark, tmp_path):
+    """Pixels with 300 and more observations, which don't fit a byte."""
+    d = with_table(tmp_path, "lineitem", "SELECT * FROM lineitem UNION ALL SELECT l.* FROM (SELECT * FROM lineitem ORDER BY ALL LIMIT 3) l, range(0, 300)")
+    con = parity.duck(d)
+    assert con.execute(f"SELECT max(coverage) FROM ({registry.ORACLE['store_planes']})").fetchone()[0] > 255
+    assert parity.compare(spark, con, d, registry.QUERIES["store_planes"], registry.ORACLE["store_planes"]) == ""

@@ -3,6 +3,7 @@ import json
 import numpy as np
 import pytest
 
+from stratacube.operators import validate
 from stratacube.sources import codecs, store
 from stratacube.sources import metadata as M
 
@@ -186,3 +187,32 @@ def test_strict_parsing(tmp_path, spark):
         with pytest.raises(M.SchemaError):
             M.parse_root(edited(**change), nodes, groups)
     assert M.parse_root(edited(spec_version="0.1.7", bands=["a"], band_names=None), nodes, groups).bands[0].scale == 1
+
+
+@pytest.mark.parametrize("dtype,shard", [("uint8", None), ("int32", None), ("int32", 3)])
+def test_coverage_above_255(spark, tmp_path, dtype, shard):
+    """Saturates at 255 where the format's bytes hold it, before levels are made; whole counts where 32 bits do, appended ones too."""
+    n, b, h, w = 4, 1, 6, 6
+    a, cov = raster(n, b, h, w), np.random.default_rng(3).integers(200, 70_000, (n, h, w))
+    cov[0, 0, :2] = 255, 256
+    more = {"nodata": None, "coverage": "coverage", "coverage_dtype": dtype, "shard_time": shard}
+    path = f"file://{tmp_path}/s"
+    store.write(frame(spark, a[:2], coverage=cov[:2]), path, M.new_cube(months(2), ["a"], "EPSG:32631", T0, h, w, "uint16", 4, **more), "blosc-zstd-shuffle")
+    assert store.append(frame(spark, a[2:], 2, coverage=cov[2:]), path, months(2, 2), "blosc-zstd-shuffle").coverage_dtype == dtype
+    want = np.minimum(cov, 255) if dtype == "uint8" else cov
+    assert (array(store.read(spark, path), a.shape, "coverage")[:, 0] == want).all()
+    sums = want.reshape(n, 3, 2, 3, 2).sum((2, 4))
+    assert (array(store.read(spark, path, 1), (n, b, 3, 3), "coverage")[:, 0] == (sums + 2) // 4).all()
+    assert [p for p in validate.problems(path) if "coverage" not in p] == [] and bool(validate.problems(path)) == (dtype != "uint8")
+
+
+def test_coverage_type_is_checked(spark, tmp_path):
+    with pytest.raises(M.SchemaError, match="int64"):
+        M.new_cube(months(1), ["a"], "EPSG:32631", T0, 4, 4, "uint16", 4, coverage="coverage", coverage_dtype="int64")
+
+
+def test_null_coverage_is_none(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    df = spark.createDataFrame([(0, 0, 0, 0, 5, None), (0, 0, 0, 1, 6, 300)], "t int, b int, y int, x int, v int, coverage int")
+    store.write(df, path, M.new_cube(months(1), ["a"], "EPSG:32631", T0, 1, 2, "uint16", 4, coverage="coverage", coverage_dtype="int32"))
+    assert sorted((r.x, r.coverage) for r in store.read(spark, path).collect()) == [(0, 0), (1, 300)]
