@@ -5,7 +5,8 @@ Each query writes a small store below the folder that all executors share and re
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratacube import scratch
@@ -83,10 +84,14 @@ def store_raw_residuals(spark, d):
 @query("store_planes", W(", p AS (SELECT t, y, x, max(cov) AS c FROM cube GROUP BY t, y, x), g AS (SELECT t.t, y.y, x.x, coalesce(p.c, 0) AS c FROM range(0, 28) t(t), range(0, 37) y(y), range(0, 29) x(x) LEFT JOIN p ON p.t = t.t AND p.y = y.y AND p.x = x.x) SELECT t::INTEGER AS t, y::INTEGER AS y, x::INTEGER AS x, (c >= 2)::INTEGER AS mask, c::INTEGER AS coverage FROM g", "cube"))
 def store_planes(spark, d):
     """Counts as they are: a pixel may have more than 255 observations, which is all that a store's usual coverage holds."""
-    c = A.cube(spark, d)
-    p = c.groupBy("t", "y", "x").agg(F.max("cov").cast("int").alias("coverage"))
+    pixel = Window.partitionBy("t", "y", "x")  # a row per band
+    c = A.cube(spark, d).dropna(subset=["t", "y", "x"]).withColumn("coverage", F.max("cov").over(pixel).cast("int"))
     path = folder(spark)
-    store.write(c.select("t", "b", "y", "x", "v").join(p.withColumn("mask", (F.col("coverage") >= 2).cast("int")), ["t", "y", "x"]), path, _cube(mask="mask", coverage="coverage", coverage_dtype="int32"))
+    whole = c.withColumn("mask", (F.col("coverage") >= 2).cast("int")).drop("cov").persist(StorageLevel.MEMORY_AND_DISK)
+    try:  # the composite is made once, not for every level and plane
+        store.write(whole, path, _cube(mask="mask", coverage="coverage", coverage_dtype="int32"))
+    finally:
+        whole.unpersist()
     return store.read(spark, path).filter("b = 0").select("t", "y", "x", "mask", "coverage")
 
 
